@@ -6,7 +6,7 @@ after it holds every 50-byte string that starts in it, so equal extended phrases
 1. The dictionary: distinct extended phrases, each with the least document that has it.  Occurrences in larger documents
    are covered as a whole; what is left to compare is the dictionary, however repetitive the corpus is.
 2. Suffixes of dictionary phrases, cut at 50 bytes, are compared only if they can have an equal one in another document:
-   the least hash of the 20-byte grams of a string is the same in equal strings, so strings whose least
+   the least hash of the 26-byte grams of a string is the same in equal strings, so strings whose least
    gram occurs in one document alone are left out.
 3. The remaining suffixes are put in the order of their hashes (equal ones together, which is all that this needs of the
    suffix order), and the least document of each is found.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import new_folder, open_shared, shuffle_partitions, stage
 from .hashing import U, powers, prefix_sums, span_hashes
 
-LENGTH, TRIGGER, PHRASE, GRAM = 50, 12, 96, 20
+LENGTH, TRIGGER, PHRASE, GRAM = 50, 12, 96, 26
 SEGMENT_BYTES = 3 << 20
 NULL_ID = -(2**63)
 
@@ -236,11 +236,14 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     segs = first.filter("bucket = -1").select("seg")
     answers = [stage(_answer(first.filter("bucket >= 0"), _smaller), "phrase-answers")]
 
+    # rows are names and bits, so their size says nothing of the work: a few segments make a task
+    tasks = max(shuffle_partitions(spark), min(100_000, segs.count() // 4))
+
     def with_answers():
         out = segs
         for i, a in enumerate(answers):
             out = out.join(a.withColumnRenamed("answer", f"a{i}"), "seg", "left")
-        return out.repartition("seg")
+        return out.repartition(tasks, "seg")
 
     def anchors(batches):
         for batch in batches:
