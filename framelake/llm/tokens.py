@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_shared, stage
+from .common import new_folder, open_shared, shuffle_partitions, stage
 
 END_ID = 2
 #: Chunks remembered by a worker: some 100 MB.
@@ -138,5 +138,6 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     keys = ids[at : at + len(own)].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=keys == NULL_ID), pa.array(o[:-1] + row["start"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    # one file to a task at most times: a hash of the name deals them
-    return manifest.repartition("name").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    # manifest rows are tiny, so their size says nothing of the work
+    tasks = max(shuffle_partitions(manifest.sparkSession), min(100_000, manifest.count() // 4))
+    return manifest.repartition(tasks, "name").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
