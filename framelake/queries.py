@@ -1,6 +1,594 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import adapters
+from .adapters import NOMINAL_SECONDS as SECONDS
+from .functions import scalar
+from .operators import capacity, gates, layout, lookup, sample_tables, segmenter, timeline
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+VIDEO_SQL = """video AS (
+  SELECT CAST(user_id AS VARCHAR) AS archive_id, row_number() OVER w - 1 AS sample_idx, CAST(round(value * 100) AS BIGINT) AS size,
+    coalesce(epoch_us(lead(ts) OVER w) - epoch_us(ts), 1000000) AS dts_delta, CAST(event_id % 3 - 1 AS INTEGER) AS cts_offset,
+    (row_number() OVER w = 1 OR event_type = 'purchase') AS is_sync
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+vdts AS (SELECT *, CAST(coalesce(sum(dts_delta) OVER (PARTITION BY archive_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts FROM video)"""
+AUDIO_SQL = """naudio AS (SELECT archive_id, count(*) AS n_video, CAST((sum(dts_delta) + 21599999999) // 21600000000 AS BIGINT) AS n_audio FROM video GROUP BY 1),
+audio AS (SELECT archive_id, k AS sample_idx, 100 + k % 7 AS size, 1036800000 AS dts_delta, k * 1036800000 AS dts
+  FROM (SELECT archive_id, unnest(generate_series(0, n_audio - 1)) AS k FROM naudio))"""
+CUTS_SQL = """cuts AS (
+  SELECT archive_id, CAST(0 AS BIGINT) AS segment_idx, CAST(0 AS BIGINT) AS video_sample_start, CAST(0 AS BIGINT) AS video_base_dts FROM vdts WHERE sample_idx = 0
+  UNION ALL
+  SELECT archive_id, segment_idx, video_sample_start, video_base_dts FROM (
+    SELECT c.archive_id, c.segment_idx + 1 AS segment_idx, s.sample_idx AS video_sample_start, s.dts AS video_base_dts,
+      row_number() OVER (PARTITION BY c.archive_id ORDER BY s.sample_idx) AS rn
+    FROM cuts c JOIN vdts s ON s.archive_id = c.archive_id AND s.is_sync AND s.sample_idx > c.video_sample_start AND s.dts - c.video_base_dts >= 86400000000) WHERE rn = 1)"""
+TABLE_SQL = """targets AS (SELECT *, CAST((CAST(video_base_dts AS HUGEINT) * 48000 + 999999) // 1000000 AS BIGINT) AS target FROM cuts),
+cursors AS (SELECT t.*, n.n_video, n.n_audio, least(n.n_audio, (t.target + 1036799999) // 1036800000) AS audio_sample_start FROM targets t JOIN naudio n USING (archive_id)),
+allseg AS (SELECT archive_id, segment_idx, video_sample_start,
+    coalesce(lead(video_sample_start) OVER w, n_video) - video_sample_start AS video_sample_count, audio_sample_start,
+    coalesce(lead(audio_sample_start) OVER w, n_audio) - audio_sample_start AS audio_sample_count, video_base_dts, audio_sample_start * 1036800000 AS audio_base_dts
+  FROM cursors WINDOW w AS (PARTITION BY archive_id ORDER BY segment_idx)),
+seg AS (SELECT * FROM allseg WHERE archive_id NOT IN (SELECT archive_id FROM allseg WHERE video_sample_count = 0 OR audio_sample_count = 0))"""
+SUMS_SQL = """vsum AS (SELECT s.archive_id, s.segment_idx, count(*) AS n_video, sum(v.size) AS video_bytes, sum(v.dts_delta) AS video_ticks
+  FROM seg s JOIN vdts v ON v.archive_id = s.archive_id AND v.sample_idx >= s.video_sample_start AND v.sample_idx < s.video_sample_start + s.video_sample_count GROUP BY 1, 2),
+asum AS (SELECT s.archive_id, s.segment_idx, count(*) AS n_audio, sum(a.size) AS audio_bytes
+  FROM seg s JOIN audio a ON a.archive_id = s.archive_id AND a.sample_idx >= s.audio_sample_start AND a.sample_idx < s.audio_sample_start + s.audio_sample_count GROUP BY 1, 2),
+sums AS (SELECT archive_id, segment_idx, CAST(n_video AS BIGINT) AS n_video, CAST(n_audio AS BIGINT) AS n_audio, CAST(video_bytes AS BIGINT) AS video_bytes,
+  CAST(audio_bytes AS BIGINT) AS audio_bytes, CAST(video_ticks AS BIGINT) AS video_ticks FROM vsum JOIN asum USING (archive_id, segment_idx)),
+ctts AS (SELECT archive_id, bool_or(cts_offset <> 0) AS has_ctts FROM video GROUP BY 1),
+lay AS (SELECT *, CAST(156 + n_video * (CASE WHEN has_ctts THEN 12 ELSE 8 END) + 8 * n_audio AS BIGINT) AS moof_bytes,
+  CAST(188 + n_video * (CASE WHEN has_ctts THEN 12 ELSE 8 END) + 8 * n_audio + video_bytes + audio_bytes AS BIGINT) AS segment_bytes FROM sums JOIN ctts USING (archive_id))"""
+V = f"WITH {VIDEO_SQL} "
+SEG = f"WITH RECURSIVE {VIDEO_SQL}, {AUDIO_SQL}, {CUTS_SQL}, {TABLE_SQL} "
+LAY = f"WITH RECURSIVE {VIDEO_SQL}, {AUDIO_SQL}, {CUTS_SQL}, {TABLE_SQL}, {SUMS_SQL} "
+RUNS_SQL = """runs AS (SELECT CAST(l_orderkey AS VARCHAR) AS archive_id, CAST(l_linenumber AS BIGINT) AS run_idx, CAST(max(l_quantity) AS BIGINT) AS cnt, CAST(l_linenumber * 10 AS BIGINT) AS value
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+rows_ AS (SELECT archive_id, run_idx, value, row_number() OVER (PARTITION BY archive_id ORDER BY run_idx, k) - 1 AS sample_idx FROM (SELECT *, unnest(generate_series(1, cnt)) AS k FROM runs))"""
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _segments(spark, sf_dir):
+    samples, scales = adapters.media(spark, sf_dir)
+    return samples, scales, segmenter.segment_table(samples, scales, SECONDS)
+
+
+def _sums(spark, sf_dir):
+    samples, scales, segments = _segments(spark, sf_dir)
+    placed = segmenter.with_segment(samples.join(segments.select("archive_id").distinct(), "archive_id", "left_semi"), segments)
+    return samples, scales, layout.payload_sums(placed)
+
+
+def _layout(spark, sf_dir):
+    samples, scales, sums = _sums(spark, sf_dir)
+    ctts = timeline.track_flags(samples.filter("track = 'video'"))
+    return scales, layout.segment_layout(sums, ctts)
+
+
+@query(V + "SELECT archive_id, sample_idx, dts FROM vdts")
+def dts_prefix_sum(spark, sf_dir):
+    return timeline.with_dts(adapters.video_samples(adapters.read(spark, sf_dir, "events"))).select("archive_id", "sample_idx", "dts")
+
+
+@query(V + "SELECT archive_id, sample_idx, dts + cts_offset AS pts FROM vdts")
+def pts(spark, sf_dir):
+    return timeline.with_pts(adapters.video_samples(adapters.read(spark, sf_dir, "events"))).select("archive_id", "sample_idx", "pts")
+
+
+def _cuts(spark, sf_dir, method):
+    video = timeline.with_dts(adapters.video_samples(adapters.read(spark, sf_dir, "events"))).withColumn("timescale", F.lit(adapters.TIMESCALE))
+    return segmenter.sync_cuts(video, SECONDS, method)
+
+
+CUTS = f"WITH RECURSIVE {VIDEO_SQL}, {CUTS_SQL} SELECT * FROM cuts"
+
+
+@query(CUTS)
+def segment_cuts(spark, sf_dir):
+    return _cuts(spark, sf_dir, "fold")
+
+
+@query(CUTS)
+def segment_cuts_arrow(spark, sf_dir):
+    return _cuts(spark, sf_dir, "arrow")
+
+
+@query(SEG + "SELECT * FROM seg")
+def segment_table(spark, sf_dir):
+    return _segments(spark, sf_dir)[2]
+
+
+@query(SEG + "SELECT DISTINCT archive_id, 'SampleTableInconsistent' AS variant, 'segment has no samples of one track' AS detail FROM allseg WHERE video_sample_count = 0 OR audio_sample_count = 0")
+def segment_rejects(spark, sf_dir):
+    samples, scales = adapters.media(spark, sf_dir)
+    return segmenter.segment_rejects(samples, scales, SECONDS)
+
+
+@query(SEG + "SELECT archive_id, segment_idx, target, audio_sample_start, audio_sample_start * 1036800000 AS audio_base_dts FROM cursors")
+def audio_boundary(spark, sf_dir):
+    samples, scales = adapters.media(spark, sf_dir)
+    timed = timeline.with_dts(samples)
+    video = timed.filter("track = 'video'").withColumn("timescale", F.lit(adapters.TIMESCALE))
+    cuts = segmenter.sync_cuts(video, SECONDS).join(scales, "archive_id").withColumn("target", scalar.scale_ceil(F.col("video_base_dts"), F.col("video_timescale"), F.col("audio_timescale")))
+    return segmenter.audio_cursor(cuts, timed.filter("track = 'audio'"))
+
+
+@query("SELECT event_id, CAST((CAST(epoch_us(ts) AS HUGEINT) * 48000 + 999999) // 1000000 AS BIGINT) AS scaled, CAST(greatest(1, ceil(1.1::DOUBLE * (event_id % 90000 + 1))) AS BIGINT) AS nominal FROM events")
+def scale_ceil(spark, sf_dir):
+    e = adapters.read(spark, sf_dir, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select("event_id", scalar.scale_ceil(us, F.lit(1_000_000).cast("long"), F.lit(48_000).cast("long")).alias("scaled"), scalar.nominal_ticks(1.1, F.col("event_id") % 90000 + 1).alias("nominal"))
+
+
+@query(LAY + "SELECT archive_id, segment_idx, video_ticks FROM sums")
+def segment_ticks(spark, sf_dir):
+    return _sums(spark, sf_dir)[2].select("archive_id", "segment_idx", "video_ticks")
+
+
+@query(LAY + "SELECT archive_id, segment_idx, printf('%.6f', video_ticks / 1000000.0::DOUBLE) AS extinf, printf('seg_%04d.m4s', segment_idx + 1) AS uri FROM sums")
+def extinf(spark, sf_dir):
+    _, scales, sums = _sums(spark, sf_dir)
+    return layout.playlist_entries(sums, scales)
+
+
+@query(LAY + "SELECT n.archive_id, CAST(coalesce((max(s.video_ticks) + 999999) // 1000000, 0) AS BIGINT) AS target_duration FROM naudio n LEFT JOIN sums s USING (archive_id) GROUP BY 1")
+def target_duration(spark, sf_dir):
+    _, scales, sums = _sums(spark, sf_dir)
+    return layout.target_duration(sums, scales)
+
+
+@query(
+    LAY
+    + """SELECT n.archive_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-INDEPENDENT-SEGMENTS' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST(coalesce((max(s.video_ticks) + 999999) // 1000000, 0) AS BIGINT) || chr(10)
+ || '#EXT-X-PLAYLIST-TYPE:VOD' || chr(10) || '#EXT-X-MAP:URI="init.mp4"' || chr(10)
+ || coalesce(string_agg('#EXTINF:' || printf('%.6f', s.video_ticks / 1000000.0::DOUBLE) || ',' || chr(10) || printf('seg_%04d.m4s', s.segment_idx + 1) || chr(10), '' ORDER BY s.segment_idx), '') || '#EXT-X-ENDLIST' || chr(10) AS playlist
+FROM naudio n LEFT JOIN sums s USING (archive_id) GROUP BY 1"""
+)
+def playlist_text(spark, sf_dir):
+    _, scales, sums = _sums(spark, sf_dir)
+    return layout.playlist_text(sums, scales)
+
+
+@query(LAY + "SELECT archive_id, segment_idx, n_video, n_audio, video_bytes, audio_bytes, video_ticks FROM sums")
+def payload_sums(spark, sf_dir):
+    return _sums(spark, sf_dir)[2]
+
+
+@query(LAY + "SELECT archive_id, segment_idx, moof_bytes, segment_bytes FROM lay")
+def segment_bytes(spark, sf_dir):
+    return _layout(spark, sf_dir)[1].select("archive_id", "segment_idx", "moof_bytes", "segment_bytes")
+
+
+@query(LAY + "SELECT archive_id, segment_idx, least(segment_idx + 1, 4294967295) AS sequence_number, moof_bytes + 8 AS video_data_offset, moof_bytes + 8 + video_bytes AS audio_data_offset FROM lay")
+def data_offsets(spark, sf_dir):
+    return _layout(spark, sf_dir)[1].select("archive_id", "segment_idx", "sequence_number", "video_data_offset", "audio_data_offset")
+
+
+@query(LAY + "SELECT archive_id, max(segment_bytes) AS max_segment_size FROM lay GROUP BY 1")
+def max_segment_size(spark, sf_dir):
+    return layout.max_segment_size(_layout(spark, sf_dir)[1])
+
+
+@query(V + "SELECT archive_id, count(*) AS n_samples, bool_or(cts_offset <> 0) AS has_ctts FROM video GROUP BY 1")
+def has_ctts(spark, sf_dir):
+    return timeline.track_flags(adapters.video_samples(adapters.read(spark, sf_dir, "events"))).select("archive_id", "n_samples", "has_ctts")
+
+
+@query(V + "SELECT archive_id, bool_and(is_sync) AS all_sync, CASE WHEN bool_and(is_sync) THEN 'note: every video sample is a sync sample' END AS note FROM video GROUP BY 1")
+def all_sync_note(spark, sf_dir):
+    flags = timeline.track_flags(adapters.video_samples(adapters.read(spark, sf_dir, "events")))
+    return flags.select("archive_id", "all_sync", F.when(F.col("all_sync"), "note: every video sample is a sync sample").alias("note"))
+
+
+@query(f"WITH {RUNS_SQL} SELECT archive_id, sample_idx, value FROM rows_")
+def rle_expand(spark, sf_dir):
+    return sample_tables.expand_runs(adapters.runs(spark, sf_dir)).select("archive_id", "sample_idx", "value")
+
+
+@query(
+    f"""WITH {RUNS_SQL}, n AS (SELECT archive_id, sum(cnt) AS total, sum(cnt) + CAST(archive_id AS BIGINT) % 3 - 1 AS n FROM runs GROUP BY 1)
+SELECT archive_id, CASE WHEN total > n THEN 'stts run-counts exceed stsz sample count' ELSE 'stts run-counts disagree with stsz sample count' END AS detail FROM n WHERE total <> n"""
+)
+def rle_total_check(spark, sf_dir):
+    runs = adapters.runs(spark, sf_dir)
+    counts = runs.groupBy("archive_id", "track").agg((F.sum("count") + F.col("archive_id").cast("long") % 3 - 1).alias("n"))
+    return sample_tables.run_total_check(runs, counts, "stts").select("archive_id", "detail")
+
+
+STSC_SQL = """stsc AS (SELECT CAST(l_orderkey AS VARCHAR) AS archive_id, CAST(l_linenumber AS BIGINT) AS entry_idx, CAST(max(l_quantity) AS BIGINT) AS spc FROM lineitem GROUP BY l_orderkey, l_linenumber),
+ranged AS (SELECT archive_id, entry_idx, spc, 1 + coalesce(sum(entry_idx) OVER (PARTITION BY archive_id ORDER BY entry_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_chunk FROM stsc),
+ended AS (SELECT *, coalesce(lead(first_chunk) OVER (PARTITION BY archive_id ORDER BY entry_idx), first_chunk + entry_idx) AS end_chunk FROM ranged),
+chunks AS (SELECT archive_id, CAST(c - 1 AS BIGINT) AS chunk_idx, spc AS samples_per_chunk FROM (SELECT archive_id, spc, unnest(generate_series(CAST(first_chunk AS BIGINT), CAST(end_chunk - 1 AS BIGINT))) AS c FROM ended)),
+placed AS (SELECT archive_id, chunk_idx, row_number() OVER (PARTITION BY archive_id ORDER BY chunk_idx, k) - 1 AS sample_idx FROM (SELECT *, unnest(generate_series(1, samples_per_chunk)) AS k FROM chunks)),
+sized AS (SELECT *, 50 + sample_idx % 97 AS size FROM placed),
+offs AS (SELECT archive_id, sample_idx, chunk_idx, size, CAST(chunk_idx * 1000000 + coalesce(sum(size) OVER (PARTITION BY archive_id, chunk_idx ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sized)"""
+
+
+def _chunks(spark, sf_dir):
+    """stsc entries: an archive per order, an entry per line, covering as many chunks as the line's number."""
+    from pyspark.sql import Window
+
+    runs = adapters.runs(spark, sf_dir)
+    before = Window.partitionBy("archive_id").orderBy("run_idx").rowsBetween(Window.unboundedPreceding, -1)
+    stsc = runs.select("archive_id", "track", F.col("run_idx").alias("entry_idx"), (1 + F.coalesce(F.sum("run_idx").over(before), F.lit(0))).alias("first_chunk"), F.col("count").alias("samples_per_chunk"), F.lit(1).alias("sample_description_index"))
+    counts = stsc.groupBy("archive_id", "track").agg(F.sum("entry_idx").alias("chunk_count"))
+    return sample_tables.chunk_samples(sample_tables.stsc_ranges(stsc, counts))
+
+
+def _offsets(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    placed = sample_tables.place_samples(chunks)
+    sizes = placed.select("archive_id", "track", "sample_idx", (50 + F.col("sample_idx") % 97).alias("size"))
+    offsets = chunks.select("archive_id", "track", "chunk_idx", (F.col("chunk_idx") * 1_000_000).alias("offset"))
+    return sizes, sample_tables.sample_offsets(placed, sizes, offsets)
+
+
+@query(f"WITH {STSC_SQL} SELECT archive_id, chunk_idx, samples_per_chunk FROM chunks")
+def stsc_expand(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("archive_id", "chunk_idx", "samples_per_chunk")
+
+
+@query(f'WITH {STSC_SQL} SELECT archive_id, sample_idx, chunk_idx, size, "offset" FROM offs')
+def sample_offsets(spark, sf_dir):
+    return _offsets(spark, sf_dir)[1].select("archive_id", "sample_idx", "chunk_idx", "size", "offset")
+
+
+def _sync_tables(spark, sf_dir):
+    orders = adapters.runs(spark, sf_dir).select("archive_id", "track").distinct()
+    tables = orders.withColumn("stss_absent", F.col("archive_id").cast("long") % 4 == 0)
+    stss = adapters.runs(spark, sf_dir).filter(F.col("archive_id").cast("long") % 4 != 0).select("archive_id", "track", F.col("count").alias("sample_number"))
+    return stss, tables
+
+
+SYNC_SQL = "(CAST(r.archive_id AS BIGINT) % 4 = 0 OR r.sample_idx + 1 IN (SELECT cnt FROM runs q WHERE q.archive_id = r.archive_id))"
+SYNC_JOIN = "LEFT JOIN (SELECT DISTINCT archive_id, cnt - 1 AS sample_idx FROM runs) q USING (archive_id, sample_idx)"
+
+
+@query(f"WITH {RUNS_SQL} SELECT r.archive_id, r.sample_idx, (CAST(r.archive_id AS BIGINT) % 4 = 0 OR q.archive_id IS NOT NULL) AS is_sync FROM rows_ r LEFT JOIN (SELECT DISTINCT archive_id, cnt - 1 AS sample_idx FROM runs) q ON q.archive_id = r.archive_id AND q.sample_idx = r.sample_idx")
+def sync_flags(spark, sf_dir):
+    stss, tables = _sync_tables(spark, sf_dir)
+    rows = sample_tables.expand_runs(adapters.runs(spark, sf_dir)).drop("value")
+    return sample_tables.with_sync(rows, stss, tables).select("archive_id", "sample_idx", "is_sync")
+
+
+@query(
+    f"""WITH {RUNS_SQL}, {STSC_SQL}, total AS (SELECT archive_id, count(*) AS n FROM rows_ GROUP BY 1)
+SELECT o.archive_id, o.sample_idx, o."offset", o.size, r.value AS dts_delta, CAST(CASE WHEN CAST(o.archive_id AS BIGINT) % 2 = 0 THEN r.run_idx - 4 ELSE 0 END AS INTEGER) AS cts_offset,
+ (CAST(r.archive_id AS BIGINT) % 4 = 0 OR q.archive_id IS NOT NULL) AS is_sync
+FROM offs o JOIN rows_ r ON r.archive_id = o.archive_id AND r.sample_idx = o.sample_idx
+LEFT JOIN (SELECT DISTINCT archive_id, cnt - 1 AS sample_idx FROM runs) q ON q.archive_id = o.archive_id AND q.sample_idx = o.sample_idx"""
+)
+def sample_assembly(spark, sf_dir):
+    sizes, offsets = _offsets(spark, sf_dir)
+    runs = adapters.runs(spark, sf_dir)
+    stss, tables = _sync_tables(spark, sf_dir)
+    cts = sample_tables.expand_runs(runs.filter(F.col("archive_id").cast("long") % 2 == 0).withColumn("value", (F.col("run_idx") - 4).cast("int")))
+    rows = sample_tables.assemble(sizes, sample_tables.expand_runs(runs), cts, offsets, stss, tables)
+    return rows.select("archive_id", "sample_idx", "offset", "size", "dts_delta", "cts_offset", "is_sync")
+
+
+@query(
+    """WITH t AS (SELECT CAST(o_custkey AS VARCHAR) AS archive_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'vide' WHEN '2-HIGH' THEN 'soun' WHEN '3-MEDIUM' THEN 'vide' ELSE 'soun' END AS handler FROM orders),
+c AS (SELECT archive_id, count(*) AS n_tracks, count(*) FILTER (WHERE handler = 'vide') AS n_video, count(*) FILTER (WHERE handler = 'soun') AS n_audio FROM t GROUP BY 1)
+SELECT *, CASE WHEN NOT (n_tracks = 2 AND n_video = 1 AND n_audio = 1) THEN 'UnsupportedTrackLayout' END AS variant FROM c"""
+)
+def track_classify(spark, sf_dir):
+    p = F.col("o_orderpriority")
+    tracks = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("archive_id"), F.when(p.isin("1-URGENT", "3-MEDIUM"), "vide").otherwise("soun").alias("handler"))
+    return gates.classify_tracks(tracks)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'isom' WHEN 1 THEN 'qt  ' WHEN 2 THEN 'mp41' WHEN 3 THEN 'M4V ' ELSE 'abcd' END AS major,
+ CASE WHEN p_partkey % 3 = 0 THEN ['iso6', 'zzzz'] WHEN p_partkey % 3 = 1 THEN ['zzzz'] ELSE [] END AS compat, 8 + p_partkey % 7 AS len FROM part)
+SELECT p_partkey, CASE WHEN len < 8 THEN 'MalformedAtom' WHEN major IN ('isom','mp42','iso2','iso4','iso5','iso6','cmfc','mp41') THEN NULL WHEN (len - 8) % 4 <> 0 THEN 'MalformedAtom'
+ WHEN list_contains(compat, 'iso6') THEN NULL ELSE 'UnsupportedBrand' END AS variant FROM p"""
+)
+def brand_gate(spark, sf_dir):
+    s, k = F.col("p_size") % 5, F.col("p_partkey") % 3
+    major = F.when(s == 0, "isom").when(s == 1, "qt  ").when(s == 2, "mp41").when(s == 3, "M4V ").otherwise("abcd")
+    compat = F.when(k == 0, F.array(F.lit("iso6"), F.lit("zzzz"))).when(k == 1, F.array(F.lit("zzzz"))).otherwise(F.array().cast("array<string>"))
+    return adapters.read(spark, sf_dir, "part").select("p_partkey", gates.brand_error(major, compat, 8 + F.col("p_partkey") % 7).alias("variant"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'vide' WHEN 1 THEN 'soun' ELSE 'text' END AS handler, CASE p_size % 4 WHEN 0 THEN 'avc1' WHEN 1 THEN 'mp4a' WHEN 2 THEN 'hev1' ELSE 'vp09' END AS fourcc,
+ (p_size % 11 = 0) AS marked FROM part)
+SELECT p_partkey, CASE WHEN handler <> 'text' AND marked THEN 'EncryptedInput' WHEN handler = 'vide' AND fourcc NOT IN ('avc1','hvc1','hev1') THEN 'UnsupportedVideoCodec'
+ WHEN handler = 'soun' AND fourcc <> 'mp4a' THEN 'UnsupportedAudioCodec' END AS variant FROM p"""
+)
+def codec_gate(spark, sf_dir):
+    k, s = F.col("p_partkey") % 3, F.col("p_size") % 4
+    handler = F.when(k == 0, "vide").when(k == 1, "soun").otherwise("text")
+    code = F.when(s == 0, "avc1").when(s == 1, "mp4a").when(s == 2, "hev1").otherwise("vp09")
+    children = F.when(F.col("p_size") % 11 == 0, F.array(F.lit("pasp"), F.lit("sinf"))).otherwise(F.array(F.lit("pasp")))
+    return adapters.read(spark, sf_dir, "part").select("p_partkey", gates.codec_error(handler, code, children).alias("variant"))
+
+
+IDS_SQL = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a-' || page_id WHEN 1 THEN '' WHEN 2 THEN repeat('x', 60 + CAST(page_id % 9 AS INTEGER)) WHEN 3 THEN '../' || page_id WHEN 4 THEN page_id || chr(10) ELSE 'id_' || page_id || '.x' END AS id FROM pages"""
+
+
+@query(f"WITH i AS ({IDS_SQL}) SELECT page_id, CASE WHEN strlen(id) = 0 THEN 'empty' WHEN strlen(id) > 64 THEN 'too_long' WHEN NOT regexp_full_match(id, '[A-Za-z0-9_-]+') THEN 'bad_chars' ELSE 'ok' END AS status FROM i")
+def id_validate(spark, sf_dir):
+    k, p = F.col("page_id") % 6, F.col("page_id").cast("string")
+    value = (
+        F.when(k == 0, F.concat(F.lit("a-"), p)).when(k == 1, "").when(k == 2, F.repeat(F.lit("x"), (60 + F.col("page_id") % 9).cast("int")))
+        .when(k == 3, F.concat(F.lit("../"), p)).when(k == 4, F.concat(p, F.lit("\n"))).otherwise(F.concat(F.lit("id_"), p, F.lit(".x")))
+    )
+    return adapters.read(spark, sf_dir, "pages").select("page_id", scalar.id_status(value).alias("status"))
+
+
+NAMES_SQL = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN printf('seg_%04d.m4s', event_id) WHEN 1 THEN 'seg_' || event_id % 1000 || '.m4s' WHEN 2 THEN printf('seg_%08d.m4s', event_id) WHEN 3 THEN printf('SEG_%04d.m4s', event_id)
+ WHEN 4 THEN printf('seg_%04d.mp4', event_id) WHEN 5 THEN 'seg_' || (4294967290 + event_id % 12) || '.m4s' ELSE 'seg_0000.m4s' END AS name FROM events"""
+
+
+@query(f"WITH n AS ({NAMES_SQL}), d AS (SELECT event_id, TRY_CAST(nullif(regexp_extract(name, '^seg_([0-9][0-9][0-9][0-9]+)\\.m4s$', 1), '') AS HUGEINT) AS d FROM n) SELECT event_id, CASE WHEN d >= 1 AND d <= 4294967295 THEN CAST(d - 1 AS BIGINT) END AS segment_idx FROM d")
+def segment_name_parse(spark, sf_dir):
+    e, k = F.col("event_id"), F.col("event_id") % 7
+    name = (
+        F.when(k == 0, F.format_string("seg_%04d.m4s", e)).when(k == 1, F.concat(F.lit("seg_"), (e % 1000).cast("string"), F.lit(".m4s"))).when(k == 2, F.format_string("seg_%08d.m4s", e)).when(k == 3, F.format_string("SEG_%04d.m4s", e))
+        .when(k == 4, F.format_string("seg_%04d.mp4", e)).when(k == 5, F.concat(F.lit("seg_"), (4294967290 + e % 12).cast("string"), F.lit(".m4s"))).otherwise("seg_0000.m4s")
+    )
+    return adapters.read(spark, sf_dir, "events").select("event_id", scalar.segment_index(name).alias("segment_idx"))
+
+
+def _resolved(spark, sf_dir):
+    segments = _segments(spark, sf_dir)[2].groupBy("archive_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    n = F.col("archive_id").cast("long")
+    catalogue = segments.select(F.col("archive_id").alias("id"), F.lit(True).alias("has_index"), (n % 11 != 0).alias("has_source"), (n % 13 != 0).alias("length_matches"), "n_segments")
+    return lookup.resolve(adapters.requests(spark, sf_dir), catalogue)
+
+
+REQUEST_SQL = """req AS (SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS u, event_id % 9 AS k, event_id % 23 AS q FROM events),
+cat AS (SELECT archive_id, count(*) AS n_segments, CAST(archive_id AS BIGINT) AS n FROM seg GROUP BY 1),
+res AS (SELECT request_id, CASE k WHEN 0 THEN 'playlist' WHEN 1 THEN 'init' WHEN 5 THEN 'health' ELSE 'segment' END AS kind,
+ CASE WHEN k IN (3, 4, 6) THEN CAST(0 AS BIGINT) WHEN k = 8 THEN CAST(q AS BIGINT) END AS segment_idx,
+ CASE WHEN k = 5 THEN 200 WHEN k IN (2, 7) THEN 404 WHEN k = 3 THEN 400 WHEN k = 4 THEN 404 WHEN k = 6 AND length(u) * 33 > 64 THEN 400 WHEN k = 6 THEN 404 WHEN cat.n IS NULL THEN 404 WHEN n % 11 = 0 OR n % 13 = 0 THEN 500
+  WHEN k = 8 AND q >= n_segments THEN 404 ELSE 200 END AS status
+ FROM req LEFT JOIN cat ON cat.archive_id = req.u)"""
+
+
+@query(SEG.rstrip() + f", {REQUEST_SQL} SELECT request_id, kind, segment_idx, status FROM res")
+def request_status(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("request_id", "kind", "segment_idx", "status")
+
+
+@query(
+    SEG.rstrip()
+    + f""", {REQUEST_SQL} SELECT request_id, CASE WHEN status = 200 AND kind = 'playlist' THEN 'public, max-age=300' WHEN status = 200 AND kind IN ('init', 'segment') THEN 'public, max-age=31536000, immutable' END AS cache_control,
+ CASE WHEN status = 200 AND kind = 'playlist' THEN 'application/vnd.apple.mpegurl' WHEN status = 200 AND kind IN ('init', 'segment') THEN 'video/mp4' END AS content_type,
+ CASE status WHEN 400 THEN 'bad request' WHEN 404 THEN 'not found' WHEN 500 THEN 'internal error' END AS body FROM res"""
+)
+def cache_policy(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("request_id", "cache_control", "content_type", "body")
+
+
+@query(SEG.rstrip() + f", {REQUEST_SQL} SELECT n AS archive, CASE WHEN n % 11 = 0 THEN 'missing source' WHEN n % 13 = 0 THEN 'length mismatch' ELSE 'ok' END AS state FROM cat")
+def length_mismatch(spark, sf_dir):
+    n = F.col("archive_id").cast("long")
+    return _segments(spark, sf_dir)[2].select(n.alias("archive")).distinct().select("archive", F.when(F.col("archive") % 11 == 0, "missing source").when(F.col("archive") % 13 == 0, "length mismatch").otherwise("ok").alias("state"))
+
+
+def _hosts(spark, sf_dir):
+    n = F.col("c_custkey")
+    return adapters.read(spark, sf_dir, "customer").select(
+        n.alias("host"), F.when(n % 4 != 0, n * 1013).alias("max_map_count"), F.when(n % 5 != 0, n * 123_456_789).alias("mem_total"), F.when(n % 6 == 0, n).alias("open_flag"), F.when(n % 7 == 0, n).alias("inflight_flag")
+    )
+
+
+HOSTS_SQL = """hosts AS (SELECT c_custkey AS host, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 1013 END AS vma, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 123456789 END AS mem,
+ CASE WHEN c_custkey % 6 = 0 THEN c_custkey END AS oflag, CASE WHEN c_custkey % 7 = 0 THEN c_custkey END AS iflag FROM customer),
+k AS (SELECT host, vma, CAST(coalesce(oflag, least(greatest(greatest(vma - 2048, 0) // 2, 64), 100000), 1024) AS BIGINT) AS max_open, CASE WHEN oflag IS NOT NULL THEN 'flag' WHEN vma IS NOT NULL THEN 'auto' ELSE 'fallback' END AS open_source,
+ CAST(coalesce(iflag, least(greatest((mem * 5 // 100) // 33554432, 64), 4096), 64) AS BIGINT) AS max_inflight, CASE WHEN iflag IS NOT NULL THEN 'flag' WHEN mem IS NOT NULL THEN 'auto' ELSE 'fallback' END AS inflight_source FROM hosts)"""
+# greatest and least skip nulls in DuckDB as in Spark; the automatic value must stay null without its input
+HOSTS_SQL = HOSTS_SQL.replace("least(greatest(greatest(vma - 2048, 0) // 2, 64), 100000)", "CASE WHEN vma IS NOT NULL THEN least(greatest(greatest(vma - 2048, 0) // 2, 64), 100000) END").replace(
+    "least(greatest((mem * 5 // 100) // 33554432, 64), 4096)", "CASE WHEN mem IS NOT NULL THEN least(greatest((mem * 5 // 100) // 33554432, 64), 4096) END"
+)
+
+
+@query(f"WITH {HOSTS_SQL} SELECT host, max_open, vma >= 2 * max_open + 2048 AS map_ok FROM k")
+def auto_max_open(spark, sf_dir):
+    return capacity.knobs(_hosts(spark, sf_dir)).select("host", "max_open", "map_ok")
+
+
+@query(f"WITH {HOSTS_SQL} SELECT host, max_inflight FROM k")
+def auto_inflight(spark, sf_dir):
+    return capacity.knobs(_hosts(spark, sf_dir)).select("host", "max_inflight")
+
+
+@query(f"WITH {HOSTS_SQL} SELECT host, open_source, inflight_source, printf('max_open_archives=%d (%s) max_inflight=%d (%s)', max_open, open_source, max_inflight, inflight_source) AS audit FROM k")
+def knob_source(spark, sf_dir):
+    return capacity.audit_line(capacity.knobs(_hosts(spark, sf_dir))).select("host", "open_source", "inflight_source", "audit")
+
+
+@query(LAY.rstrip() + f", {HOSTS_SQL}, big AS (SELECT max(segment_bytes) AS b FROM lay) SELECT host, max_inflight * b AS inflight_bytes FROM k, big")
+def inflight_ram_bound(spark, sf_dir):
+    largest = layout.max_segment_size(_layout(spark, sf_dir)[1]).agg(F.max("max_segment_size").alias("b"))
+    return capacity.knobs(_hosts(spark, sf_dir)).crossJoin(F.broadcast(largest)).select("host", (F.col("max_inflight") * F.col("b")).alias("inflight_bytes"))  # one row
+
+
+@query(
+    LAY
+    + """SELECT n.archive_id, CAST(168 + 2 * 24 + 2 * 8 + 24 * (n.n_video + n.n_audio) + 8 + 32 * count(s.segment_idx) AS BIGINT) AS index_bytes
+FROM naudio n JOIN seg s USING (archive_id) GROUP BY n.archive_id, n.n_video, n.n_audio"""
+)
+def idx_size_estimate(spark, sf_dir):
+    samples, _, segments = _segments(spark, sf_dir)
+    n = samples.groupBy("archive_id").agg(F.count(F.lit(1)).alias("n"))
+    return segments.groupBy("archive_id").agg(F.count(F.lit(1)).alias("s")).join(n, "archive_id").select("archive_id", (168 + 2 * 24 + 2 * 8 + 24 * F.col("n") + 8 + 32 * F.col("s")).cast("long").alias("index_bytes"))
+
+
+@query(
+    """WITH t AS (SELECT event_type AS host, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos, event_id AS seq, CAST(user_id % 40 AS VARCHAR) AS id FROM events),
+p AS (SELECT *, lag(pos) OVER (PARTITION BY host, id ORDER BY pos) AS prev FROM t)
+SELECT p.host, p.seq, p.id, (p.prev IS NOT NULL AND (SELECT count(DISTINCT q.id) FROM t q WHERE q.host = p.host AND q.pos > p.prev AND q.pos < p.pos) < 16) AS hit FROM p"""
+)
+def lru_hits(spark, sf_dir):
+    trace = adapters.read(spark, sf_dir, "events").select(F.col("event_type").alias("host"), F.col("event_id").alias("seq"), (F.col("user_id") % 40).cast("string").alias("id"))
+    return capacity.replay_lru(trace, 16)
+
+
+@query("SELECT page_id, sha256(html) AS sha256 FROM pages")
+def digest_sha2(spark, sf_dir):
+    return adapters.read(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+
+
+@query(
+    LAY
+    + """, m AS (SELECT s.archive_id, s.segment_idx, 'video' AS track, 0 AS r, v.sample_idx, v.size FROM seg s JOIN vdts v ON v.archive_id = s.archive_id AND v.sample_idx >= s.video_sample_start AND v.sample_idx < s.video_sample_start + s.video_sample_count
+ UNION ALL SELECT s.archive_id, s.segment_idx, 'audio', 1, a.sample_idx, a.size FROM seg s JOIN audio a ON a.archive_id = s.archive_id AND a.sample_idx >= s.audio_sample_start AND a.sample_idx < s.audio_sample_start + s.audio_sample_count)
+SELECT archive_id, segment_idx, track, sample_idx, CAST(row_number() OVER w - 1 AS INTEGER) AS "position",
+ CAST(coalesce(sum(size) OVER (PARTITION BY archive_id, segment_idx ORDER BY r, sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS payload_offset
+FROM m WINDOW w AS (PARTITION BY archive_id, segment_idx ORDER BY r, sample_idx)"""
+)
+def mux_order(spark, sf_dir):
+    samples, _, segments = _segments(spark, sf_dir)
+    placed = segmenter.with_segment(samples.join(segments.select("archive_id").distinct(), "archive_id", "left_semi"), segments)
+    return layout.mux_order(placed).select("archive_id", "segment_idx", "track", "sample_idx", "position", "payload_offset")
+
+
+# Byte-level queries: each user's events as a small archive, made, scanned, indexed and read back.
+
+
+def _containers(spark, sf_dir):
+    """(archive_id, content): archives of the users whose id is divisible by ten."""
+    from .functions import synthetic
+
+    samples, _ = adapters.media(spark, sf_dir)
+    one = F.struct("sample_idx", "dts_delta", F.least("size", F.lit(64)).alias("size"), "cts_offset", "is_sync")
+    groups = samples.filter(F.col("archive_id").cast("long") % 10 == 0).groupBy("archive_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("track") == t, one))).alias(t) for t in ("video", "audio")])
+
+    def make(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                part = lambda rs: {"deltas": [min(r["dts_delta"], 2**32 - 1) for r in rs], "sizes": [max(1, r["size"]) for r in rs]}
+                video = part(row.video) | {"timescale": adapters.TIMESCALE, "sync": [r["sample_idx"] for r in row.video if r["is_sync"]], "cts": [r["cts_offset"] for r in row.video]}
+                out.append((row.archive_id, synthetic.archive(video, part(row.audio) | {"timescale": adapters.AUDIO_TIMESCALE})))
+            yield pd.DataFrame(out, columns=["archive_id", "content"])
+
+    return groups.mapInPandas(make, "archive_id string, content binary")
+
+
+def _archive_rows(containers):
+    from .sources.mp4 import ARCHIVES, archive_row
+
+    def parse(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples(index=False):
+                data = row.content
+                rows.append(archive_row(lambda at, n, d=data: d[at : at + n], len(data), f"{row.archive_id}.mp4"))
+            yield pd.DataFrame(rows, columns=["archive_id", "path", "source_len", "variant", "detail", "video", "audio"])
+
+    return containers.mapInPandas(parse, ARCHIVES)
+
+
+@query()
+def box_scan(spark, sf_dir):
+    from .sources import demux
+
+    def scan(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples(index=False):
+                data = row.content
+                rows += [(row.archive_id, path, b.kind, b.start, b.header, b.size, b.body, depth) for path, depth, b in demux.tree(lambda at, n, d=data: d[at : at + n], len(data))]
+            yield pd.DataFrame(rows, columns=["archive_id", "parent_path", "box_type", "start", "header_size", "declared_size", "payload_offset", "depth"])
+
+    from .schema import BOXES
+
+    return _containers(spark, sf_dir).mapInPandas(scan, BOXES)
+
+
+def _build(spark, sf_dir):
+    from .plans.build import Build
+
+    containers = _containers(spark, sf_dir)
+    return Build(_archive_rows(containers), SECONDS), containers
+
+
+@query()
+def idx_roundtrip(spark, sf_dir):
+    """Index files made and opened again."""
+    from .sources.mp4 import INDEX, index_row
+
+    def open_all(frames):
+        import pandas as pd
+
+        names = [f.split(" ")[0] for f in ("archive_id", "variant", "detail", "max_segment_size", "source_len", "source_hash", "init", "playlist", "video_samples", "audio_samples", "segments", "video", "audio")]
+        for frame in frames:
+            yield pd.DataFrame([index_row(r.index_, f"{r.archive_id}.idx") for r in frame.itertuples(index=False)], columns=names)
+
+    build, containers = _build(spark, sf_dir)
+    rows = build.indexes(containers).withColumnRenamed("index", "index_").mapInPandas(open_all, INDEX)
+    return rows.select("archive_id", "variant", "max_segment_size", "source_len", F.hex("source_hash").alias("source_hash"), F.size("video_samples").alias("n_video"), F.size("audio_samples").alias("n_audio"), F.size("segments").alias("n_segments"), "playlist")
+
+
+@query()
+def init_bytes(spark, sf_dir):
+    from .functions.boxes import init_segment
+
+    def make(frames):
+        import pandas as pd
+
+        for frame in frames:
+            yield pd.DataFrame([(r.archive_id, init_segment(r.video, r.audio)) for r in frame.itertuples(index=False)], columns=["archive_id", "init"])
+
+    rows = _archive_rows(_containers(spark, sf_dir)).filter("variant is null")
+    meta = lambda t: F.struct(*[F.col(f"{t}.{c}").alias(c) for c in ("timescale", "width", "height", "sample_entry", "elst")]).alias(t)
+    return rows.select("archive_id", meta("video"), meta("audio")).mapInPandas(make, "archive_id string, init binary").select("archive_id", F.length("init").alias("n_bytes"), F.sha2("init", 256).alias("sha256"))
+
+
+@query()
+def segment_bytes_blob(spark, sf_dir):
+    """The first segment of each archive, as bytes."""
+    build, containers = _build(spark, sf_dir)
+    wanted = build.segments.filter("segment_idx = 0").select("archive_id", "segment_idx")
+    return build.media_segments(wanted, containers).select("archive_id", "segment_idx", F.length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"))
+
+
+@query()
+def digest_blake3(spark, sf_dir):
+    """The content hash of every page."""
+    import pandas as pd
+
+    from .functions.blake3 import blake3_bytes
+
+    def digest(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: None if h is None else blake3_bytes(h.encode()).hex())
+
+    digest.__annotations__ = {"html": pd.Series, "return": pd.Series}
+    return adapters.read(spark, sf_dir, "pages").select("page_id", F.pandas_udf(digest, "string")("html").alias("blake3"))
+
+
+@query()
+def admission_replay(spark, sf_dir):
+    """Event arrivals through an admission queue of four permits per event type."""
+    e = adapters.read(spark, sf_dir, "events")
+    trace = e.select(F.col("event_type").alias("host"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrival"), (F.lit(300.0) + F.col("event_id") % 2000).alias("service"))
+    return capacity.replay_admission(trace, 4, 600.0)
