@@ -205,7 +205,7 @@ def rle_expand(spark, sf_dir):
 
 @query(
     f"""WITH {RUNS_SQL}, n AS (SELECT archive_id, sum(cnt) AS total, sum(cnt) + CAST(archive_id AS BIGINT) % 3 - 1 AS n FROM runs GROUP BY 1)
-SELECT archive_id, CASE WHEN total > n THEN 'stts run-counts exceed stsz sample count' ELSE 'stts run-counts disagree with stsz sample count' END AS detail FROM n WHERE total <> n"""
+SELECT archive_id, CASE WHEN total > n THEN 'stts runs exceed the sample count' ELSE 'stts runs fall short of the sample count' END AS detail FROM n WHERE total <> n"""
 )
 def rle_total_check(spark, sf_dir):
     runs = adapters.runs(spark, sf_dir)

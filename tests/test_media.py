@@ -104,7 +104,7 @@ def test_stsc_rules(spark, stsc, chunks, why):
 
 
 def test_run_totals(spark):
-    for runs, why in (([(3, 1)], "exceed"), ([(1, 1)], "disagree"), ([(2, 1)], None)):
+    for runs, why in (([(3, 1)], "exceed"), ([(1, 1)], "fall short"), ([(2, 1)], None)):
         t = tables(spark, [1, 2], runs, [(1, 2, 1)], [1])
         got = [r["detail"] for r in sample_tables.run_total_check(t["stts"], t["count"], "stts").collect()]
         assert (why in got[0]) if why else got == []
