@@ -11,6 +11,7 @@ from . import adapters
 from .adapters import NOMINAL_SECONDS as SECONDS
 from .functions import scalar
 from .operators import capacity, gates, layout, lookup, sample_tables, segmenter, timeline
+from .plans.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +74,7 @@ def _segments(spark, sf_dir):
 
 def _sums(spark, sf_dir):
     samples, scales, segments = _segments(spark, sf_dir)
+    segments = staged(segments, "segments")
     placed = segmenter.with_segment(samples.join(segments.select("archive_id").distinct(), "archive_id", "left_semi"), segments)
     return samples, scales, layout.payload_sums(placed)
 
@@ -461,6 +463,7 @@ FROM m WINDOW w AS (PARTITION BY archive_id, segment_idx ORDER BY r, sample_idx)
 )
 def mux_order(spark, sf_dir):
     samples, _, segments = _segments(spark, sf_dir)
+    segments = staged(segments, "segments")
     placed = segmenter.with_segment(samples.join(segments.select("archive_id").distinct(), "archive_id", "left_semi"), segments)
     return layout.mux_order(placed).select("archive_id", "segment_idx", "track", "sample_idx", "position", "payload_offset")
 
@@ -528,7 +531,7 @@ def box_scan(spark, sf_dir):
 def _build(spark, sf_dir):
     from .plans.build import Build
 
-    containers = _containers(spark, sf_dir)
+    containers = staged(_containers(spark, sf_dir), "containers")
     return Build(_archive_rows(containers), SECONDS), containers
 
 
