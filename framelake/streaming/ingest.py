@@ -17,6 +17,7 @@ def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
     def batch(rows: DataFrame, _: int) -> None:
         named = [r["path"] for r in rows.collect()]  # new file names of one trigger
         if named:
+            register(rows.sparkSession)
             build = Build(rows.sparkSession.read.format("mp4_archives").option("paths", ",".join(named)).load(), seconds)
             build.indexes().write.format("media_index_files").mode("append").save(target)
 
