@@ -126,6 +126,27 @@ def _first_shard(block: int, seed: str) -> Column:
     return F.when((F.col("mx_size") > 0) & (_taken(block, seed) > 0), F.expr(f"size(filter(mx_quota, x -> x <= {draw}))")).cast("int")
 
 
-def copies(taken: Column, size: Column) -> Column:
-    """Whole copies nearest to the words taken."""
-    return F.when(size > 0, F.floor((2 * taken + size) / (2 * size))).otherwise(F.lit(0)).cast("int")
+def repeated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, seed: str = SEED,
+) -> DataFrame:
+    """docs, all columns, each row written 0 to ``repeat`` times, so that the words of each source meet its target.
+
+    The k-th row of a source, by size, then in the seeded order, gets round(k r) - round((k - 1) r) copies, r being target / source
+    size.  The rounding carries on from row to row and sizes ascend, so (summation by parts) a source's words differ from
+    its target by one of its largest rows at most.  Rows of one size in one hash bucket are ranked together, so a hot source is split.
+    """
+    order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)))
+    group = ["mx_key", "mx_size", "mx_bucket"]
+    rows = docs.withColumns({"mx_key": source_key(F.col(source_col)), "mx_size": words(F.col(text_col)), "mx_order": order, "mx_bucket": F.substring(order, 1, 2)}).filter("mx_size > 0")
+    groups = stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("mx_n")), "mix-groups")
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    by_size = groups.groupBy("mx_key", "mx_size").agg(F.sum("mx_n").alias("mx_n"))
+    plan = targets(by_size.groupBy("mx_key").agg(F.sum(F.col("mx_n") * F.col("mx_size")).alias("mx_source_size")), weights, share, repeat)
+    plan = plan.select("mx_key", (F.col("mx_target") / F.col("mx_source_size")).alias("mx_ratio"))
+    bases = by_size.withColumn("mx_smaller", F.coalesce(F.sum("mx_n").over(before("mx_key", "mx_size")), F.lit(0))).drop("mx_n").join(plan, "mx_key")
+    groups = groups.withColumn("mx_before", F.coalesce(F.sum("mx_n").over(before(*group)), F.lit(0))).drop("mx_n").join(bases, ["mx_key", "mx_size"])
+    inside = Window.partitionBy(*group).orderBy("mx_order", id_col, F.xxhash64(text_col))
+    rows = rows.join(groups, group).withColumn("mx_k", F.col("mx_smaller") + F.col("mx_before") + F.row_number().over(inside))
+    upto = lambda k: F.floor(k * F.col("mx_ratio") + 0.5)
+    rows = rows.withColumn("mx_copies", (upto(F.col("mx_k")) - upto(F.col("mx_k") - 1)).cast("int")).filter("mx_copies > 0")
+    return rows.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select(*docs.columns)

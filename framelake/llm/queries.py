@@ -88,11 +88,8 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated (0 to 2 times) as the words taken of it tell."""
-    plan = mixing.mix(docs).select(F.col("doc_id").alias("mx_id"), mixing.copies(F.col("taken"), F.col("size")).alias("mx_copies")).filter("mx_copies > 0")
-    plan = plan.groupBy("mx_id").agg(F.max("mx_copies").alias("mx_copies"))
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mx_id"]))
-    return taken.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select(*docs.columns)
+    """Each document is repeated (0 to 2 times), so that the words of each source meet its target."""
+    return mixing.repeated(docs)
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Winnowing, mixing, sharding, secrets: against brute force, and on odd tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -121,6 +122,26 @@ def test_mix_meets_targets(spark, sizes):
         assert abs(taken[s] - want[s]) <= 2 * mixing.BLOCK_WORDS, (s, taken[s], want[s])
 
 
+def test_repeated_rows_meet_targets(spark):
+    """Words written per source, with a hot source, sizes of all kinds, repeated rows and null ids."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * max(1, int(rng.lognormvariate(4, 1)))), f"s{0 if k % 3 == 0 else k % 7}") for k in range(1500)]
+    rows += [(9000, "w w w", "s1")] * 3 + [(None, "w " * 40, "s2"), (None, "w " * 50, None), (9001, None, "s1"), (9002, "", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    size = lambda t: len((t or "").split())
+    names = sorted({s for _, _, s in rows if s}) + [None]
+    sizes = [sum(size(t) for _, t, s in rows if s == n) for n in names]
+    got = mixing.repeated(df).collect()
+    again = mixing.repeated(df).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    for n, target in zip(names, water_fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])):
+        written = sum(size(r["text"]) for r in got if r["source"] == n)
+        assert abs(written - target) <= max(size(t) for _, t, s in rows if s == n), (n, written, target)
+    times, there = Counter(map(tuple, got)), Counter(rows)
+    assert all(times[r] <= 2 * n for r, n in there.items()) and set(times) <= set(there)
+    assert mixing.repeated(frame(spark, [])).count() == 0 and mixing.repeated(frame(spark)).columns == frame(spark).columns
+
+
 def test_apportionment_is_sainte_lague(spark):
     units = [10.3, 3.2, 0.4, 7.9, 1.0]
     rows = spark.createDataFrame([(f"0s{i}", u, 100) for i, u in enumerate(units)], "mx_key string, u double, cap long")
