@@ -472,12 +472,12 @@ def mux_order(spark, sf_dir):
 
 
 def _containers(spark, sf_dir):
-    """(archive_id, content): archives of the users whose id is divisible by ten."""
+    """(archive_id, content): the archive of each user."""
     from .functions import synthetic
 
     samples, _ = adapters.media(spark, sf_dir)
     one = F.struct("sample_idx", "dts_delta", F.least("size", F.lit(64)).alias("size"), "cts_offset", "is_sync")
-    groups = samples.filter(F.col("archive_id").cast("long") % 10 == 0).groupBy("archive_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("track") == t, one))).alias(t) for t in ("video", "audio")])
+    groups = samples.groupBy("archive_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("track") == t, one))).alias(t) for t in ("video", "audio")])
 
     def make(frames):
         import pandas as pd

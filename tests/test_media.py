@@ -355,3 +355,13 @@ def test_random_tables_agree_with_the_walk(spark):
             want = demux.walk(demux.sample_tables(reader(data), t))
             got = [r for r in rows if (r["archive_id"], r["track"]) == (name, track)]
             assert [(r["offset"], r["size"], r["dts_delta"], r["cts_offset"], int(r["is_sync"])) for r in got] == [tuple(map(int, w)) for w in want]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_user_has_an_archive(spark):
+    from framelake import queries
+
+    users = {str(r[0]) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().collect()}
+    assert {r[0] for r in queries._containers(spark, SF).select("archive_id").collect()} == users
