@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .adapters import NOMINAL_SECONDS as SECONDS
 from .functions import scalar
 from .operators import capacity, gates, layout, lookup, sample_tables, segmenter, timeline
 from .plans.staging import staged
+from .schema import U32_MAX
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -472,23 +474,36 @@ def mux_order(spark, sf_dir):
 
 
 def _containers(spark, sf_dir):
-    """(archive_id, content): the archive of each user."""
+    """(archive_id, content): the archive of each user.
+
+    Sizes are the rows' own.  The video's timescale is the largest divisor of the rows' microseconds in which each delta has
+    32 bits; decode times are rounded down to its ticks, so they do not drift, and composition offsets stay in ticks.
+    """
     from .functions import synthetic
 
     samples, _ = adapters.media(spark, sf_dir)
-    one = F.struct("sample_idx", "dts_delta", F.least("size", F.lit(64)).alias("size"), "cts_offset", "is_sync")
+    one = F.struct("sample_idx", "dts_delta", "size", "cts_offset", "is_sync")
     groups = samples.groupBy("archive_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("track") == t, one))).alias(t) for t in ("video", "audio")])
 
+    scales = [t for t in range(adapters.TIMESCALE, 0, -1) if adapters.TIMESCALE % t == 0]
+
+    def ticks(deltas):
+        """(timescale, deltas): of the video."""
+        most = max(deltas, default=0)
+        timescale = next((t for t in scales if most * t // adapters.TIMESCALE < U32_MAX), 1)
+        at = [us * timescale // adapters.TIMESCALE for us in itertools.accumulate(deltas, initial=0)]
+        return timescale, [b - a for a, b in itertools.pairwise(at)]
+
     def make(frames):
         import pandas as pd
 
         for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                part = lambda rs: {"deltas": [min(r["dts_delta"], 2**32 - 1) for r in rs], "sizes": [max(1, r["size"]) for r in rs]}
-                video = part(row.video) | {"timescale": adapters.TIMESCALE, "sync": [r["sample_idx"] for r in row.video if r["is_sync"]], "cts": [r["cts_offset"] for r in row.video]}
-                out.append((row.archive_id, synthetic.archive(video, part(row.audio) | {"timescale": adapters.AUDIO_TIMESCALE})))
-            yield pd.DataFrame(out, columns=["archive_id", "content"])
+            for row in frame.itertuples(index=False):  # one at a time: contents are large
+                timescale, deltas = ticks([r["dts_delta"] for r in row.video])
+                sizes = lambda rs: [r["size"] for r in rs]
+                video = {"timescale": timescale, "deltas": deltas, "sizes": sizes(row.video), "sync": [r["sample_idx"] for r in row.video if r["is_sync"]], "cts": [r["cts_offset"] for r in row.video]}
+                audio = {"timescale": adapters.AUDIO_TIMESCALE, "deltas": [r["dts_delta"] for r in row.audio], "sizes": sizes(row.audio)}
+                yield pd.DataFrame([(row.archive_id, synthetic.archive(video, audio))], columns=["archive_id", "content"])
 
     return groups.mapInPandas(make, "archive_id string, content binary")
 

@@ -365,3 +365,21 @@ def test_every_user_has_an_archive(spark):
 
     users = {str(r[0]) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().collect()}
     assert {r[0] for r in queries._containers(spark, SF).select("archive_id").collect()} == users
+
+
+def test_archives_keep_the_rows_times_and_sizes(spark):
+    """The index files agree with the relational queries on the same rows; EXTINF to a tick, times being rounded down to ticks."""
+    from framelake import queries
+
+    run = lambda name: queries.QUERIES[name](spark, SF)
+    got = {r["archive_id"]: r for r in run("idx_roundtrip").collect()}
+    segments = {r[0]: r[1] for r in run("segment_table").groupBy("archive_id").count().collect()}
+    largest = {r[0]: r[1] for r in layout.max_segment_size(queries._layout(spark, SF)[1]).collect()}
+    lists = {r["archive_id"]: r["playlist"] for r in run("playlist_text").collect()}
+    events = {str(r[0]): r[1] for r in spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").count().collect()}
+    assert set(got) == set(segments) == set(largest)
+    seconds = lambda text: [float(x.split(":")[1][:-1]) for x in text.splitlines() if x.startswith("#EXTINF")]
+    for i, r in got.items():
+        assert (r["variant"], r["n_segments"], r["max_segment_size"], r["n_video"]) == (None, segments[i], largest[i], events[i])
+        a, b = seconds(r["playlist"]), seconds(lists[i])
+        assert len(a) == len(b) and max(abs(x - y) for x, y in zip(a, b)) < 2e-3
