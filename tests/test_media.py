@@ -383,3 +383,11 @@ def test_archives_keep_the_rows_times_and_sizes(spark):
         assert (r["variant"], r["n_segments"], r["max_segment_size"], r["n_video"]) == (None, segments[i], largest[i], events[i])
         a, b = seconds(r["playlist"]), seconds(lists[i])
         assert len(a) == len(b) and max(abs(x - y) for x, y in zip(a, b)) < 2e-3
+
+
+def test_every_segment_is_made_into_bytes(spark):
+    from framelake import queries
+
+    got = {(r["archive_id"], r["segment_idx"]): r["n_bytes"] for r in queries.QUERIES["segment_bytes_blob"](spark, SF).collect()}
+    want = {(r["archive_id"], r["segment_idx"]): r["segment_bytes"] for r in queries._layout(spark, SF)[1].collect()}
+    assert got == want and max(i for _, i in got) > 0
