@@ -11,6 +11,7 @@ from . import decontaminate, hilbert, language, minhash, mixing, pseudonyms, sec
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
+STAGE_PERCENT = 80
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -78,8 +79,8 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each group of near copies stays."""
-    return minhash.drop_near_duplicates(docs)
+    """The least id of each group of near copies, of similarity 0.8 or more, stays."""
+    return minhash.drop_near_duplicates(docs, percent=STAGE_PERCENT)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from framelake.llm import decontaminate, language, minhash, pseudonyms, substrings, tokens
-from framelake.llm.queries import tokenizer_path
+from framelake.llm.queries import stage_near_duplicates, tokenizer_path
 
 from .cases import frame, odd_documents, unique_rows
 
@@ -237,6 +237,22 @@ def test_near_duplicates_match_brute_force(spark):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_the_stage_links_from_080_on(spark):
+    """Pairs of similarities about 0.75, 0.82 and 0.9: op10 links the last alone, the stage the last two."""
+    rng = random.Random(17)
+    rows = []
+    for k, (changed, _) in enumerate(((29, 0.75), (20, 0.82), (10, 0.9))):
+        for j in range(20):
+            a = [f"v{k}-{j}-{rng.random()}" for _ in range(204)]
+            b = a[: len(a) - changed] + [f"y{k}-{j}-{i}" for i in range(changed)]
+            rows += [(1000 * k + 2 * j, " ".join(a)), (1000 * k + 2 * j + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda d: [sum(r["doc_id"] // 1000 == k for r in d.collect()) for k in range(3)]
+    assert left(minhash.drop_near_duplicates(df)) == [40, 40, 20]
+    assert left(stage_near_duplicates(spark, df, "")) == [40, 20, 20]
+    assert minhash.banding(85) == (25, 5) and all((1 - (p / 100) ** minhash.banding(p)[1]) ** minhash.banding(p)[0] < 1e-6 for p in (80, 85, 90))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(frame(spark)).collect()
     assert len(got) == len(odd_documents())
