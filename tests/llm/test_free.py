@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import decontaminate, language, minhash, pseudonyms, substrings, tokens
 from framelake.llm.queries import stage_near_duplicates, tokenizer_path
@@ -253,6 +254,15 @@ def test_the_stage_links_from_080_on(spark):
     assert minhash.banding(85) == (25, 5) and all((1 - (p / 100) ** minhash.banding(p)[1]) ** minhash.banding(p)[0] < 1e-6 for p in (80, 85, 90))
 
 
+def test_a_round_without_pairs_is_not_the_last(spark):
+    """In the only bucket, the first centre differs too much in size from the others, which are near copies."""
+    long = [f"v{i}" for i in range(104)]
+    rows = [(0, "a b c d e f"), (1, " ".join(long)), (2, " ".join([*long[:-1], "changed"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base = minhash.signatures(df, "doc_id", "text").withColumn("nd_bands", F.array(F.lit(7).cast("long")))
+    assert [tuple(r) for r in minhash.links_and_components(df, "doc_id", "text", base).collect()] == [(2, 1)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(frame(spark)).collect()
     assert len(got) == len(odd_documents())
