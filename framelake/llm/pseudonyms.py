@@ -160,6 +160,7 @@ KINDS = (
 )
 ANY = re.compile("|".join(f"(?:{p})" for _, p, _ in KINDS))
 MAKE = {k: f for k, _, f in KINDS}
+GROUPED = ("card", "iban")
 SINGLE = [(k, re.compile(p)) for k, p, _ in KINDS]
 
 
@@ -170,11 +171,14 @@ def pseudonymise_text(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str,
         # another kind may match at the same place if the first is not valid
         for kind, pattern in SINGLE:
             own = pattern.match(text, m.start())
-            new = MAKE[kind](own.group(), key) if own else None
+            start, end, new = (own.start(), own.end(), MAKE[kind](own.group(), key)) if own else (0, 0, None)
+            # the last groups of a card or IBAN may be other words
+            while own and new is None and kind in GROUPED and (end := max(text.rfind(c, start, end) for c in " -")) > start:
+                new = MAKE[kind](text[start:end], key) if pattern.fullmatch(text, start, end) else None
             if new is not None:
-                out += [text[at : own.start()], new]
-                spans.append((kind, own.start(), own.end()))
-                at = look = own.end()
+                out += [text[at:start], new]
+                spans.append((kind, start, end))
+                at = look = end
                 break
         else:
             look = m.start() + 1

@@ -43,6 +43,17 @@ def test_invalid_values_stay(value):
     assert pseudonyms.pseudonymise_text(value, KEY) == (value, [])
 
 
+@pytest.mark.parametrize("text,own,kind", [
+    ("card 4111 1111 1111 1111 123 end", "4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"), ("4111-1111-1111-1111 9", "4111-1111-1111-1111", "card"),
+    ("to GB82 WEST 1234 5698 7654 32 BANK now", "GB82 WEST 1234 5698 7654 32", "iban"), ("GB82WEST12345698765432 BANK", "GB82WEST12345698765432", "iban"),
+    ("ES91 2100 0418 4502 0005 1332 BANK", "ES91 2100 0418 4502 0005 1332", "iban"),
+])
+def test_values_before_other_groups_are_found(text, own, kind):
+    new, spans = pseudonyms.pseudonymise_text(text, KEY)
+    at = text.index(own)
+    assert spans == [(kind, at, at + len(own))] and own not in new and new[:at] == text[:at] and new[at + len(own) :] == text[at + len(own) :]
+
+
 def test_pseudonyms_of_odd_rows(spark):
     df = frame(spark)
     got = pseudonyms.pseudonymise(df).collect()
