@@ -8,53 +8,61 @@ Documents are sorted by id into range partitions; each partition's task writes,
 A manifest row per file (order, documents, ids) is committed by Spark, so files of failed attempts are never read;
 the base of each file is the prefix sum of the ids before it.  Reading maps the files into memory.
 
-Whatever the tokenizer's pieces are, no piece of this vocabulary kind spans white space, so a text's ids are those of its
-chunks between ASCII white space; a chunk is encoded by the library once and remembered.
+Ids are those of the library for the whole text, control strings included.  Where the tokenizer's own normaliser, pre-tokeniser
+and added tokens let no piece span or see ASCII white space (``cuts_at_space``), texts are cut there, and each distinct chunk is
+given to the library as it is, once; for any other tokenizer the library gets whole texts.
 
-Defined results: a null or empty text has the end id alone; null ids sort first; repeated rows stay,
-each a document of its own; empty tables make no files and give no rows.
+Defined results: a null or empty text has the end id alone; null ids sort first; repeated rows stay, each a document of
+its own; rows of one id are ordered by text; a very long text is one document, encoded whole; other columns, whatever their names, are not
+read; empty tables make no files and give no rows.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, open_shared, shuffle_partitions, stage
 
 END_ID = 2
-#: Chunks remembered by a worker, and twice as many words: some 300 MB.
+#: Distinct chunks remembered by a worker: some 150 MB.
 REMEMBERED = 500_000
+#: Bytes of text encoded at a time; one longer text goes alone.
+PIECE_BYTES = 4 << 20
 NULL_ID = -(2**63)
-SPACES, POINTS = "\t\n\x0b\x0c\r", ".,;:!?"
+#: Steps that treat each run between white space by itself.  Fixed values of the public file format.
+NORMALISERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+SPACE_RUN = {"Regex": r"\s+"}
+SPACELESS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 _encoders: dict = {}
 
 
-class Remembered(dict):
-    """A bounded memory in two halves: entries used since the last turn, and those before it."""
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    if not part:
+        return []
+    return [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.before = most // 2, {}
 
-    def __missing__(self, key):
-        self[key] = value = self.before[key]
-        return value
-
-    def has(self, key) -> bool:
-        return key in self or key in self.before
-
-    def turn(self) -> None:
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
+def cuts_at_space(described: dict) -> bool:
+    """Whether a tokenizer (its JSON file) gives a text the ids of its runs between ASCII white space, one after another."""
+    for n in _steps(described.get("normalizer"), "normalizers"):
+        if n["type"] not in NORMALISERS and not (n["type"] == "Replace" and n["pattern"] == SPACE_RUN and n["content"] == " "):
+            return False
+    first = (_steps(described.get("pre_tokenizer"), "pretokenizers") or [{"type": None}])[0]
+    found = first["type"] == "Split" and first["pattern"].get("Regex") in SPACELESS and first["behavior"] == "Removed" and first["invert"]
+    if first["type"] not in SPLITTERS and not found:
+        return False
+    return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in described.get("added_tokens") or [])
 
 
 class Encoder:
@@ -65,47 +73,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a document are ordinary text
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.type.itemsize == 2 else "I"
-        self.chunks, self.words = Remembered(REMEMBERED), Remembered(2 * REMEMBERED)
-        probe = ["probe", "the", "zqxjk"]
-        self.plain = all([x.id for x in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
-
-    def _parts(self, chunk: str) -> tuple[str, str]:
-        """Word and closing points, which never share a piece after a letter; ASCII words are folded as the library folds them."""
-        word = chunk.rstrip(POINTS)
-        if not word or not word[-1].isalpha():
-            word = chunk
-        return (word.lower() if word.isascii() else word), chunk[len(word) :]
-
-    def _learn(self, new: set[str]) -> None:
-        parts = {c: self._parts(c) for c in new}
-        unknown = [w for w in {w for p in parts.values() for w in p} if not self.words.has(w)]
-        # a run of lower-case ASCII letters is one piece and its bytes stand for themselves: the library's model takes it as it is
-        plain = [w for w in unknown if w.isascii() and w.isalpha()] if self.plain else []
-        for w in plain:
-            self.words[w] = array(self.code, [x.id for x in self.tokenizer.model.tokenize(w)]).tobytes()
-        rest = [w for w in unknown if not self.words.has(w)]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[w] = array(self.code, e.ids).tobytes()
-        for c, (word, points) in parts.items():
-            self.chunks[c] = self.words[word] + self.words[points]
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Each text's ids and the end id, as bytes of the file's type."""
-        end = np.array([end_id], self.type).tobytes()
-        cut = []
-        for t in texts:
-            for s in SPACES:
-                t = t.replace(s, " ") if t else ""
-            cut.append(t.split(" "))
-        self.chunks.turn()
-        self.words.turn()
-        known, before = self.chunks, self.chunks.before
-        self._learn({c for c in set().union(*cut) if c not in known and c not in before})
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, cs)) + end for cs in cut]
+        with open(path, encoding="utf-8") as f:
+            self.cut = cuts_at_space(json.load(f))
+        self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, self.type), np.zeros(1, np.int64)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, lengths)."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for g in got for i in g), self.type, lengths.sum()), lengths
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        """Places of distinct chunks among the remembered ones; new ones are learned."""
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        new = [c for c in chunks if c not in self.place]
+        if new:
+            ids, lengths = self._library(new)
+            self.place.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            self.flat = np.concatenate([self.flat, ids])
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        runs = pc.ascii_split_whitespace(texts)
+        chunks = pc.dictionary_encode(runs.flatten())
+        at = self._places(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        return ids, np.diff(before[runs.offsets.to_numpy() - runs.offsets[0].as_py()])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, lengths) of the texts, the end id after each."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ids, lengths = self._cut(texts) if self.cut else self._library(texts.to_pylist())
+        return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
 def encoder(path: str) -> Encoder:
@@ -114,6 +122,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most size bytes of text, of one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write the files; returns the committed manifest (name, first, part, docs, ids, start) in file order.
 
@@ -125,10 +143,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     def write(batches):
         name, part = uuid.uuid4().hex, None
         fs, root = open_shared(folder)
-        lengths, ids, out, first = [], [], None, None
+        lengths, ids, out, enc = [], [], None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
+            for piece in pieces(batch, 1):
                 if out is None:
                     from pyspark import TaskContext
 
@@ -136,17 +153,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}.bin")
                     enc = encoder(tokenizer_path)
-                got = enc.encode(piece.column(1).to_pylist(), end_id)
-                out.write(b"".join(got))
-                lengths += [len(x) // enc.type.itemsize for x in got]
-                ids += [NULL_ID if x is None else x for x in piece.column(0).to_pylist()]
+                got, n = enc.encode(piece.column(1), end_id)
+                out.write(got.astype(enc.type).tobytes())
+                lengths.append(n)
+                ids.append(piece.column(0).fill_null(NULL_ID).to_numpy().astype("<i8"))
         if out is None:
             return
         out.close()
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
         with fs.open_output_stream(f"{root}/{name}.idx") as idx:
-            idx.write(np.concatenate([[0], np.cumsum(lengths)]).astype("<u8").tobytes())
-            idx.write(np.array(ids, "<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"name": [name], "part": [part], "docs": [len(lengths)], "ids": [int(sum(lengths))], "width": [enc.type.itemsize]}, schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("width", pa.int64())]))
+            idx.write(offsets.astype("<u8").tobytes())
+            idx.write(np.concatenate(ids).tobytes())
+        yield pa.RecordBatch.from_pydict({"name": [name], "part": [part], "docs": [len(offsets) - 1], "ids": [int(offsets[-1])], "width": [enc.type.itemsize]}, schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("width", pa.int64())]))
 
     manifest = stage(ordered.mapInArrow(write, "name string, part long, docs long, ids long, width long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,15 +188,53 @@ def test_token_files_round_trip(spark):
     assert tokens.read_tokens(tokens.write_tokens(frame(spark, []), tokenizer_path())).count() == 0
 
 
-def test_encoder_agrees_with_the_library_on_odd_white_space():
+ODD_TEXTS = [
+    "a b c\x1cd\x85e", "é \u0301x", "<|endoftext|> it's", "<|EndOfText|>", "x<|startoftext|>y. <|endoftext|>", "İ.", "İstanbul, ΑΣ ΟΔΟΣ", "tab\tline\r\nend  ", "ﬁ №5 ½ ١٢", "", " ", None,
+    "The Cat sat. On the MAT", "two  spaces", "o\u0308\u0323. A\u030a! 'S it'S", "日本語 " * 30, "x" * 3000,
+]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_agrees_with_the_unaltered_library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    texts = ["a b c\x1cd\x85e", "é ́x", "<|endoftext|> it's", "ΑΣ ΟΔΟΣ, İstanbul", "tab\tline\r\nend  ", "ﬁ №5 ½ ١٢"]
-    got = tokens.encoder(tokenizer_path()).encode(texts, 2)
-    for text, b in zip(texts, got, strict=True):
-        assert np.frombuffer(b, "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], text
+    t = Tokenizer.from_file(tokenizer_path(name))
+    texts = ODD_TEXTS + [r[1] for r in odd_documents()]
+    enc = tokens.encoder(tokenizer_path(name))
+    assert enc.cut == (name == "word_bpe_49k.json")
+    for own in (texts, texts[:3], texts):  # the later ones from memory
+        ids, lengths = enc.encode(pa.array(own, pa.string()), 2)
+        assert lengths.sum() == len(ids)
+        for text, b in zip(own, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            assert b.tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
+def test_encoder_forgets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    t, enc = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path())
+    for text in ("one two three four", "four five one", "six", "one six seven"):
+        ids, _ = enc.encode(pa.array([text]), 2)
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_tokenizers_that_see_white_space_get_whole_texts():
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        d = json.load(f)
+    d["model"] = None
+    assert tokens.cuts_at_space(d)
+    for change in ({"pre_tokenizer": {"type": "Metaspace"}}, {"pre_tokenizer": None}, {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False, "single_word": False}]}):
+        assert not tokens.cuts_at_space(d | change)
+
+
+def test_pieces_cover_a_batch():
+    batch = pa.RecordBatch.from_pydict({"text": ["abc", None, "x" * 50, "", "de", "f" * 9]})
+    got = list(tokens.pieces(batch, 0, 10))
+    assert [x for p in got for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(0).to_pylist()) <= 10 for p in got)
 
 
 def shingle_set(text):
