@@ -3,83 +3,135 @@
 Items are lower-cased (A-Z) and cut into words; every window of 13 consecutive words (a shorter
 item: all of its words) is a pattern.  Each distinct pattern word has a code, one character of
 the automaton's alphabet, so a document is scanned once, a word at a step; unknown words get
-the code 0, which no pattern has.  Hit words map back to offsets of the original text.
+a code that no pattern has.  Hit words map back to offsets of the original text.
 
-The patterns are cut into blocks of at most ``BLOCK_WORDS`` words; one automaton is built for each
-block and all are applied to each batch of documents, so memory does not grow with the benchmark.
+The executors cut the benchmark into distinct patterns and write them to the shared folder; a Python worker reads them there and builds
+the automaton once, so the benchmark passes through neither the driver nor a broadcast.  An automaton takes some 100 bytes a pattern
+word, so beyond ``BLOCK_WORDS`` pattern words the patterns are dealt into several files, and the workers take the automata in
+turn over larger pieces of text: memory is one automaton and one piece, whatever the benchmark's size.
 
-Defined results: a null text or one without words has no words, no hits and is clean; items
-without words match nothing; equal items each count; null item ids count as hits but have no id
-to list; repeated documents stay, each with its result; empty tables give no rows or no hits.
+Defined results: a null text or one without words has no words, no hits and is clean; items without words match nothing; items
+of one id count as one; items of null id count as one that is not listed; repeated documents stay, each with its
+result; very long texts are scanned whole; other columns, whatever their names, are kept by ``drop_contaminated`` and not read by
+``decontaminate``; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import new_folder, open_shared, pieces, stage
 
 WINDOW, SHARE = 13, 20
-#: Words of the patterns of one automaton: some 100 MB of nodes.
-BLOCK_WORDS = 1_500_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-FOLD = str.maketrans(UPPER, LOWER)
+#: Words of the patterns of one automaton: some 100 MB of nodes, and fewer distinct words than there are characters.
+BLOCK_WORDS = 1_000_000
+#: Bytes of text scanned at a time, with one automaton and with several.
+PIECE_BYTES, TURN_BYTES = 4 << 20, 64 << 20
+#: Bytes of words stand for themselves, A-Z for a-z, all others for blanks.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+RUN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 FIRST_CODE = 0x100  # codes above; surrogates are skipped
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(FOLD)) if text else []
+def words(text: bytes | None) -> list[bytes]:
+    return text.translate(FOLDED).split() if text else []
 
 
-def windows(tokens: list[str], width: int = WINDOW) -> list[tuple[str, ...]]:
-    if len(tokens) < width:
-        return [tuple(tokens)] if tokens else []
-    return [tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)]
+def windows(tokens: list[bytes], width: int = WINDOW) -> Iterator[list[bytes]]:
+    """Every width consecutive words, or all of them if they are fewer."""
+    if tokens:
+        yield from (tokens[i : i + width] for i in range(max(1, len(tokens) - width + 1)))
 
 
-def pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_words: int):
-    """Blocks of {pattern: item ids}, streamed from the benchmark partition by partition."""
-    block: dict[tuple[str, ...], list] = {}
-    size = 0
-    for row in benchmark.select(item_col, text_col).toLocalIterator():
-        for w in dict.fromkeys(windows(words(row[1]), width)):
-            block.setdefault(w, []).append(row[0])
-            size += len(w)
-        if size >= block_words:
-            yield block
-            block, size = {}, 0
-    if block:
-        yield block
+def write_patterns(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[str, list[str]]:
+    """(folder, names of its files): the distinct patterns with their items, in files of some block_words words.
+
+    Only a count of words and the files' names come to the driver.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                tokens = words(text)
+                for at in range(0, max(1, len(tokens) - width + 1), 4096):
+                    own = {b" ".join(w) for w in windows(tokens[at : at + 4096 + width - 1], width)}
+                    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([item] * len(own), pa.string())], names=["pattern", "item"])
+
+    cuts = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(cut, "pattern binary, item string")
+    patterns = cuts.groupBy("pattern").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("nameless"))
+    patterns = stage(patterns.withColumn("n", F.size(F.split(F.col("pattern").cast("string"), " ")).cast("long")), "patterns")
+    total = patterns.agg(F.sum("n")).first()[0] or 0
+    folder = new_folder(benchmark.sparkSession, "automata")
+
+    def write(batches):
+        fs, root = open_shared(folder)
+        name, out = f"{uuid.uuid4().hex}.patterns", None
+        for batch in batches:
+            if batch.num_rows and out is None:
+                fs.create_dir(root, recursive=True)
+                out = fs.open_output_stream(f"{root}/{name}")
+                writer = pa.ipc.new_stream(out, batch.schema)
+            if out is not None:
+                writer.write_batch(batch)
+        if out is not None:
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    if not total:
+        return folder, []
+    dealt = patterns.drop("n").repartition(-(-total // block_words), "pattern").mapInArrow(write, "name string")
+    return folder, sorted(r["name"] for r in stage(dealt, "automata-names").collect())
 
 
 class Automaton:
-    def __init__(self, block: dict[tuple[str, ...], list]):
+    """Patterns as strings of word codes."""
+
+    def __init__(self, patterns: list[bytes], items: list[list[str | None]]):
         import ahocorasick
 
-        self.code: dict[str, str] = {}
+        self.code: dict[bytes, str] = {}
         self.machine = ahocorasick.Automaton()
-        for pattern, items in block.items():
-            self.machine.add_word("".join(self._code(w) for w in pattern), (len(pattern), items))
+        for pattern, own in zip(patterns, items, strict=True):
+            tokens = pattern.split(b" ")
+            self.machine.add_word("".join([self._code(w) for w in tokens]), (len(tokens), own))
         self.machine.make_automaton()
 
-    def _code(self, word: str) -> str:
+    def _code(self, word: bytes) -> str:
         if word not in self.code:
             n = FIRST_CODE + len(self.code)
             self.code[word] = chr(n if n < 0xD800 else n + 0x800)
         return self.code[word]
 
-    def scan(self, tokens: list[str], spans: list, items: set) -> None:
+    def scan(self, tokens: list[bytes], spans: list, items: set) -> None:
         get = self.code.get
         for end, (n, found) in self.machine.iter("".join([get(w, "\0") for w in tokens])):
             spans.append((end - n + 1, end + 1))
             items.update(found)
 
 
+_built: dict[tuple[str, str], Automaton] = {}
+
+
+def automaton(folder: str, name: str) -> Automaton:
+    """Built once by a worker and kept until it needs another."""
+    if (folder, name) not in _built:
+        _built.clear()
+        fs, root = open_shared(folder)
+        with fs.open_input_stream(f"{root}/{name}") as f:
+            t = pa.ipc.open_stream(f).read_all()
+        items = [own + [None] * nameless for own, nameless in zip(t.column("items").to_pylist(), t.column("nameless").to_pylist(), strict=True)]
+        _built[folder, name] = Automaton(t.column("pattern").to_pylist(), items)
+    return _built[folder, name]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -90,34 +142,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_built: dict = {}
-
+def scanned(batches: Iterator[pa.RecordBatch], column: int, folder: str, names: list[str]):
+    """(rows, [(words, hit runs of words, items) of each row]) for pieces of the batches, of bounded size."""
+    for batch in batches:
+        for piece in pieces(batch, column, PIECE_BYTES if len(names) < 2 else TURN_BYTES):
+            texts = piece.column(column).cast(pa.binary())
+            spans, items, n = [[] for _ in range(len(texts))], [set() for _ in range(len(texts))], [0] * len(texts)
+            for name in names or [None]:
+                machine = automaton(folder, name) if name else None
+                for i, text in enumerate(texts):
+                    tokens = words(text.as_py())
+                    n[i] = len(tokens)
+                    if tokens and machine:
+                        machine.scan(tokens, spans[i], items[i])
+            yield piece, list(zip(n, map(merged, spans), items, strict=True))
 
-def _automata(shared: list):
-    """Automata of the broadcast blocks; with one block it is kept for the worker's life, else one lives at a time."""
-    for b in shared:
-        if len(shared) == 1:
-            if b.id not in _built:
-                _built.clear()
-                _built[b.id] = Automaton(b.value)
-            yield _built[b.id]
-        else:
-            yield Automaton(b.value)
 
-
-def _keep(share: int):
-    return lambda n_hit, n_words: n_hit > 0 and share * n_hit >= n_words
-
-
-class _Shared:
-    """A broadcast block with a key that survives pickling."""
-
-    def __init__(self, broadcast, key):
-        self.broadcast, self.id = broadcast, key
-
-    @property
-    def value(self):
-        return self.broadcast.value
+def is_contaminated(n_words: int, runs: list[tuple[int, int]], share: int = SHARE) -> bool:
+    hit = sum(b - a for a, b in runs)
+    return hit > 0 and share * hit >= n_words
 
 
 def decontaminate(
@@ -126,65 +169,34 @@ def decontaminate(
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (code point offsets into the text).
 
-    One pass over the documents, no shuffle.
+    One pass over the documents, no shuffle of them.
     """
-    spark = docs.sparkSession
-    shared = []
-    for block in pattern_blocks(benchmark, item_col, item_text_col, window, block_words):
-        b = spark.sparkContext.broadcast(block)
-        shared.append(_Shared(b, f"{spark.sparkContext.applicationId}-{id(b)}-{len(shared)}-{len(block)}"))
-    contaminated = _keep(share)
+    folder, names = write_patterns(benchmark, item_col, item_text_col, window, block_words)
+    place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches):
-        for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                tokens = [words(t) for t in texts]
-                spans, items = [[] for _ in texts], [set() for _ in texts]
-                for machine in _automata(shared):
-                    for i, t in enumerate(tokens):
-                        if t:
-                            machine.scan(t, spans[i], items[i])
-                rows = []
-                for text, t, s, ids in zip(texts, tokens, spans, items, strict=True):
-                    runs = merged(s)
-                    n_hit = sum(b - a for a, b in runs)
-                    places = []
-                    if runs:
-                        found = [m.span() for m in WORD.finditer(text.translate(FOLD))]
-                        places = [{"start": found[a][0], "end": found[b - 1][1]} for a, b in runs]
-                    listed = ",".join(sorted(str(x) for x in ids if x is not None))
-                    rows.append((len(t), n_hit, len(ids), hashlib.sha256(listed.encode()).hexdigest(), contaminated(n_hit, len(t)), places))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.bool_()),
-                     pa.array(cols[5], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
-                )
-
-    schema = f"`{id_col}` long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start: long, end: long>>"
-    return docs.select(id_col, text_col).mapInArrow(scan, schema)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """docs, all columns, without the contaminated ones; one pass, no shuffle."""
-    spark = docs.sparkSession
-    shared = []
-    for block in pattern_blocks(benchmark, "item_id", "text", window, BLOCK_WORDS):
-        b = spark.sparkContext.broadcast(block)
-        shared.append(_Shared(b, f"{spark.sparkContext.applicationId}-{id(b)}-{len(shared)}-{len(block)}"))
-    contaminated, place = _keep(share), docs.columns.index(text_col)
+        for piece, found in scanned(batches, 1, folder, names):
+            rows = []
+            for i, (n, runs, items) in enumerate(found):
+                at = [m.span() for m in RUN.finditer(piece.column(1)[i].as_py())] if runs else []
+                listed = ",".join(sorted(x for x in items if x is not None))
+                rows.append((n, sum(b - a for a, b in runs), len(items), hashlib.sha256(listed.encode()).hexdigest(), is_contaminated(n, runs, share), [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), place]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start: long, end: long>>")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """docs, all columns, without the contaminated ones; one pass over them, no shuffle of them."""
+    folder, names = write_patterns(benchmark, item_col, item_text_col, window, block_words)
+    column = docs.columns.index(text_col)
 
     def scan(batches):
-        for batch in batches:
-            tokens = [words(t) for t in batch.column(place).to_pylist()]
-            spans = [[] for _ in tokens]
-            for machine in _automata(shared):
-                for i, t in enumerate(tokens):
-                    if t:
-                        machine.scan(t, spans[i], set())
-            keep = np.array([not contaminated(sum(b - a for a, b in merged(s)), len(t)) for s, t in zip(spans, tokens, strict=True)], dtype=bool)
-            yield batch.filter(pa.array(keep))
+        for piece, found in scanned(batches, column, folder, names):
+            yield piece.filter(pa.array([not is_contaminated(n, runs, share) for n, runs, _ in found], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)

@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_shared, shuffle_partitions, stage
+from .common import new_folder, open_shared, pieces, shuffle_partitions, stage
 
 END_ID = 2
 #: Distinct chunks remembered by a worker: some 150 MB.
@@ -122,16 +121,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most size bytes of text, of one row at least."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, at = np.cumsum(lengths), 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write the files; returns the committed manifest (name, first, part, docs, ids, start) in file order.
 
@@ -145,7 +134,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         fs, root = open_shared(folder)
         lengths, ids, out, enc = [], [], None, None
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, PIECE_BYTES):
                 if out is None:
                     from pyspark import TaskContext
 
