@@ -1,12 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton over word codes.
 
 Items are lower-cased (A-Z) and cut into words; every window of 13 consecutive words (a shorter
-item: all of its words) is a pattern.  Each distinct pattern word has a code, one character of
-the automaton's alphabet, so a document is scanned once, a word at a step; unknown words get
-a code that no pattern has.  Hit words map back to offsets of the original text.
+item: all of its words) is a pattern.  Each distinct pattern word has a code, three digits of the automaton's alphabet,
+each place with digits of its own, so no node has more than 128 children and matches start at words.  Unknown words get
+a code that no pattern has; a match lies in a run of known words, so the automaton takes those runs that are as long as the
+shortest pattern, and each text once.  Hit words map back to offsets of the original text.
 
 The executors cut the benchmark into distinct patterns and write them to the shared folder; a Python worker reads them there and builds
-the automaton once, so the benchmark passes through neither the driver nor a broadcast.  An automaton takes some 100 bytes a pattern
+the automaton once, so the benchmark passes through neither the driver nor a broadcast.  An automaton takes some 300 bytes a pattern
 word, so beyond ``BLOCK_WORDS`` pattern words the patterns are dealt into several files, and the workers take the automata in
 turn over larger pieces of text: memory is one automaton and one piece, whatever the benchmark's size.
 
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from .common import new_folder, open_shared, pieces, stage
 
 WINDOW, SHARE = 13, 20
-#: Words of the patterns of one automaton: some 100 MB of nodes, and fewer distinct words than there are characters.
-BLOCK_WORDS = 1_000_000
+#: Words of the patterns of one automaton: some 150 MB of nodes, and fewer distinct words than there are codes.
+BLOCK_WORDS = 500_000
 #: Bytes of text scanned at a time, with one automaton and with several.
 PIECE_BYTES, TURN_BYTES = 4 << 20, 64 << 20
 #: Bytes of words stand for themselves, A-Z for a-z, all others for blanks.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 RUN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-FIRST_CODE = 0x100  # codes above; surrogates are skipped
+#: First character of each place's digits, and bits of a digit.
+DIGITS, DIGIT_BITS = (0x100, 0x200, 0x300), 7
+UNKNOWN = "\0" * len(DIGITS)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -99,22 +102,28 @@ class Automaton:
 
         self.code: dict[bytes, str] = {}
         self.machine = ahocorasick.Automaton()
+        least = 1 << 30
         for pattern, own in zip(patterns, items, strict=True):
             tokens = pattern.split(b" ")
+            least = min(least, len(tokens))
             self.machine.add_word("".join([self._code(w) for w in tokens]), (len(tokens), own))
         self.machine.make_automaton()
+        self.known = re.compile(f"[^\0]{{{len(DIGITS) * least},}}")
 
     def _code(self, word: bytes) -> str:
         if word not in self.code:
-            n = FIRST_CODE + len(self.code)
-            self.code[word] = chr(n if n < 0xD800 else n + 0x800)
+            n = len(self.code)
+            self.code[word] = "".join(chr(first + (n >> DIGIT_BITS * k & (1 << DIGIT_BITS) - 1)) for k, first in enumerate(DIGITS))
         return self.code[word]
 
     def scan(self, tokens: list[bytes], spans: list, items: set) -> None:
         get = self.code.get
-        for end, (n, found) in self.machine.iter("".join([get(w, "\0") for w in tokens])):
-            spans.append((end - n + 1, end + 1))
-            items.update(found)
+        codes = "".join([get(w, UNKNOWN) for w in tokens])
+        for run in self.known.finditer(codes):
+            for end, (n, found) in self.machine.iter(codes, run.start(), run.end()):
+                at = (end + 1) // len(DIGITS)
+                spans.append((at - n, at))
+                items.update(found)
 
 
 _built: dict[tuple[str, str], Automaton] = {}
