@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import new_folder, open_shared, pieces, shuffle_partitions, stage
 
 END_ID = 2
 #: Distinct chunks remembered by a worker: some 150 MB.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Bytes of text encoded at a time; one longer text goes alone.
 PIECE_BYTES = 4 << 20
 NULL_ID = -(2**63)
@@ -75,29 +76,43 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.cut = cuts_at_space(json.load(f))
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+        self.place: dict[str, int] = {}
         self._forget()
 
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, self.type), np.zeros(1, np.int64)
+    def _forget(self, kept: list[str] | None = None) -> None:
+        """Keep these remembered chunks only."""
+        old = np.array([self.place[c] for c in kept or []], np.int64)
+        size = self.ends[old + 1] - self.ends[old] if kept else old
+        ends = np.concatenate([[0], np.cumsum(size)])
+        self.flat = self.flat[np.repeat(self.ends[old] - ends[:-1], size) + np.arange(ends[-1])] if kept else np.zeros(0, self.type)
+        self.place = {c: i for i, c in enumerate(kept or [])}
+        self.ends, self.again = ends, np.zeros(len(old), bool)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, lengths)."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for g in got for i in g), self.type, lengths.sum()), lengths
+        ids, lengths = [np.zeros(0, self.type)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 8192):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 8192], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), self.type, lengths[-1].sum()))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _places(self, chunks: list[str]) -> np.ndarray:
         """Places of distinct chunks among the remembered ones; new ones are learned."""
-        if len(self.place) > REMEMBERED:
-            self._forget()
+        if len(self.place) > REMEMBERED:  # those met again since they were learned, or since the last time
+            kept = [c for c, i in self.place.items() if self.again[i]]
+            self._forget(kept if 4 * len(kept) < 3 * REMEMBERED else None)
         new = [c for c in chunks if c not in self.place]
+        known = len(self.place)
         if new:
             ids, lengths = self._library(new)
-            self.place.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.place.update(zip(new, range(known, known + len(new)), strict=True))
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
             self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        found = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        self.again[found[found < known]] = True
+        return found
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         runs = pc.ascii_split_whitespace(texts)
