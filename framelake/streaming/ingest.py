@@ -9,10 +9,14 @@ from ..plans.build import Build
 from ..sources.mp4 import register
 
 
+#: The columns of Spark's binaryFile source; a stream must name them.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str, seconds: float, once: bool = False) -> StreamingQuery:
     """Only paths travel in the stream; a batch's files are read by seeking.  Rewriting an index is idempotent."""
     register(spark)
-    paths = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.mp4").load(source).select("path")
+    paths = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.mp4").load(source).select("path")
 
     def batch(rows: DataFrame, _: int) -> None:
         named = [r["path"] for r in rows.collect()]  # new file names of one trigger

@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -26,7 +27,7 @@ def rows(frame):
     def plain(v):
         if hasattr(v, "item"):
             v = v.item()
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return str(int(v)) if isinstance(v, float) and not math.isinf(v) and v == int(v) else str(v)
 
