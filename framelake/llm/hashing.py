@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .common import LOWER, UPPER
@@ -48,16 +50,38 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
+#: Random value of each byte at each of the first places of a word.
+PLACES = 64
+AT_PLACE = _rng.integers(0, 2**64, (PLACES, 256), dtype=U).ravel()
+SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+CHUNK = 1 << 18
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words (runs without ASCII white space) of a folded text, in order."""
-    out, size, at = [], 1 << 22, 0
+    """Hashes of the words (runs without ASCII white space) of a folded text, in order.
+
+    A word's hash sums random values of its bytes at their places (tables for the first ones, a mixing function beyond), so words that
+    differ anywhere have independent hashes, unlike those of a polynomial modulo 2^64.
+    """
+    out, at = [], 0
     while at < len(text):
-        end = min(len(text), at + size)
-        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
-            end += 1
+        end = min(len(text), at + CHUNK)
+        found = SPACE.search(text, end)
+        end = found.start() if found else len(text)
         b = np.frombuffer(text, np.uint8, end - at, at)
         space = np.concatenate([[True], IS_SPACE[b], [True]])
         edge = np.flatnonzero(space[1:] != space[:-1])
-        out.append(span_hashes(prefix_sums(b), edge[::2], edge[1::2]))
+        starts, ends = edge[::2], edge[1::2]
+        place = np.arange(len(b), dtype=np.int64)
+        last = np.zeros(len(b), np.int64)
+        last[starts] = starts
+        place -= np.maximum.accumulate(last)
+        value = AT_PLACE[np.minimum(place, PLACES - 1) << 8 | b]
+        far = np.flatnonzero(place >= PLACES - 1)
+        if len(far):
+            value[far] = mixed(place[far].astype(U) * U(256) + b[far] + U(BASE))
+        sums = np.zeros(len(b) + 1, U)
+        np.cumsum(value, out=sums[1:])
+        out.append(mixed(sums[ends] - sums[starts] + (ends - starts).astype(U) * U(BASE)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, U)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import common, decontaminate, language, minhash, pseudonyms, substrings, tokens
+from framelake.llm import common, decontaminate, hashing, language, minhash, pseudonyms, substrings, tokens
 from framelake.llm.queries import stage_near_duplicates, tokenizer_path
 
 from .cases import frame, odd_documents, unique_rows
@@ -318,9 +318,52 @@ def test_a_round_without_pairs_is_not_the_last(spark):
     rows = [(0, "a b c d e f"), (1, " ".join(long)), (2, " ".join([*long[:-1], "changed"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     base = minhash.signatures(df, "doc_id", "text").withColumn("nd_bands", F.array(F.lit(7).cast("long")))
-    assert [tuple(r) for r in minhash.links_and_components(df, "doc_id", "text", base).collect()] == [(2, 1)]
+    assert sorted(r["component"] for r in minhash.links_and_components(df, "doc_id", "text", base).collect()) == [0, 1, 1]
 
 
+def test_crowded_buckets_are_dealt_again(spark):
+    """Documents that share half their words, in pairs of near copies, all in the same two buckets, beside bands of their own pairs."""
+    rng = random.Random(23)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for j in range(30):
+        own = [f"p{j}-{rng.random()}" for _ in range(120)]
+        rows += [(2 * j, " ".join(common + own)), (2 * j + 1, " ".join([*common, *own[:-2], f"x{j}", "y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base = minhash.signatures(df, "doc_id", "text")
+    pair = F.floor(F.col("nd_id") / 2).cast("long")
+    base = base.withColumn("nd_bands", F.array(F.lit(7).cast("long"), F.lit(8).cast("long"), 1000 + pair))
+    found = {r["component"]: r["n"] for r in minhash.links_and_components(df, "doc_id", "text", base).groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert found == {2 * j: 2 for j in range(30)}
+
+
+def test_words_of_any_length_are_told_apart(spark):
+    """Thue-Morse words and their complements, equal under polynomials modulo 2^64."""
+    tm = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    assert len(set(hashing.word_hashes(f"{tm} {other} {tm}x {'a' * 300_000} {'a' * 300_001} {tm}".encode()).tolist())) == 5
+    df = spark.createDataFrame([(1, tm), (2, other), (3, f"q {tm} r s t u"), (4, f"q {other} r s t u"), (5, tm)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (2, 4), 5: (1, 1)}
+
+
+def test_word_hashes_do_not_depend_on_place(monkeypatch):
+    text = b"alpha beta\tgamma  alpha \n" + b"z" * 90 + b" beta " + b"z" * 90
+    whole = hashing.word_hashes(text).tolist()
+    assert len(whole) == 7 and whole[0] == whole[3] and whole[1] == whole[5] and whole[4] == whole[6] and len(set(whole)) == 4
+    monkeypatch.setattr(hashing, "CHUNK", 7)
+    assert hashing.word_hashes(text).tolist() == whole
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, and texts that share an id, are dropped by row, not by id."""
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, b, "y"), (3, a, "z"), (0, b, "w"), (5, None, "n"), (5, None, "n"), (None, a, "x"), (6, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nd_id string")
+    got = sorted(map(tuple, minhash.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, a, "x"), (0, b, "w"), (5, None, "n"), (5, None, "n"), (6, "", "e")], key=str)
+    assert minhash.drop_near_duplicates(df).columns == df.columns
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(frame(spark)).collect()
     assert len(got) == len(odd_documents())
