@@ -1,34 +1,41 @@
 """Removal of repeated 50-byte strings, by prefix-free parsing of the corpus.
 
-Texts are parsed into phrases that end where the hash of the last ``TRIGGER`` bytes is a trigger.  A phrase with the 49 bytes
-after it holds every 50-byte string that starts in it, so equal extended phrases answer alike:
+Texts are parsed into phrases that end where the hash of the last ``TRIGGER`` bytes is a trigger.  Each phrase is taken with the 49
+bytes after it, its overlap with the next ones, so it holds every 50-byte string that starts in it:
 
-1. The dictionary: distinct extended phrases, each with the least document that has it.  Occurrences in larger documents
-   are covered as a whole; what is left to compare is the dictionary, however repetitive the corpus is.
+1. The dictionary: distinct phrases, by a 128-bit cryptographic digest of their bytes.  The parse, texts as rows of
+   phrases, gives each the least document that has it.  Occurrences in larger documents are covered as a whole; what is left to
+   compare is the dictionary, however repetitive the corpus is.
 2. Suffixes of dictionary phrases, cut at 50 bytes, are compared only if they can have an equal one in another document:
    the least hash of the 26-byte grams of a string is the same in equal strings, so strings whose least
    gram occurs in one document alone are left out.
-3. The remaining suffixes are put in the order of their hashes (equal ones together, which is all that this needs of the
-   suffix order), and the least document of each is found.
-
-Documents are written once, in segments of a few MB, to the shared folder; after that only packed hashes and
-bits move between segments and hash ranges.  Each segment sends a hash once, however many of its documents have it,
-so a passage of a third of all documents makes a row's worth of data for each segment.
+3. The remaining suffixes go, with their bytes, to ranges of the lexicographic order, whose bounds come from a sample of them.  A
+   range is sorted: the dictionary's suffix array, with the common prefixes of neighbours.  Each interval of common prefixes of 50
+   bytes is one string; the least document of its phrases covers all others.
+4. As phrases overlap by 49 bytes, no string leaves its phrase.  The suffix array of the parse orders equal dictionary suffixes by what
+   follows them, so an interval and its least document do not depend on it; ``corpus_order`` combines both arrays into the order of
+   all suffixes of the corpus.
+
+Documents are written once, in segments of a few MB, to the shared folder; after that only digests, suffixes and
+bits move between segments and ranges.  Each segment sends a string once, however many of its documents have it.  A string that
+fills ranges of its own (a passage at the edges of very many phrases) goes to no range: the segments' least documents for it are
+aggregated.  The number of ranges follows the data, so no task grows with it.
 
 Defined results: a null text is empty, nothing is removed from it; rows of one id never cover one another; a null id
-is below all others; strings in one document alone stay however often they occur there; an empty table gives no rows.
-Strings are compared by 64-bit hashes.
+is below all others; strings in one document alone stay however often they occur there; a text longer than a segment is one segment
+by itself, whole; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, open_shared, shuffle_partitions, stage
@@ -36,7 +43,14 @@ from .hashing import U, powers, prefix_sums, span_hashes
 
 LENGTH, TRIGGER, PHRASE, GRAM = 50, 12, 96, 26
 SEGMENT_BYTES = 3 << 20
+#: Segments whose digests or grams make a hash range, bytes of strings in a lexicographic range, and the most ranges of each.
+RANGE_SEGMENTS, RANGE_BYTES, MOST_RANGES = 24, 24 << 20, 65_536
+#: One of so many strings of a segment is sampled; so many come to the driver at most.
+SAMPLE_STEP, SAMPLE_MOST = 2_048, 200_000
+#: A string is heavy if it is this share of a range or more.
+HEAVY = 0.5
 NULL_ID = -(2**63)
+STRING, DIGEST = np.dtype(f"S{LENGTH}"), np.dtype("S16")
 
 
 @dataclass
@@ -51,111 +65,136 @@ class Segment:
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
+    def docs_at(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, side="right")
+
 
-def write_segment(folder: str, name: str, ids: list[int], texts: list[bytes]) -> None:
+def _write(folder: str, name: str, columns: dict) -> None:
     fs, root = open_shared(folder)
     fs.create_dir(root, recursive=True)
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    batch = pa.record_batch([pa.array([ids[i] for i in order], pa.int64()), pa.array([texts[i] for i in order], pa.binary())], names=["id", "text"])
-    with fs.open_output_stream(f"{root}/{name}.seg") as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    batch = pa.record_batch(list(columns.values()), names=list(columns))
+    with fs.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(batch)
 
 
-def read_segment(folder: str, name: str) -> Segment:
+def _read(folder: str, name: str) -> pa.Table:
     fs, root = open_shared(folder)
-    with fs.open_input_stream(f"{root}/{name}.seg") as f:
-        t = pa.ipc.open_stream(f).read_all()
-    return _segment(t.column("id").to_numpy(), t.column("text").to_pylist())
+    with fs.open_input_stream(f"{root}/{name}") as f:
+        return pa.ipc.open_stream(f).read_all()
 
 
 def _segment(ids, texts: list[bytes]) -> Segment:
     return Segment(np.asarray(ids, np.int64), np.cumsum([len(t) for t in texts], dtype=np.int64), np.frombuffer(b"".join(texts), np.uint8))
 
 
-class Parsed:
-    """Phrases of a segment in which a string of LENGTH bytes starts: [start, stop) of such strings' starts, document, hash."""
-
-    def __init__(self, seg: Segment):
-        self.sums = prefix_sums(seg.data)
-        n, starts, ends = len(seg.data), seg.starts, seg.ends
-        _, inverse = powers(n + 1)
-        marks = np.zeros(n + 1, bool)
-        if n > TRIGGER:
-            own = (self.sums[TRIGGER:] - self.sums[:-TRIGGER]) * inverse[: n - TRIGGER + 1]
-            marks[TRIGGER:] = (own * U(0x9E3779B97F4A7C15) >> U(44)) % U(PHRASE) == 0  # the phrase ends after these bytes
-            for s in starts:
-                marks[s + 1 : s + TRIGGER] = False  # bytes of two documents
-        marks[starts[starts < n]] = True
-        marks[n] = False
-        cuts = np.flatnonzero(marks)
-        doc = np.searchsorted(ends, cuts, side="right")
-        stop = np.minimum(np.append(cuts[1:], n), ends[doc] - LENGTH + 1) if len(cuts) else cuts
-        real = stop > cuts
-        self.start, self.stop, self.doc = cuts[real], stop[real], doc[real]
-        self.key = span_hashes(self.sums, self.start, self.stop + LENGTH - 1)
-
-    def strings(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, documents) of all strings that start in the chosen phrases."""
-        a, n = self.start[phrases], (self.stop - self.start)[phrases]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return at, np.repeat(self.doc[phrases], n)
-
-    def least_grams(self, at: np.ndarray) -> np.ndarray:
-        """Least hash of the grams of each string."""
-        n = len(self.sums) - GRAM
-        x = span_hashes(self.sums, np.arange(n), np.arange(GRAM, n + GRAM))
-        width, have = LENGTH - GRAM + 1, 1
-        while have < width:
-            step = min(have, width - have)
-            x = np.minimum(x[: len(x) - step], x[step:])
-            have += step
-        return x[at]
-
-
-def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Hash ranges of sorted keys: bounds of each range's slice."""
-    return np.searchsorted(((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
-
-
-def _sent(name: str, keys: np.ndarray, values: np.ndarray, buckets: int):
-    """A record batch of a segment's sorted keys with values, cut into hash ranges."""
-    cut = _ranges(keys, buckets)
-    own = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([name] * len(own), pa.string()), pa.array(own, pa.int32()), pa.array([keys[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary()), pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary())],
-        names=["seg", "bucket", "keys", "vals"],
-    )
+def read_segment(folder: str, name: str) -> Segment:
+    t = _read(folder, f"{name}.seg")
+    return _segment(t.column("id").to_numpy(), t.column("text").to_pylist())
 
 
-SENT = "seg string, bucket int, keys binary, vals binary"
+class Phrases:
+    """Phrases of a segment in which a string of LENGTH bytes starts: [start, stop) of such strings' starts, document, and the
+    place of its digest among the segment's distinct ones."""
+
+    def __init__(self, seg: Segment, start: np.ndarray, stop: np.ndarray, back: np.ndarray):
+        self.start, self.stop, self.back, self.doc = start, stop, back, seg.docs_at(start)
+        self.first = np.full(int(back.max()) + 1 if len(back) else 0, len(seg.ids))
+        np.minimum.at(self.first, back, self.doc)
+
+    def covered(self, seg: Segment, answer) -> np.ndarray:
+        """Whether a smaller document has the phrase: another segment's, or an earlier one of this."""
+        ids = seg.ids[self.doc]
+        return _bits(answer)[self.back] | (seg.ids[self.first[self.back]] < ids) if len(ids) else np.zeros(0, bool)
+
+    def strings(self, chosen: np.ndarray) -> np.ndarray:
+        """Starts of all strings of the chosen phrases."""
+        a, n = self.start[chosen], (self.stop - self.start)[chosen]
+        return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def parse_segment(seg: Segment, phrase: int = PHRASE) -> tuple[Phrases, np.ndarray]:
+    """(phrases, their distinct digests in order)."""
+    n, starts, ends = len(seg.data), seg.starts, seg.ends
+    marks = np.zeros(n + 1, bool)
+    if n > TRIGGER:
+        sums = prefix_sums(seg.data)
+        own = (sums[TRIGGER:] - sums[:-TRIGGER]) * powers(n + 1)[1][: n - TRIGGER + 1]
+        marks[TRIGGER:] = (own * U(0x9E3779B97F4A7C15) >> U(44)) % U(phrase) == 0  # the phrase ends after these bytes
+        for s in starts:
+            marks[s + 1 : s + TRIGGER] = False  # bytes of two documents
+    marks[starts[starts < n]] = True
+    marks[n] = False
+    cuts = np.flatnonzero(marks)
+    stop = np.minimum(np.append(cuts[1:], n), ends[seg.docs_at(cuts)] - LENGTH + 1) if len(cuts) else cuts
+    real = stop > cuts
+    start, stop = cuts[real], stop[real]
+    raw = seg.data.tobytes()
+    digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (stop + LENGTH - 1).tolist(), strict=True)])
+    unique, back = np.unique(np.frombuffer(digests, DIGEST), return_inverse=True)
+    return Phrases(seg, start, stop, back), unique
+
+
+def read_phrases(folder: str, name: str, seg: Segment) -> Phrases:
+    t = _read(folder, f"{name}.phrases")
+    return Phrases(seg, *(t.column(c).to_numpy() for c in ("start", "stop", "back")))
+
+
+def least_grams(seg: Segment, at: np.ndarray) -> np.ndarray:
+    """Least hash of the grams of each string."""
+    sums = prefix_sums(seg.data)
+    n = len(sums) - GRAM
+    x = span_hashes(sums, np.arange(n), np.arange(GRAM, n + GRAM))
+    width, have = LENGTH - GRAM + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        have += step
+    return x[at]
+
+
+def strings_at(seg: Segment, at: np.ndarray) -> np.ndarray:
+    """The bytes of each string, one fixed-width value each."""
+    if not len(at):
+        return np.zeros(0, STRING)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(seg.data, LENGTH)[at]).view(STRING).ravel()
 
 
-def _firsts(keys: np.ndarray, docs: np.ndarray):
-    """(sorted distinct keys, least document of each, place of each input in them); docs ascend."""
-    unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    return unique, docs[first], back
+def distinct_strings(seg: Segment, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in at of the first of each distinct string, in text order; place of each string's first among them).
 
+    Equal hashes are grouped, then held to their bytes; should two differ, the bytes themselves are sorted.
+    """
+    if not len(at):
+        return at, at
+    _, first, back = np.unique(span_hashes(prefix_sums(seg.data), at, at + LENGTH), return_index=True, return_inverse=True)
+    own = strings_at(seg, at)
+    if not (own == own[first][back]).all():
+        _, first, back = np.unique(own, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return first[order], place[back]
 
-def _answer(sent: DataFrame, decide) -> DataFrame:
-    """For each segment the bits that decide(keys, vals, sender) gives for its keys, in the order sent."""
 
-    def one(table: pa.Table) -> pa.Table:
-        segs, keys = table.column("seg").to_pylist(), [np.frombuffer(x, U if decide is _smaller else np.uint32) for x in table.column("keys").to_pylist()]
-        vals = [np.frombuffer(x, np.int64 if decide is _smaller else np.uint8) for x in table.column("vals").to_pylist()]
-        bits = decide(np.concatenate(keys), np.concatenate(vals))
-        cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        return pa.table({"seg": segs, "bucket": table.column("bucket").to_pylist(), "n": pa.array(np.diff(cut)), "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())}, schema=pa.schema([("seg", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("bits", pa.binary())]))
+def suffix_array(strings: np.ndarray) -> np.ndarray:
+    """Lexicographic order of strings; equal ones in their given order."""
+    return np.argsort(strings, kind="stable")
 
-    back = sent.groupBy("bucket").applyInArrow(one, "seg string, bucket int, n long, bits binary")
-    return back.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "bits"))).alias("answer"))
+
+def common_prefixes(ordered: np.ndarray) -> np.ndarray:
+    """Bytes that each string shares with the one before it; 0 for the first."""
+    b = ordered.view(np.uint8).reshape(len(ordered), ordered.dtype.itemsize)
+    differ = b[1:] != b[:-1]
+    return np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), b.shape[1])]) if len(b) else np.zeros(0, int)
 
 
 def _smaller(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether a key's least document is below the sender's."""
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])
-    least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
+    """Whether a document smaller than the sender's has the key: keys are put in order, and each interval of neighbours that
+    agree in all bytes has a least document."""
+    order = suffix_array(keys)
+    ordered, d = keys[order], docs[order]
+    head = np.flatnonzero(common_prefixes(ordered) < keys.dtype.itemsize)
+    least = np.repeat(np.minimum.reduceat(d, head), np.diff(np.append(head, len(d)))) if len(d) else d
     out = np.empty(len(keys), bool)
     out[order] = least < d
     return out
@@ -166,78 +205,149 @@ def _several(keys: np.ndarray, many: np.ndarray) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     same = k[1:] == k[:-1]
-    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     out = np.empty(len(keys), bool)
-    out[order] = twice
+    out[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     return out | (many > 0)
 
 
-def _bits(answer) -> np.ndarray:
-    return np.concatenate([np.zeros(0, bool)] + [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]).astype(bool) for a in answer or []])
+SENT = "seg string, bucket int, n long, keys binary, vals binary"
+BITS = "seg string, bucket int, n long, bits binary"
+
+
+def _packed(a: np.ndarray) -> bytes:
+    return pa.compress(a.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+
 
+def _unpacked(b: bytes, n: int, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(pa.decompress(b, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
-def _covered_phrases(seg: Segment, parsed: Parsed, answer) -> np.ndarray:
-    return _covered(parsed.key, seg.ids[parsed.doc], answer)
+
+def _sent(name: str, cut: np.ndarray, keys: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+    """Rows of a segment: the slice [cut[k], cut[k + 1]) of its keys and values goes to range k."""
+    own = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+    slices = [slice(cut[k], cut[k + 1]) for k in own]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name] * len(own), pa.string()), pa.array(own, pa.int32()), pa.array([s.stop - s.start for s in slices], pa.int64()), pa.array([_packed(keys[s]) for s in slices], pa.binary()), pa.array([_packed(vals[s]) for s in slices], pa.binary())],
+        names=["seg", "bucket", "n", "keys", "vals"],
+    )
+
+
+def _answer(sent: DataFrame, ranges: int, decide, key, val) -> DataFrame:
+    """For each segment the bits that decide(keys, values) gives for its keys, in the order sent; a range is one Arrow group."""
+
+    def one(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_pylist()
+        keys, vals = (np.concatenate([_unpacked(b, k, kind) for b, k in zip(table.column(c).to_pylist(), n, strict=True)]) for c, kind in (("keys", key), ("vals", val)))
+        bits, cut = decide(keys, vals), np.concatenate([[0], np.cumsum(n)])
+        return table.select(["seg", "bucket", "n"]).append_column("bits", pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()))
+
+    back = sent.repartition(max(ranges, shuffle_partitions(sent.sparkSession)), "bucket").groupBy("bucket").applyInArrow(one, BITS)
+    return back.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "bits"))).alias("answer"))
 
 
-def _covered(keys: np.ndarray, docs: np.ndarray, answer) -> np.ndarray:
-    """A smaller document has the key: another segment's, or the first of this one."""
-    unique, first, back = _firsts(keys, docs)
-    return (_bits(answer)[back] if len(unique) else np.zeros(0, bool)) | (first[back] < docs)
+def _bits(answer) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool)] + [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]).astype(bool) for a in answer or []])
 
 
-def _anchors(x: np.ndarray, buckets: int) -> np.ndarray:
-    """Range and 32 more bits of a hash, in the order sent."""
-    return ((x >> U(32)) * U(buckets) >> U(32) << U(32)) | (x & U(0xFFFFFFFF))
+def _hash_cut(top: np.ndarray, ranges: int) -> np.ndarray:
+    """Bounds of the hash ranges in ascending 32-bit values."""
+    return np.searchsorted(top.astype(U) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=U))
 
 
-def _candidates(seg: Segment, parsed: Parsed, first, second, buckets: int):
-    """(starts, documents, hashes) of the strings that may occur in a smaller document."""
-    at, doc = parsed.strings(np.flatnonzero(~_covered_phrases(seg, parsed, first)))
+def _anchors(seg: Segment, phrases: Phrases, answer, ranges: int):
+    """(starts, heads, anchor of each head): the strings of uncovered phrases; a run of strings in one document with one least
+    gram has one head.  An anchor is 32 bits within its hash range."""
+    at = phrases.strings(np.flatnonzero(~phrases.covered(seg, answer)))
     if not len(at):
-        return at, doc, np.zeros(0, U)
-    unique, back = np.unique(_anchors(parsed.least_grams(at), buckets), return_inverse=True)
-    keep = _bits(second)[back]
-    at, doc = at[keep], doc[keep]
-    return at, doc, span_hashes(parsed.sums, at, at + LENGTH)
+        return at, at, np.zeros(0, U)
+    x, doc = least_grams(seg, at), seg.docs_at(at)
+    head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])]))
+    x = x[head]
+    return at, head, ((x >> U(32)) * U(ranges) >> U(32) << U(32)) | (x & U(0xFFFFFFFF))
+
+
+def _candidates(folder: str, name: str, seg: Segment) -> np.ndarray:
+    packed = _read(folder, f"{name}.candidates").column("bits")[0].as_buffer()
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), count=len(seg.data)))
 
 
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, segment_bytes: int = SEGMENT_BYTES):
-    """(segments with their three answers, folder, buckets), for kept_rows."""
+@dataclass
+class Ranges:
+    """Lexicographic ranges: bounds in order, and heavy strings in order, which are in no range."""
+
+    bounds: np.ndarray
+    heavy: np.ndarray
+
+    def deal(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the strings that are dealt, by range, then as given; bounds of each range's slice; heavy string of each or -1)."""
+        weight = np.full(len(strings), -1)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, strings), len(self.heavy) - 1)
+            weight = np.where(self.heavy[at] == strings, at, -1)
+        light = np.flatnonzero(weight < 0)
+        own = np.searchsorted(self.bounds, strings[light], side="right").astype(np.int32)
+        order = np.argsort(own, kind="stable")
+        return light[order], np.searchsorted(own[order], np.arange(len(self.bounds) + 2)), weight
+
+
+def choose_ranges(sample: np.ndarray, total: int, least: int, range_bytes: int = RANGE_BYTES) -> Ranges:
+    """Bounds at even steps of the sorted sample; strings that are HEAVY of a range's share of it are heavy."""
+    count = min(MOST_RANGES, max(least, -(-total * (LENGTH + 8) // range_bytes)))
+    sample = np.sort(sample)
+    head = np.flatnonzero(common_prefixes(sample) < LENGTH)
+    sizes = np.diff(np.append(head, len(sample)))
+    heavy = sample[head][(sizes >= 8) & (sizes * count >= HEAVY * len(sample))]
+    light = sample[~np.isin(sample, heavy)]
+    return Ranges(np.unique(light[np.arange(1, count) * len(light) // count]) if len(light) else light, heavy)
+
+
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, segment_bytes: int = SEGMENT_BYTES, sample_step: int = SAMPLE_STEP, range_bytes: int = RANGE_BYTES):
+    """(segments with their answers, folder, lexicographic ranges, least document of each heavy string), for removed_bytes."""
     spark = docs.sparkSession
     folder = new_folder(spark, "segments")
-    buckets = buckets or max(16, 2 * shuffle_partitions(spark))
+    least = shuffle_partitions(spark)
 
     def parse(batches):
         ids, texts, size = [], [], 0
 
         def flush():
             name = uuid.uuid4().hex
-            write_segment(folder, name, ids, texts)
             order = sorted(range(len(ids)), key=ids.__getitem__)
-            seg = _segment([ids[i] for i in order], [texts[i] for i in order])
-            parsed = Parsed(seg)
-            unique, first, _ = _firsts(parsed.key, seg.ids[parsed.doc])
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["seg", "bucket", "keys", "vals"])
-            yield _sent(name, unique, first, buckets)
+            own = [texts[i] for i in order]
+            seg = _segment([ids[i] for i in order], own)
+            _write(folder, f"{name}.seg", {"id": pa.array(seg.ids), "text": pa.array(own, pa.large_binary())})
+            phrases, unique = parse_segment(seg)
+            _write(folder, f"{name}.phrases", {"start": pa.array(phrases.start), "stop": pa.array(phrases.stop), "back": pa.array(phrases.back)})
+            firsts = seg.ids[phrases.first] if len(unique) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([0], pa.int32()), pa.array([len(unique)], pa.int64()), pa.array([unique.tobytes()], pa.binary()), pa.array([firsts.tobytes()], pa.binary())], names=["seg", "bucket", "n", "keys", "vals"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 ids.append(NULL_ID if i is None else i)
-                texts.append((text or "").encode("utf-8", "replace"))
+                texts.append(text.as_py() or b"")
                 size += len(texts[-1])
                 if size >= segment_bytes or len(ids) >= 50_000:
-                    yield from flush()
+                    yield flush()
                     ids, texts, size = [], [], 0
         if ids:
-            yield from flush()
-
-    first = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(parse, SENT), "phrases")
-    segs = first.filter("bucket = -1").select("seg")
-    answers = [stage(_answer(first.filter("bucket >= 0"), _smaller), "phrase-answers")]
+            yield flush()
 
+    parsed = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(parse, SENT), "phrases")
+    segs = parsed.select("seg")
+    n_segs = parsed.count()
+    buckets = buckets or min(MOST_RANGES, max(16, n_segs // RANGE_SEGMENTS))
     # rows are names and bits, so their size says nothing of the work: a few segments make a task
-    tasks = max(shuffle_partitions(spark), min(100_000, segs.count() // 4))
+    tasks = max(least, min(100_000, n_segs // 4))
+
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, vals = np.frombuffer(row["keys"], DIGEST), np.frombuffer(row["vals"], np.int64)
+                top = np.frombuffer(row["keys"], ">u4").reshape(-1, 4)[:, 0]
+                yield _sent(row["seg"], _hash_cut(top, buckets), keys, vals)
+
+    answers = [stage(_answer(parsed.mapInArrow(deal, SENT), buckets, _smaller, DIGEST, np.int64), "phrase-answers")]
 
     def with_answers():
         out = segs
@@ -249,62 +359,97 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for row in batch.to_pylist():
                 seg = read_segment(folder, row["seg"])
-                parsed = Parsed(seg)
-                at, doc = parsed.strings(np.flatnonzero(~_covered_phrases(seg, parsed, row["a0"])))
+                at, head, own = _anchors(seg, read_phrases(folder, row["seg"], seg), row["a0"], buckets)
                 if not len(at):
                     continue
-                own = _anchors(parsed.least_grams(at), buckets)
                 order = np.argsort(own, kind="stable")
-                own, ids = own[order], seg.ids[doc[order]]
-                head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                own, ids = own[order], seg.ids[seg.docs_at(at[head[order]])]
+                edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 # starts ascend within equal anchors, and documents with them: first and last tell whether there are several
-                last = np.append(head[1:], len(own)) - 1
-                unique, many = own[head], (ids[head] != ids[last]).astype(np.uint8)
-                cut = np.searchsorted(unique >> U(32), np.arange(buckets + 1, dtype=U))
-                k = [j for j in range(buckets) if cut[j] < cut[j + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["seg"]] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array([unique[cut[j] : cut[j + 1]].astype(np.uint32).tobytes() for j in k], pa.binary()), pa.array([many[cut[j] : cut[j + 1]].tobytes() for j in k], pa.binary())],
-                    names=["seg", "bucket", "keys", "vals"],
-                )
+                many = ids[edge] != ids[np.append(edge[1:], len(own)) - 1]
+                yield _sent(row["seg"], np.searchsorted(own[edge] >> U(32), np.arange(buckets + 1, dtype=U)), own[edge].astype(np.uint32), many.astype(np.uint8))
 
-    answers.append(stage(_answer(with_answers().mapInArrow(anchors, SENT), _several), "anchor-answers"))
+    answers.append(stage(_answer(with_answers().mapInArrow(anchors, SENT), buckets, _several, np.uint32, np.uint8), "anchor-answers"))
 
-    def suffixes(batches):
+    def candidates(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 seg = read_segment(folder, row["seg"])
-                _, doc, keys = _candidates(seg, Parsed(seg), row["a0"], row["a1"], buckets)
-                if len(keys):
-                    unique, first, _ = _firsts(keys, seg.ids[doc])
-                    yield _sent(row["seg"], unique, first, buckets)
-
-    answers.append(stage(_answer(with_answers().mapInArrow(suffixes, SENT), _smaller), "suffix-answers"))
-    return with_answers(), folder, buckets
+                at, head, own = _anchors(seg, read_phrases(folder, row["seg"], seg), row["a0"], buckets)
+                if len(at):
+                    _, back = np.unique(own, return_inverse=True)
+                    at = at[np.repeat(_bits(row["a1"])[back], np.diff(np.append(head, len(at))))]
+                chosen = np.zeros(len(seg.data), bool)
+                chosen[at] = True
+                _write(folder, f"{row['seg']}.candidates", {"bits": pa.array([np.packbits(chosen).tobytes()], pa.large_binary())})
+                first, _ = distinct_strings(seg, at)
+                some = strings_at(seg, at[first[zlib.crc32(row["seg"].encode()) % sample_step :: sample_step]])
+                yield pa.RecordBatch.from_arrays([pa.array([len(first)], pa.int64()), pa.array([some.tobytes()], pa.binary())], names=["n", "some"])
+
+    counts = stage(with_answers().mapInArrow(candidates, "n long, some binary"), "candidates")
+    total, sampled = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("some")), F.lit(0))).first()
+    stride = -(-int(sampled) // (LENGTH * SAMPLE_MOST)) or 1
+
+    def thin(batches):
+        for batch in batches:
+            rows = [np.frombuffer(b, STRING) for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[zlib.crc32(x.tobytes()) % stride :: stride].tobytes() for x in rows], pa.binary())], names=["some"])
 
+    sample = np.frombuffer(b"".join(bytes(r["some"]) for r in counts.filter(F.length("some") > 0).select("some").mapInArrow(thin, "some binary").collect()), STRING)  # SAMPLE_MOST strings or so
+    ranges = choose_ranges(sample, int(total), least, range_bytes)
 
-def _runs(seg: Segment, row, buckets: int) -> np.ndarray:
+    def suffixes(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                seg = read_segment(folder, row["seg"])
+                at = _candidates(folder, row["seg"], seg)
+                if not len(at):
+                    continue
+                first, _ = distinct_strings(seg, at)
+                strings, ids = strings_at(seg, at[first]), seg.ids[seg.docs_at(at[first])]
+                order, cut, weight = ranges.deal(strings)
+                yield _sent(row["seg"], cut, strings[order], ids[order])
+                if (own := np.flatnonzero(weight >= 0)).size:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["seg"]] * len(own)), pa.array(-1 - weight[own], pa.int32()), pa.array(ids[own]), pa.array([b""] * len(own), pa.binary()), pa.array([b""] * len(own), pa.binary())], names=["seg", "bucket", "n", "keys", "vals"])
+
+    sent = with_answers().mapInArrow(suffixes, SENT)
+    heavy: list[int] = []
+    if len(ranges.heavy):
+        sent = stage(sent, "suffixes")
+        found = {r["bucket"]: r["least"] for r in sent.filter("bucket < 0").groupBy("bucket").agg(F.min("n").alias("least")).collect()}  # a row for each heavy string
+        heavy = [found.get(-1 - i, 2**63 - 1) for i in range(len(ranges.heavy))]
+    answers.append(stage(_answer(sent.filter("bucket >= 0"), len(ranges.bounds) + 1, _smaller, STRING, np.int64), "suffix-answers"))
+    return with_answers(), folder, ranges, np.array(heavy, np.int64)
+
+
+def removed_bytes(seg: Segment, phrases: Phrases, at: np.ndarray, row, ranges: Ranges, heavy: np.ndarray) -> np.ndarray:
     """Whether each byte of the segment is to be removed."""
-    parsed = Parsed(seg)
-    covered = _covered_phrases(seg, parsed, row["a0"])
-    at, doc, keys = _candidates(seg, parsed, row["a0"], row["a1"], buckets)
-    own = at[_covered(keys, seg.ids[doc], row["a2"])] if len(at) else at
+    covered = phrases.covered(seg, row["a0"])
+    first, back = distinct_strings(seg, at)
+    order, _, weight = ranges.deal(strings_at(seg, at[first]))
+    ids = seg.ids[seg.docs_at(at)]
+    repeat = np.zeros(len(first), bool)
+    repeat[order] = _bits(row["a2"])
+    if len(heavy):
+        repeat[weight >= 0] = heavy[weight[weight >= 0]] < ids[first][weight >= 0]
+    own = at[repeat[back] | (ids[first][back] < ids)] if len(at) else at
     steps = np.zeros(len(seg.data) + LENGTH + 1, np.int32)
-    np.add.at(steps, parsed.start[covered], 1)
-    np.add.at(steps, parsed.stop[covered] + LENGTH - 1, -1)
-    steps[: len(seg.data) + 1] += np.bincount(own, minlength=len(seg.data) + 1)[: len(seg.data) + 1].astype(np.int32)
-    np.add.at(steps, own + LENGTH, -1)
+    np.add.at(steps, phrases.start[covered], 1)
+    np.add.at(steps, phrases.stop[covered] + LENGTH - 1, -1)
+    steps[own] += 1
+    steps[own + LENGTH] -= 1
     return np.cumsum(steps)[: len(seg.data)] > 0
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, buckets: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the kept bytes."""
-    marked, folder, buckets = mark_repeats(docs, id_col, text_col, buckets, segment_bytes)
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the kept bytes.  Options: see mark_repeats."""
+    marked, folder, ranges, heavy = mark_repeats(docs, id_col, text_col, **options)
 
     def apply(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 seg = read_segment(folder, row["seg"])
-                gone = _runs(seg, row, buckets)
+                gone = removed_bytes(seg, read_phrases(folder, row["seg"], seg), _candidates(folder, row["seg"], seg), row, ranges, heavy)
                 out = {"id": [], "n": [], "removed": [], "spans": [], "sha": [], "kept": []}
                 for i, a, b in zip(seg.ids.tolist(), seg.starts, seg.ends, strict=True):
                     g = gone[a:b]
@@ -322,6 +467,60 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows if with_text else rows.drop("kept")
 
 
+def _ordered_ids(df: DataFrame, by: list[str], label: str, name: str) -> DataFrame:
+    """df with name: longs that ascend with the sort by (partition and place of the range sort), written once."""
+    return stage(df.orderBy(*by).withColumn(name, F.monotonically_increasing_id() + 1), label)
+
+
+def corpus_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE) -> DataFrame:
+    """(id, at, rank): the order of all suffixes of all texts, by bytes, then id; at: byte offset.  One row per byte of text.
+
+    Phrases overlap by a trigger of ``TRIGGER`` bytes.  The dictionary's phrases are sorted; the parse's suffixes (of each text) by doubling:
+    in round k, 2^k phrases from each place.  A suffix of the corpus is a dictionary suffix, up to the end of the next trigger, and
+    what follows, a suffix of the parse; as no dictionary suffix is the start of another, that pair is its order.
+    """
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        doc = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                doc += 1
+                b = text.as_py() or b""
+                data = np.frombuffer(b, np.uint8)
+                if len(data) > TRIGGER:
+                    sums = prefix_sums(data)
+                    own = (sums[TRIGGER:] - sums[:-TRIGGER]) * powers(len(data) + 1)[1][: len(data) - TRIGGER + 1]
+                    ends = np.flatnonzero((own * U(0x9E3779B97F4A7C15) >> U(44)) % U(phrase) == 0) + TRIGGER
+                    ends = [e for e in ends.tolist() if TRIGGER < e < len(b)] + [len(b)]
+                else:
+                    ends = [len(b)] if b else []
+                starts = [0, *(e - TRIGGER for e in ends[:-1])]
+                if ends:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(ends), pa.int64()), pa.array([doc] * len(ends), pa.int64()), pa.array(range(len(ends)), pa.int64()), pa.array(starts, pa.int64()), pa.array([b[s:e] for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["id", "doc", "k", "start", "phrase"])
+
+    parse = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "id long, doc long, k long, start long, phrase binary"), "parse")
+    dictionary = _ordered_ids(parse.select("phrase").distinct(), ["phrase"], "dictionary", "r")
+    ranks = stage(parse.join(dictionary, "phrase").select("doc", "k", "r"), "ranks")
+    longest, step = ranks.agg(F.coalesce(F.max("k"), F.lit(-1)) + 1).first()[0], 1
+    while step < longest:
+        later = ranks.select("doc", (F.col("k") - step).alias("k"), F.col("r").alias("next"))
+        pairs = ranks.join(later, ["doc", "k"], "left").withColumn("next", F.coalesce("next", F.lit(0).cast("long")))
+        order = _ordered_ids(pairs.select("r", "next").distinct(), ["r", "next"], "pair-order", "r2")
+        ranks, step = stage(pairs.join(order, ["r", "next"]).select("doc", "k", F.col("r2").alias("r")), "ranks"), 2 * step
+    after = ranks.select("doc", (F.col("k") - 1).alias("k"), F.col("r").alias("next"))
+    own = parse.join(after, ["doc", "k"], "left").withColumn("next", F.coalesce("next", F.lit(0).cast("long")))
+    last = F.when(F.col("next") == 0, 1).otherwise(TRIGGER + 1)  # shorter suffixes begin the next phrase
+    suffix = own.select("id", "start", "next", "phrase", F.explode(F.sequence(F.lit(0), F.length("phrase") - last)).alias("x"))
+    suffix = suffix.select("id", (F.col("start") + F.col("x")).alias("at"), F.expr("substring(phrase, x + 1)").alias("suffix"), "next")
+    rows = _ordered_ids(suffix, ["suffix", "next", "id", "at"], "corpus-order", "row").select("id", "at", "row")
+    part, place = F.shiftright(F.col("row") - 1, 33), (F.col("row") - 1).bitwiseAND(F.lit((1 << 33) - 1))
+    bases = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    bases = bases.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per sort partition
+    return rows.withColumn("part", part).join(F.broadcast(bases), "part").select(F.col("id").alias(id_col), "at", (F.col("base") + place).alias("rank"))
+
+
 def deduplicate_plainly(docs: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, np.ndarray]:
     """Brute force for tests: the removal mask of each document."""
     first: dict[bytes, int] = {}

@@ -165,10 +165,68 @@ def test_substrings_of_random_copies(spark):
     rows = [(i, "".join(rng.choice(pool)[rng.randrange(20) :] for _ in range(rng.randrange(1, 6)))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = substrings.deduplicate_plainly(rows)
-    for r in substrings.deduplicate(df, segment_bytes=3000, buckets=5).collect():
+    for r in substrings.deduplicate(df, segment_bytes=3000, buckets=5, sample_step=3, range_bytes=2000).collect():
         assert r["n_removed"] == want[r["doc_id"]].sum()
 
 
+def test_heavy_strings_leave_the_ranges(spark):
+    """A passage at the edges of all phrases, in every segment; the sample makes its strings heavy."""
+    rng = random.Random(9)
+    passage = "the same passage of more than fifty bytes in every text of all " * 2
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(40)) + passage + "".join(rng.choice("abcdefgh ") for _ in range(40))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marked, _, ranges, heavy = substrings.mark_repeats(df, segment_bytes=400, sample_step=1, range_bytes=1500)
+    assert len(ranges.heavy) and len(heavy) == len(ranges.heavy) and len(ranges.bounds) > 3
+    want = substrings.deduplicate_plainly(rows)
+    got = substrings.deduplicate(df, segment_bytes=400, sample_step=1, range_bytes=1500).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: want[i].sum() for i, _ in rows}
+
+
+def test_ranges_deal_every_string():
+    rng = np.random.default_rng(2)
+    strings = np.ascontiguousarray(rng.integers(0, 3, (500, 50), np.uint8)).view("S50").ravel()
+    sample = np.concatenate([strings[:60], np.repeat(strings[:1], 40)])
+    ranges = substrings.choose_ranges(sample, 500, 7)
+    order, cut, weight = ranges.deal(strings)
+    assert ranges.heavy.tolist() == [strings[0]] and (weight >= 0).sum() == 1
+    assert sorted(order.tolist() + np.flatnonzero(weight >= 0).tolist()) == list(range(500)) and cut[-1] == len(order)
+    parts = [sorted(strings[order[a:b]].tolist()) for a, b in zip(cut, cut[1:])]
+    assert [x for p in parts for x in p] == sorted(strings[order].tolist())
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(5)
+    strings = np.ascontiguousarray(rng.integers(97, 99, (400, 50), np.uint8)).view("S50").ravel()
+    strings = np.concatenate([strings, strings[:50]])
+    order = substrings.suffix_array(strings)
+    ordered = strings[order].tolist()
+    assert ordered == sorted(strings.tolist())
+    brute = [0] + [next((i for i in range(50) if a[i] != b[i]), 50) for a, b in zip(ordered, ordered[1:])]
+    assert substrings.common_prefixes(strings[order]).tolist() == brute
+
+
+def test_equal_hashes_of_different_strings_are_told_apart(monkeypatch):
+    seg = substrings._segment([1], [bytes(range(120))])
+    monkeypatch.setattr(substrings, "span_hashes", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    first, back = substrings.distinct_strings(seg, np.arange(70))
+    assert first.tolist() == list(range(70)) and back.tolist() == list(range(70))
+
+
+@pytest.mark.parametrize("phrase", [2, 7, 96])
+def test_corpus_order_is_the_plain_suffix_order(spark, phrase):
+    """Suffix arrays of dictionary and parse, combined, against sorted suffixes of highly repetitive texts."""
+    rng = random.Random(phrase)
+    pool = ["".join(rng.choice("ab ") for _ in range(rng.randrange(5, 90))) for _ in range(5)]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(14)]
+    rows += [(20, rows[0][1]), (21, "é" * 30), (22, ""), (23, None), (24, "a"), (25, "a" * 200), (25, "b"), (None, rows[1][1] + "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(substrings.corpus_order(df, phrase=phrase).collect(), key=lambda r: r["rank"])
+    suffixes = sorted(((t or "").encode()[k:], i is not None, i or 0, k) for i, t in rows for k in range(len((t or "").encode())))
+    assert [r["rank"] for r in got] == list(range(len(suffixes)))
+    assert [(r["doc_id"] or 0, r["at"]) for r in got] == [(i, k) for _, _, i, k in suffixes]
+    assert substrings.corpus_order(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_substrings_of_odd_rows(spark):
     assert substrings.deduplicate(frame(spark)).count() == len(odd_documents())
     assert substrings.deduplicate(frame(spark, [])).count() == 0
