@@ -237,12 +237,20 @@ def _chunks(spark, sf_dir):
     return sample_tables.chunk_samples(sample_tables.stsc_ranges(stsc, counts))
 
 
-def _offsets(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    placed = sample_tables.place_samples(chunks)
-    sizes = placed.select("archive_id", "track", "sample_idx", (50 + F.col("sample_idx") % 97).alias("size"))
-    offsets = chunks.select("archive_id", "track", "chunk_idx", (F.col("chunk_idx") * 1_000_000).alias("offset"))
-    return sizes, sample_tables.sample_offsets(placed, sizes, offsets)
+def _tables(spark, sf_dir, n: str, sync=False):
+    """An order's lines as the sample tables of a track: n samples of sizes 50 to 146, in chunks a million bytes apart."""
+    run = F.struct("run_idx", "count", "value")
+    rows = adapters.runs(spark, sf_dir).groupBy("archive_id", "track").agg(F.array_sort(F.collect_list(run)).alias("stts"))
+    total = lambda of: F.expr(f"aggregate(stts, cast(0 as bigint), (a, r) -> a + {of})")
+    rows = rows.withColumns({"n": total(n), "chunk_count": total("r.run_idx")})
+    odd = F.col("archive_id").cast("long")
+    return rows.select(
+        "archive_id", "track", F.expr("transform(sequence(cast(0 as bigint), n - 1), k -> 50 + k % 97)").alias("sizes"), "stts",
+        F.when(odd % 2 == 0, F.expr("transform(stts, r -> named_struct('count', r.count, 'value', r.run_idx - 4))")).alias("ctts"),
+        F.expr("transform(stts, (r, i) -> named_struct('first_chunk', 1 + aggregate(slice(stts, 1, i), cast(0 as bigint), (a, q) -> a + q.run_idx), 'samples_per_chunk', r.count))").alias("stsc"),
+        F.expr("transform(sequence(cast(0 as bigint), chunk_count - 1), c -> c * 1000000)").alias("chunks"),
+        F.when(odd % 4 != 0, F.expr("transform(stts, r -> r.count)")).alias("stss") if sync else F.lit(None).cast("array<bigint>").alias("stss"),
+    )
 
 
 @query(f"WITH {STSC_SQL} SELECT archive_id, chunk_idx, samples_per_chunk FROM chunks")
@@ -252,7 +260,7 @@ def stsc_expand(spark, sf_dir):
 
 @query(f'WITH {STSC_SQL} SELECT archive_id, sample_idx, chunk_idx, size, "offset" FROM offs')
 def sample_offsets(spark, sf_dir):
-    return _offsets(spark, sf_dir)[1].select("archive_id", "sample_idx", "chunk_idx", "size", "offset")
+    return sample_tables.expand_tables(_tables(spark, sf_dir, "r.run_idx * r.count")).select("archive_id", "sample_idx", "chunk_idx", "size", "offset")
 
 
 def _sync_tables(spark, sf_dir):
@@ -281,11 +289,7 @@ FROM offs o JOIN rows_ r ON r.archive_id = o.archive_id AND r.sample_idx = o.sam
 LEFT JOIN (SELECT DISTINCT archive_id, cnt - 1 AS sample_idx FROM runs) q ON q.archive_id = o.archive_id AND q.sample_idx = o.sample_idx"""
 )
 def sample_assembly(spark, sf_dir):
-    sizes, offsets = _offsets(spark, sf_dir)
-    runs = adapters.runs(spark, sf_dir)
-    stss, tables = _sync_tables(spark, sf_dir)
-    cts = sample_tables.expand_runs(runs.filter(F.col("archive_id").cast("long") % 2 == 0).withColumn("value", (F.col("run_idx") - 4).cast("int")))
-    rows = sample_tables.assemble(sizes, sample_tables.expand_runs(runs), cts, offsets, stss, tables)
+    rows = sample_tables.expand_tables(_tables(spark, sf_dir, "r.count", sync=True))
     return rows.select("archive_id", "sample_idx", "offset", "size", "dts_delta", "cts_offset", "is_sync")
 
 

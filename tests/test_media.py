@@ -78,12 +78,13 @@ def tables(spark, sizes, stts, stsc, chunks, stss=None, ctts=None):
     }
 
 
+def expanded(t):
+    return sample_tables.expand_tables(sample_tables.gather(t["flag"], *(t[k] for k in ("sizes", "stts", "ctts", "stsc", "chunks", "stss")))).orderBy("sample_idx").collect()
+
+
 def test_sample_table_vector(spark):
     t = tables(spark, [10, 20, 30, 40], [(4, 100)], [(1, 4, 1)], [1000], [1, 3])
-    ranges = sample_tables.stsc_ranges(t["stsc"], t["n"])
-    placed = sample_tables.place_samples(sample_tables.chunk_samples(ranges))
-    offsets = sample_tables.sample_offsets(placed, t["sizes"], t["chunks"])
-    rows = sample_tables.assemble(t["sizes"], sample_tables.expand_runs(t["stts"]), sample_tables.expand_runs(t["ctts"]), offsets, t["stss"], t["flag"]).orderBy("sample_idx").collect()
+    rows = expanded(t)
     assert [r["offset"] for r in rows] == [1000, 1010, 1030, 1060]
     assert [r["is_sync"] for r in rows] == [True, False, True, False]
     assert [(r["dts_delta"], r["cts_offset"]) for r in rows] == [(100, 0)] * 4
@@ -91,8 +92,7 @@ def test_sample_table_vector(spark):
 
 def test_two_chunks_runs_and_zero_counts(spark):
     t = tables(spark, [10, 10, 7, 7], [(0, 5), (3, 9), (1, 8)], [(1, 2, 1)], [5_000_000_000, 0], None, [(1, 0), (2, 50), (1, 0)])
-    offsets = sample_tables.sample_offsets(sample_tables.place_samples(sample_tables.chunk_samples(sample_tables.stsc_ranges(t["stsc"], t["n"]))), t["sizes"], t["chunks"])
-    rows = sample_tables.assemble(t["sizes"], sample_tables.expand_runs(t["stts"]), sample_tables.expand_runs(t["ctts"]), offsets, t["stss"], t["flag"]).orderBy("sample_idx").collect()
+    rows = expanded(t)
     assert [r["offset"] for r in rows] == [5_000_000_000, 5_000_000_010, 0, 7]
     assert [r["dts_delta"] for r in rows] == [9, 9, 9, 8] and [r["cts_offset"] for r in rows] == [0, 50, 50, 0] and all(r["is_sync"] for r in rows)
 
