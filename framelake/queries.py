@@ -474,89 +474,163 @@ def mux_order(spark, sf_dir):
     return layout.mux_order(placed).select("archive_id", "segment_idx", "track", "sample_idx", "position", "payload_offset")
 
 
-# Byte-level queries: each user's events as a small archive, made, scanned, indexed and read back.
+# Byte-level queries: each user's events as a small archive file, made, scanned, indexed and read back.
+
+#: Ticks of each archive's video, cuts in them, and segments; as VIDEO_SQL to SUMS_SQL, with a timescale t for each archive.
+TICKS_SQL = f"""{VIDEO_SQL}, {AUDIO_SQL},
+scale AS (SELECT archive_id, coalesce(max(t) FILTER (WHERE CAST(most AS HUGEINT) * t // 1000000 < 4294967295), 1) AS t, coalesce(max(nominal) FILTER (WHERE CAST(most AS HUGEINT) * t // 1000000 < 4294967295), 86400) AS nominal
+  FROM (SELECT archive_id, max(dts_delta) AS most FROM video GROUP BY 1),
+   (SELECT CAST(pow(2, a) * pow(5, b) AS BIGINT) AS t, CAST(86400 * pow(2, a) * pow(5, b) AS BIGINT) AS nominal FROM range(7) x(a), range(7) y(b)) GROUP BY 1),
+tv AS (SELECT v.archive_id, sample_idx, size, cts_offset, is_sync, t, nominal, CAST(CAST(dts AS HUGEINT) * t // 1000000 AS BIGINT) AS dts,
+   CAST(CAST(dts + dts_delta AS HUGEINT) * t // 1000000 - CAST(dts AS HUGEINT) * t // 1000000 AS BIGINT) AS dts_delta FROM vdts v JOIN scale USING (archive_id)),
+tcuts AS (
+  SELECT archive_id, t, CAST(0 AS BIGINT) AS segment_idx, CAST(0 AS BIGINT) AS video_sample_start, CAST(0 AS BIGINT) AS video_base_dts FROM tv WHERE sample_idx = 0
+  UNION ALL
+  SELECT archive_id, t, segment_idx, video_sample_start, video_base_dts FROM (
+    SELECT c.archive_id, c.t, c.segment_idx + 1 AS segment_idx, s.sample_idx AS video_sample_start, s.dts AS video_base_dts, row_number() OVER (PARTITION BY c.archive_id ORDER BY s.sample_idx) AS rn
+    FROM tcuts c JOIN tv s ON s.archive_id = c.archive_id AND s.is_sync AND s.sample_idx > c.video_sample_start AND s.dts - c.video_base_dts >= s.nominal) WHERE rn = 1),
+tcursor AS (SELECT c.*, n_video, n_audio, least(n_audio, ((CAST(video_base_dts AS HUGEINT) * 48000 + t - 1) // t + 1036799999) // 1036800000)::BIGINT AS audio_sample_start FROM tcuts c JOIN naudio USING (archive_id)),
+tall AS (SELECT *, coalesce(lead(video_sample_start) OVER w, n_video) - video_sample_start AS video_sample_count, coalesce(lead(audio_sample_start) OVER w, n_audio) - audio_sample_start AS audio_sample_count
+  FROM tcursor WINDOW w AS (PARTITION BY archive_id ORDER BY segment_idx)),
+tseg AS (SELECT * FROM tall WHERE archive_id NOT IN (SELECT archive_id FROM tall WHERE video_sample_count = 0 OR audio_sample_count = 0)),
+flags AS (SELECT archive_id, bool_or(cts_offset <> 0) AS has_ctts, count(*) FILTER (WHERE is_sync) AS n_sync, sum(size) AS v_bytes, sum(dts_delta) AS v_ticks, max(t) AS t FROM tv GROUP BY 1),
+asize AS (SELECT archive_id, sum(size) AS a_bytes FROM audio GROUP BY 1),
+-- sizes of the boxes that grow with the tables: stts, stsz, stss, ctts of video; stts, stsz of audio
+grow AS (SELECT *, 102 + (16 + 8 * n_video) + 28 + (20 + 4 * n_video) + 24 + (16 + 4 * n_sync) + (16 + 8 * n_video) + 8 AS v_stbl, 52 + (16 + 8 * n_audio) + 28 + (20 + 4 * n_audio) + 24 + 8 AS a_stbl
+  FROM flags JOIN naudio USING (archive_id) JOIN asize USING (archive_id)),
+file AS (SELECT *, CAST(20 + 8 + 2 * (8 + 92 + 8 + 32 + 33 + 8) + v_stbl + a_stbl + 8 AS BIGINT) AS payload_at, CAST(20 + 8 + 2 * (8 + 92 + 8 + 32 + 33 + 8) + v_stbl + a_stbl + 8 + v_bytes + a_bytes AS BIGINT) AS source_len FROM grow)"""
+BYTES = f"WITH RECURSIVE {TICKS_SQL} "
+#: Samples of each segment in payload order, and what they add up to; hexadecimal rows and payload.
+PARTS_SQL = """part AS (
+  SELECT s.archive_id, s.segment_idx, 1 AS r, v.sample_idx, v.size, v.dts_delta, v.cts_offset FROM tseg s JOIN tv v ON v.archive_id = s.archive_id AND v.sample_idx >= s.video_sample_start AND v.sample_idx < s.video_sample_start + s.video_sample_count
+  UNION ALL SELECT s.archive_id, s.segment_idx, 2, a.sample_idx, a.size, a.dts_delta, 0 FROM tseg s JOIN audio a ON a.archive_id = s.archive_id AND a.sample_idx >= s.audio_sample_start AND a.sample_idx < s.audio_sample_start + s.audio_sample_count),
+psum AS (SELECT archive_id, segment_idx, count(*) FILTER (WHERE r = 1) AS nv, count(*) FILTER (WHERE r = 2) AS na, sum(size) AS bytes, sum(size) FILTER (WHERE r = 1) AS vb, sum(dts_delta) FILTER (WHERE r = 1) AS ticks FROM part GROUP BY 1, 2),
+tlay AS (SELECT p.*, has_ctts, t, CAST(nv * (CASE WHEN has_ctts THEN 12 ELSE 8 END) AS BIGINT) AS rv, CAST(8 * na AS BIGINT) AS ra FROM psum p JOIN flags USING (archive_id))"""
+HEX_SQL = """hexed AS (SELECT archive_id, segment_idx,
+   string_agg(CASE WHEN r = 2 THEN '' WHEN has_ctts THEN printf('%08X%08X%08X', dts_delta, size, (cts_offset + 4294967296) % 4294967296) ELSE printf('%08X%08X', dts_delta, size) END, '' ORDER BY r, sample_idx) AS vrows,
+   string_agg(CASE WHEN r = 1 THEN '' ELSE printf('%08X%08X', dts_delta, size) END, '' ORDER BY r, sample_idx) AS arows, string_agg(repeat(printf('%02X', 65 + sample_idx % 26), size), '' ORDER BY r, sample_idx) AS payload
+  FROM part JOIN flags USING (archive_id) GROUP BY 1, 2),
+made AS (SELECT l.archive_id, l.segment_idx,
+   '00000018737479706D736468000000006D736468636D6663' || printf('%08X', 156 + rv + ra) || '6D6F6F66' || '000000106D66686400000000' || printf('%08X', l.segment_idx + 1)
+   || printf('%08X', 68 + rv) || '74726166' || '0000001074666864' || '0002000000000001' || '0000001474666474' || '01000000' || printf('%016X', video_base_dts)
+   || printf('%08X', 24 + rv) || '7472756E' || (CASE WHEN has_ctts THEN '01000B05' ELSE '00000305' END) || printf('%08X%08X', nv, 164 + rv + ra) || '02000000' || vrows
+   || printf('%08X', 64 + ra) || '74726166' || '0000001074666864' || '0002000000000002' || '0000001474666474' || '01000000' || printf('%016X', audio_sample_start * 1036800000)
+   || printf('%08X', 20 + ra) || '7472756E' || '00000301' || printf('%08X%08X', na, CAST(164 + rv + ra + vb AS BIGINT)) || arows || printf('%08X', CAST(8 + bytes AS BIGINT)) || '6D646174' || payload AS hex
+  FROM tlay l JOIN hexed USING (archive_id, segment_idx) JOIN tseg s ON s.archive_id = l.archive_id AND s.segment_idx = l.segment_idx)"""
+
+
+def _ticks(us):
+    """(timescale, deltas) of an archive's video out of its deltas in microseconds.
+
+    A delta has 32 bits in the format, so the timescale is the largest divisor of the rows' microseconds in which each fits; decode
+    times are rounded down to its ticks, so they do not drift.
+    """
+    most = int(us.max(initial=0))
+    scales = [t for t in range(adapters.TIMESCALE, 0, -1) if adapters.TIMESCALE % t == 0]
+    timescale = next((t for t in scales if most * t // adapters.TIMESCALE < U32_MAX), 1)
+    at = [x * timescale // adapters.TIMESCALE for x in itertools.accumulate(us.tolist(), initial=0)]
+    return timescale, [b - a for a, b in itertools.pairwise(at)]
 
 
 def _containers(spark, sf_dir):
-    """(archive_id, content): the archive of each user.
-
-    Sizes are the rows' own.  The video's timescale is the largest divisor of the rows' microseconds in which each delta has
-    32 bits; decode times are rounded down to its ticks, so they do not drift, and composition offsets stay in ticks.
-    """
+    """(archive_id, path): each user's archive, written to the shared folder by the task that has the user's samples."""
     from .functions import synthetic
+    from .plans.staging import shared_folder
+    from .sources import files
 
     samples, _ = adapters.media(spark, sf_dir)
-    one = F.struct("sample_idx", "dts_delta", "size", "cts_offset", "is_sync")
-    groups = samples.groupBy("archive_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("track") == t, one))).alias(t) for t in ("video", "audio")])
-
-    scales = [t for t in range(adapters.TIMESCALE, 0, -1) if adapters.TIMESCALE % t == 0]
-
-    def ticks(deltas):
-        """(timescale, deltas): of the video."""
-        most = max(deltas, default=0)
-        timescale = next((t for t in scales if most * t // adapters.TIMESCALE < U32_MAX), 1)
-        at = [us * timescale // adapters.TIMESCALE for us in itertools.accumulate(deltas, initial=0)]
-        return timescale, [b - a for a, b in itertools.pairwise(at)]
+    folder = shared_folder(spark, "containers")
 
-    def make(frames):
-        import pandas as pd
+    def make(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for frame in frames:
-            for row in frame.itertuples(index=False):  # one at a time: contents are large
-                timescale, deltas = ticks([r["dts_delta"] for r in row.video])
-                sizes = lambda rs: [r["size"] for r in rs]
-                video = {"timescale": timescale, "deltas": deltas, "sizes": sizes(row.video), "sync": [r["sample_idx"] for r in row.video if r["is_sync"]], "cts": [r["cts_offset"] for r in row.video]}
-                audio = {"timescale": adapters.AUDIO_TIMESCALE, "deltas": [r["dts_delta"] for r in row.audio], "sizes": sizes(row.audio)}
-                yield pd.DataFrame([(row.archive_id, synthetic.archive(video, audio))], columns=["archive_id", "content"])
+        name = table.column("archive_id")[0].as_py()
+        video, audio = (table.filter(pc.equal(table.column("track"), t)).sort_by("sample_idx") for t in ("video", "audio"))
+        timescale, deltas = _ticks(video.column("dts_delta").to_numpy())
+        sync = pc.indices_nonzero(video.column("is_sync")).to_pylist()
+        data = synthetic.archive(
+            {"timescale": timescale, "deltas": deltas, "sizes": video.column("size").to_pylist(), "sync": sync, "cts": video.column("cts_offset").to_pylist()},
+            {"timescale": adapters.AUDIO_TIMESCALE, "deltas": audio.column("dts_delta").to_pylist(), "sizes": audio.column("size").to_pylist()},
+        )
+        files.put_in_place(folder, [files.write_part(folder, f"{name}.mp4", data)])
+        return pa.table({"archive_id": [name], "path": [f"{folder}/{name}.mp4"]})
 
-    return groups.mapInPandas(make, "archive_id string, content binary")
+    return staged(samples.groupBy("archive_id").applyInArrow(make, "archive_id string, path string"), "container-paths")
 
 
 def _archive_rows(containers):
+    from .sources import files
     from .sources.mp4 import ARCHIVES, archive_row
 
     def parse(frames):
         import pandas as pd
 
         for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                data = row.content
-                rows.append(archive_row(lambda at, n, d=data: d[at : at + n], len(data), f"{row.archive_id}.mp4"))
-            yield pd.DataFrame(rows, columns=["archive_id", "path", "source_len", "variant", "detail", "video", "audio"])
+            for path in frame["path"]:  # one at a time: an archive's tables are large
+                with files.opened(path) as (read, length):
+                    row = archive_row(read, length, path)
+                yield pd.DataFrame([row], columns=["archive_id", "path", "source_len", "variant", "detail", "video", "audio"])
 
-    return containers.mapInPandas(parse, ARCHIVES)
+    # rows are paths, so their size says nothing of the work
+    return containers.repartition("archive_id").mapInPandas(parse, ARCHIVES)
 
 
-@query()
+@query(
+    BYTES
+    + """, one AS (SELECT * FROM file),
+track AS (SELECT archive_id, 'v' AS k, CAST(28 AS BIGINT) AS pos, v_stbl AS stbl, n_video AS n, n_sync FROM one UNION ALL SELECT archive_id, 'a', CAST(28 + 8 + 92 + 8 + 32 + 33 + 8 + v_stbl AS BIGINT), a_stbl, n_audio, 0 FROM one),
+kid AS (SELECT archive_id, k, n, n_sync, pos + 8 + 92 + 8 + 32 + 33 + 8 AS pos, unnest(['stsd', 'stts', 'stsc', 'stsz', 'co64', 'stss', 'ctts']) AS box_type, unnest(range(7)) AS i FROM track),
+sized AS (SELECT *, CAST(CASE box_type WHEN 'stsd' THEN CASE k WHEN 'v' THEN 102 ELSE 52 END WHEN 'stts' THEN 16 + 8 * n WHEN 'stsc' THEN 28 WHEN 'stsz' THEN 20 + 4 * n WHEN 'co64' THEN 24 WHEN 'stss' THEN 16 + 4 * n_sync ELSE 16 + 8 * n END AS BIGINT) AS size
+  FROM kid WHERE k = 'v' OR i < 5),
+leaf AS (SELECT archive_id, '/moov/trak/mdia/minf/stbl' AS parent_path, box_type, CAST(pos + 8 + coalesce(sum(size) OVER (PARTITION BY archive_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, size, 5 AS depth FROM sized),
+upper_ AS (SELECT archive_id, pos, stbl, unnest(['trak', 'tkhd', 'mdia', 'mdhd', 'hdlr', 'minf', 'stbl']) AS box_type FROM track),
+every AS (
+  SELECT * FROM leaf
+  UNION ALL SELECT archive_id, CASE box_type WHEN 'trak' THEN '/moov' WHEN 'tkhd' THEN '/moov/trak' WHEN 'mdia' THEN '/moov/trak' WHEN 'stbl' THEN '/moov/trak/mdia/minf' ELSE '/moov/trak/mdia' END, box_type,
+    pos + CASE box_type WHEN 'trak' THEN 0 WHEN 'tkhd' THEN 8 WHEN 'mdia' THEN 100 WHEN 'mdhd' THEN 108 WHEN 'hdlr' THEN 140 WHEN 'minf' THEN 173 ELSE 181 END,
+    CAST(CASE box_type WHEN 'trak' THEN 181 + stbl WHEN 'tkhd' THEN 92 WHEN 'mdia' THEN 81 + stbl WHEN 'mdhd' THEN 32 WHEN 'hdlr' THEN 33 WHEN 'minf' THEN 8 + stbl ELSE stbl END AS BIGINT),
+    CASE box_type WHEN 'trak' THEN 1 WHEN 'tkhd' THEN 2 WHEN 'mdia' THEN 2 WHEN 'stbl' THEN 4 ELSE 3 END FROM upper_
+  UNION ALL SELECT archive_id, '', 'ftyp', 0, 20, 0 FROM one UNION ALL SELECT archive_id, '', 'moov', 20, payload_at - 28, 0 FROM one UNION ALL SELECT archive_id, '', 'mdat', payload_at - 8, source_len - payload_at + 8, 0 FROM one)
+SELECT archive_id, parent_path, box_type, CAST(start AS BIGINT) AS start, 8 AS header_size, CAST(size AS BIGINT) AS declared_size, CAST(start + 8 AS BIGINT) AS payload_offset, depth FROM every"""
+)
 def box_scan(spark, sf_dir):
-    from .sources import demux
+    from .schema import BOXES
+    from .sources import demux, files
 
     def scan(frames):
         import pandas as pd
 
         for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                data = row.content
-                rows += [(row.archive_id, path, b.kind, b.start, b.header, b.size, b.body, depth) for path, depth, b in demux.tree(lambda at, n, d=data: d[at : at + n], len(data))]
-            yield pd.DataFrame(rows, columns=["archive_id", "parent_path", "box_type", "start", "header_size", "declared_size", "payload_offset", "depth"])
+            for name, path in zip(frame["archive_id"], frame["path"], strict=True):
+                with files.opened(path) as (read, length):
+                    rows = [(name, parent, b.kind, b.start, b.header, b.size, b.body, depth) for parent, depth, b in demux.tree(read, length)]
+                yield pd.DataFrame(rows, columns=["archive_id", "parent_path", "box_type", "start", "header_size", "declared_size", "payload_offset", "depth"])
 
-    from .schema import BOXES
-
-    return _containers(spark, sf_dir).mapInPandas(scan, BOXES)
+    return _containers(spark, sf_dir).repartition("archive_id").mapInPandas(scan, BOXES)
 
 
 def _build(spark, sf_dir):
     from .plans.build import Build
 
-    containers = staged(_containers(spark, sf_dir), "containers")
-    return Build(_archive_rows(containers), SECONDS), containers
+    return Build(_archive_rows(_containers(spark, sf_dir)), SECONDS)
 
 
-@query()
+@query(
+    BYTES
+    + f""", {PARTS_SQL},
+largest AS (SELECT archive_id, max(188 + rv + ra + bytes) AS b, count(*) AS n, max(ticks) AS most FROM tlay GROUP BY 1),
+entries AS (SELECT archive_id, string_agg('#EXTINF:' || printf('%.6f', CAST(ticks AS DOUBLE) / t) || ',' || chr(10) || printf('seg_%04d.m4s', segment_idx + 1) || chr(10), '' ORDER BY segment_idx) AS body FROM tlay GROUP BY 1)
+SELECT archive_id, CAST(NULL AS VARCHAR) AS variant, CAST(b AS BIGINT) AS max_segment_size, source_len, true AS hash_matches, CAST(n_video AS INTEGER) AS n_video, CAST(n_audio AS INTEGER) AS n_audio, CAST(n AS INTEGER) AS n_segments,
+ CAST(v_bytes AS BIGINT) AS video_bytes, CAST(a_bytes AS BIGINT) AS audio_bytes, CAST(v_ticks AS BIGINT) AS video_ticks, CAST(n_sync AS BIGINT) AS n_sync, payload_at AS first_video_offset, CAST(payload_at + v_bytes AS BIGINT) AS first_audio_offset,
+ '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-INDEPENDENT-SEGMENTS' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST((most + t - 1) // t AS BIGINT) || chr(10) || '#EXT-X-PLAYLIST-TYPE:VOD' || chr(10)
+ || '#EXT-X-MAP:URI="init.mp4"' || chr(10) || body || '#EXT-X-ENDLIST' || chr(10) AS playlist
+FROM file JOIN largest USING (archive_id) JOIN entries USING (archive_id)"""
+)
 def idx_roundtrip(spark, sf_dir):
-    """Index files made and opened again."""
+    """Index files made, opened again, and held to their archives: what the tables add up to, the hash and the playlist body."""
+    from .functions.blake3 import blake3_bytes
+    from .sources import files
     from .sources.mp4 import INDEX, index_row
 
     def open_all(frames):
@@ -564,14 +638,40 @@ def idx_roundtrip(spark, sf_dir):
 
         names = [f.split(" ")[0] for f in ("archive_id", "variant", "detail", "max_segment_size", "source_len", "source_hash", "init", "playlist", "video_samples", "audio_samples", "segments", "video", "audio")]
         for frame in frames:
-            yield pd.DataFrame([index_row(r.index_, f"{r.archive_id}.idx") for r in frame.itertuples(index=False)], columns=names)
-
-    build, containers = _build(spark, sf_dir)
-    rows = build.indexes(containers).withColumnRenamed("index", "index_").mapInPandas(open_all, INDEX)
-    return rows.select("archive_id", "variant", "max_segment_size", "source_len", F.hex("source_hash").alias("source_hash"), F.size("video_samples").alias("n_video"), F.size("audio_samples").alias("n_audio"), F.size("segments").alias("n_segments"), "playlist")
+            for r in frame.itertuples(index=False):  # one at a time: an index is large
+                row = pd.DataFrame([index_row(r.index_, f"{r.archive_id}.idx")], columns=names)
+                with files.opened(r.path) as (read, length):
+                    yield row.assign(hash_matches=row["source_hash"][0] == blake3_bytes(read(0, length)))
+
+    build = _build(spark, sf_dir)
+    made = build.indexes().withColumnRenamed("index", "index_").join(build.fine.select("archive_id", "path"), "archive_id")
+    rows = made.mapInPandas(open_all, f"{INDEX}, hash_matches boolean")
+    total = lambda t, c: F.aggregate(f"{t}_samples", F.lit(0).cast("long"), lambda a, x: a + x[c])
+    return rows.select(
+        "archive_id", "variant", "max_segment_size", "source_len", "hash_matches", F.size("video_samples").alias("n_video"), F.size("audio_samples").alias("n_audio"), F.size("segments").alias("n_segments"),
+        total("video", "size").alias("video_bytes"), total("audio", "size").alias("audio_bytes"), total("video", "dts_delta").alias("video_ticks"), F.size(F.filter("video_samples", lambda x: x["is_sync"])).cast("long").alias("n_sync"),
+        F.col("video_samples")[0]["offset"].alias("first_video_offset"), F.col("audio_samples")[0]["offset"].alias("first_audio_offset"), lookup.playlist_body(F.col("playlist"), F.lit(None).cast("string")).alias("playlist"),
+    )
 
 
-@query()
+@query(
+    BYTES
+    + """, bytes AS (SELECT archive_id, '00000018' || '66747970' || '636D6663' || '00000000' || '69736F36636D6663' || '00000418' || '6D6F6F76'
+ || '00000078' || '6D766864' || '01000000' || repeat('00', 16) || '000003E8' || repeat('00', 8) || '00010000' || '0100' || repeat('00', 10) || matrix || repeat('00', 24) || '00000003'
+ || '000001C3' || '7472616B' || '00000068' || '746B6864' || '01000007' || repeat('00', 16) || '00000001' || repeat('00', 28) || matrix || '07800000' || '04380000'
+ || '00000153' || '6D646961' || '0000002C' || '6D646864' || '01000000' || repeat('00', 16) || printf('%08X', t) || repeat('00', 8) || '55C40000'
+ || '0000002D' || '68646C72' || repeat('00', 8) || '76696465' || repeat('00', 12) || '566964656F48616E646C6572' || '00'
+ || '000000F2' || '6D696E66' || '00000014' || '766D6864' || '00000001' || repeat('00', 8) || dinf || '000000B2' || '7374626C' || '00000066' || '73747364' || '00000000' || '00000001' || '00000056' || '61766331' || repeat('00', 78) || tables
+ || '0000018D' || '7472616B' || '00000068' || '746B6864' || '01000007' || repeat('00', 16) || '00000002' || repeat('00', 24) || '01000000' || matrix || repeat('00', 8)
+ || '0000011D' || '6D646961' || '0000002C' || '6D646864' || '01000000' || repeat('00', 16) || '0000BB80' || repeat('00', 8) || '55C40000'
+ || '0000002D' || '68646C72' || repeat('00', 8) || '736F756E' || repeat('00', 12) || '536F756E6448616E646C6572' || '00'
+ || '000000BC' || '6D696E66' || '00000010' || '736D6864' || repeat('00', 8) || dinf || '00000080' || '7374626C' || '00000034' || '73747364' || '00000000' || '00000001' || '00000024' || '6D703461' || repeat('00', 6) || '0001' || repeat('00', 8)
+ || '00020010' || '00000000' || 'BB800000' || tables
+ || '00000048' || '6D766578' || '00000020' || '74726578' || '00000000' || '00000001' || '00000001' || repeat('00', 8) || '01010000' || '00000020' || '74726578' || '00000000' || '00000002' || '00000001' || repeat('00', 8) || '02000000' AS hex
+ FROM flags, (SELECT '00010000' || repeat('00', 12) || '00010000' || repeat('00', 12) || '40000000' AS matrix, '0000002464696E66' || '0000001C64726566' || '00000000' || '00000001' || '0000000C75726C20' || '00000001' AS dinf,
+  '0000001073747473' || repeat('00', 8) || '0000001073747363' || repeat('00', 8) || '000000147374737A' || repeat('00', 12) || '000000107374636F' || repeat('00', 8) AS tables))
+SELECT archive_id, CAST(length(hex) // 2 AS INTEGER) AS n_bytes, sha256(unhex(hex)) AS sha256 FROM bytes"""
+)
 def init_bytes(spark, sf_dir):
     from .functions.boxes import init_segment
 
@@ -586,12 +686,11 @@ def init_bytes(spark, sf_dir):
     return rows.select("archive_id", meta("video"), meta("audio")).mapInPandas(make, "archive_id string, init binary").select("archive_id", F.length("init").alias("n_bytes"), F.sha2("init", 256).alias("sha256"))
 
 
-@query()
+@query(BYTES + f", {PARTS_SQL}, {HEX_SQL} SELECT archive_id, segment_idx, CAST(length(hex) // 2 AS INTEGER) AS n_bytes, sha256(unhex(hex)) AS sha256 FROM made")
 def segment_bytes_blob(spark, sf_dir):
     """Every segment of each archive, as bytes."""
-    build, containers = _build(spark, sf_dir)
-    wanted = build.segments.select("archive_id", "segment_idx")
-    return build.media_segments(wanted, containers).select("archive_id", "segment_idx", F.length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"))
+    build = _build(spark, sf_dir)
+    return build.media_segments(build.segments).select("archive_id", "segment_idx", F.length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"))
 
 
 @query()
@@ -608,7 +707,14 @@ def digest_blake3(spark, sf_dir):
     return adapters.read(spark, sf_dir, "pages").select("page_id", F.pandas_udf(digest, "string")("html").alias("blake3"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT event_type AS host, event_id AS seq, epoch_us(ts) / 1e6 AS arrival, 300.0 + event_id % 2000 AS service, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events),
+r AS (SELECT host, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 0.0::DOUBLE AS arrival, 0.0::DOUBLE AS service, CAST(NULL AS DOUBLE) AS start, 0.0::DOUBLE AS wait, 0 AS status, ['-inf'::DOUBLE, '-inf'::DOUBLE, '-inf'::DOUBLE, '-inf'::DOUBLE] AS free FROM (SELECT DISTINCT host FROM t)
+ UNION ALL SELECT t.host, t.n, t.seq, t.arrival, t.service, CASE WHEN b - t.arrival <= 600 THEN b END, CASE WHEN b - t.arrival <= 600 THEN b - t.arrival ELSE 600 END, CASE WHEN b - t.arrival <= 600 THEN 200 ELSE 503 END,
+  CASE WHEN b - t.arrival <= 600 THEN list_sort(list_append(r.free[2:], b + t.service)) ELSE r.free END
+ FROM r JOIN t ON t.host = r.host AND t.n = r.n + 1, LATERAL (SELECT greatest(t.arrival, r.free[1]) AS b))
+SELECT host, seq, arrival, service, start, wait, status FROM r WHERE n > 0"""
+)
 def admission_replay(spark, sf_dir):
     """Event arrivals through an admission queue of four permits per event type."""
     e = adapters.read(spark, sf_dir, "events")

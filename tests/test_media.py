@@ -3,6 +3,7 @@
 import math
 import os
 import struct
+import tempfile
 
 import numpy as np
 import pytest
@@ -239,20 +240,23 @@ def test_gates_as_columns(spark):
     assert got == {"a": ("FragmentedInput", ""), "b": ("MissingAtom", "moov"), "d": ("MalformedAtom", "")}
 
 
-def built(spark, **files):
-    rows = [archive_row(reader(d), len(d), f"{n}.mp4") for n, d in files.items()]
-    sources = spark.createDataFrame([(n, bytearray(d)) for n, d in files.items()], "archive_id string, content binary")
-    return Build(spark.createDataFrame(rows, ARCHIVES), 0.5), sources
+def built(spark, **contents):
+    folder, rows = tempfile.mkdtemp(), []
+    for n, d in contents.items():
+        with open(f"{folder}/{n}.mp4", "wb") as f:
+            f.write(d)
+        rows.append(archive_row(reader(d), len(d), f"{folder}/{n}.mp4"))
+    return Build(spark.createDataFrame(rows, ARCHIVES), 0.5)
 
 
 def test_end_to_end(spark):
     data, bad = archive(video={"cts": [50, -10, 20, 0, 0, 0]}), archive(video={"sync": [1]})
-    build, sources = built(spark, x=data, y=bad, z=b"junk")
+    build = built(spark, x=data, y=bad, z=b"junk")
     assert {r["archive_id"]: r["variant"] for r in build.rejects.collect()} == {"y": "SampleTableInconsistent", "z": "MalformedAtom"}
     segs = [tuple(r)[1:] for r in build.segments.orderBy("segment_idx").collect()]
     assert segs == [(0, 0, 3, 0, 3, 0, 0), (1, 3, 3, 3, 3, 30, 48000)]
     sizes = [r["segment_bytes"] for r in build.layout.orderBy("segment_idx").collect()]
-    made = build.media_segments(spark.createDataFrame([("x", 0), ("x", 1), ("x", 2)], "archive_id string, segment_idx long"), sources).orderBy("segment_idx").collect()
+    made = build.media_segments(spark.createDataFrame([("x", 0), ("x", 1), ("x", 2)], "archive_id string, segment_idx long")).orderBy("segment_idx").collect()
     assert [len(r["bytes"]) for r in made[:2]] == sizes and made[2]["variant"] == "SegmentIndexOutOfRange"
     body = bytes(made[1]["bytes"])
     assert body.endswith(b"D" * 8 + b"E" * 8 + b"F" * 8 + b"D" * 4 + b"E" * 4 + b"F" * 4)
@@ -260,7 +264,7 @@ def test_end_to_end(spark):
     moof = body.index(b"moof") - 4
     assert body[moof + offsets["video_data_offset"] :].startswith(b"DDDDDDDD") and body[moof + offsets["audio_data_offset"] :].startswith(b"DDDDEEEE")
     assert struct.pack(">Q", 48000) in body and B.u32(2) in body[moof : moof + 40]
-    index = bytes(build.indexes(sources).collect()[0]["index"])
+    index = bytes(build.indexes().collect()[0]["index"])
     x = open_index(index)
     assert x["source_hash"] == blake3_bytes(data) and x["source_len"] == len(data) and x["max_segment_size"] == max(sizes)
     assert len(x["video_samples"]) == 6 and x["segments"]["audio_base_dts"].tolist() == [0, 48000]
@@ -272,7 +276,7 @@ def test_end_to_end(spark):
 
 
 def test_plain_segment_has_the_closed_form_size(spark):
-    build, _ = built(spark, x=archive())
+    build = built(spark, x=archive())
     assert [r["segment_bytes"] for r in build.layout.collect()] == [272, 272]
 
 
@@ -340,6 +344,55 @@ def test_sources_sink_and_stream(spark, tmp_path):
     assert (target / "a.idx").stat().st_size > 168
 
 
+def walk(t: dict[str, list]) -> np.ndarray:
+    """Sample rows (boxes.SAMPLE) of one track's tables, vectorised; inconsistent tables raise."""
+    bad = lambda why: MediaError("SampleTableInconsistent", why)
+    n = len(t["sizes"])
+
+    def expand(runs, name):
+        runs = np.array(runs, np.int64).reshape(-1, 2)
+        total = int(runs[:, 0].sum())
+        if total != n:
+            raise bad(f"{name} runs {'exceed' if total > n else 'fall short of'} the sample count")
+        return np.repeat(runs[:, 1], runs[:, 0])
+
+    out = np.zeros(n, B.SAMPLE)
+    out["size"] = t["sizes"]
+    out["dts_delta"] = expand(t["stts"], "stts")
+    if t["ctts"] is not None:
+        out["cts_offset"] = expand(t["ctts"], "ctts")
+    if t["stss"] is None:
+        out["flags"] = 1
+    else:
+        numbers = np.array(t["stss"], np.int64)
+        if len(numbers) and (numbers.min() < 1 or numbers.max() > n):
+            raise bad("sync sample number out of range")
+        out["flags"][numbers - 1] = 1
+    chunks, stsc = np.array(t["chunks"], np.int64), np.array(t["stsc"], np.int64).reshape(-1, 3)
+    if not len(stsc):
+        if len(chunks):
+            raise bad("stsc empty but there are chunks")
+        per_chunk = np.zeros(0, np.int64)
+    else:
+        first = stsc[:, 0]
+        if first[0] != 1:
+            raise bad("stsc does not start at chunk 1")
+        if (np.diff(first) <= 0).any():
+            raise bad("stsc first_chunk does not ascend")
+        ends = np.append(first[1:], len(chunks) + 1)
+        if first[-1] > len(chunks):
+            raise bad("stsc entry covers no chunk")
+        per_chunk = np.repeat(stsc[:, 1], ends - first)
+    total = int(per_chunk.sum())
+    if total != n:
+        raise bad(f"chunks hold {'more' if total > n else 'fewer'} samples than there are sizes")
+    if n:
+        sums = np.concatenate([[0], np.cumsum(out["size"].astype(np.int64))])
+        begin = np.cumsum(per_chunk) - per_chunk
+        out["offset"] = np.repeat(chunks - sums[begin], per_chunk) + sums[:-1]
+    return out
+
+
 def test_random_tables_agree_with_the_walk(spark):
     """The relational expansion equals the vectorised walk on random archives."""
     rng = np.random.default_rng(4)
@@ -348,11 +401,11 @@ def test_random_tables_agree_with_the_walk(spark):
         n, m = int(rng.integers(3, 30)), int(rng.integers(3, 30))
         video = {"deltas": rng.integers(0, 9, n).tolist(), "sizes": rng.integers(1, 50, n).tolist(), "sync": sorted({0, *rng.integers(0, n, 4).tolist()}), "cts": rng.integers(-5, 5, n).tolist()}
         files[f"f{k}"] = archive(video=video, audio={"deltas": rng.integers(1, 9, m).tolist(), "sizes": rng.integers(1, 50, m).tolist()})
-    build, _ = built(spark, **files)
+    build = built(spark, **files)
     rows = build.samples.orderBy("archive_id", "track", "sample_idx").collect()
     for name, data in files.items():
         for track, t in zip(("video", "audio"), demux.tracks(reader(data), len(data)), strict=True):
-            want = demux.walk(demux.sample_tables(reader(data), t))
+            want = walk(demux.sample_tables(reader(data), t))
             got = [r for r in rows if (r["archive_id"], r["track"]) == (name, track)]
             assert [(r["offset"], r["size"], r["dts_delta"], r["cts_offset"], int(r["is_sync"])) for r in got] == [tuple(map(int, w)) for w in want]
 
