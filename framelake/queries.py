@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adapters
+from . import adapters, rules
 from .adapters import NOMINAL_SECONDS as SECONDS
 from .functions import scalar
 from .operators import capacity, gates, layout, lookup, sample_tables, segmenter, timeline
@@ -358,11 +358,14 @@ def segment_name_parse(spark, sf_dir):
     return adapters.read(spark, sf_dir, "events").select("event_id", scalar.segment_index(name).alias("segment_idx"))
 
 
-def _resolved(spark, sf_dir):
-    segments = _segments(spark, sf_dir)[2].groupBy("archive_id").agg(F.count(F.lit(1)).alias("n_segments"))
+def _catalogue(segments):
     n = F.col("archive_id").cast("long")
-    catalogue = segments.select(F.col("archive_id").alias("id"), F.lit(True).alias("has_index"), (n % 11 != 0).alias("has_source"), (n % 13 != 0).alias("length_matches"), "n_segments")
-    return lookup.resolve(adapters.requests(spark, sf_dir), catalogue)
+    counts = segments.groupBy("archive_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    return counts.select(F.col("archive_id").alias("id"), F.lit(True).alias("has_index"), (n % 11 != 0).alias("has_source"), (n % 13 != 0).alias("length_matches"), "n_segments")
+
+
+def _resolved(spark, sf_dir):
+    return lookup.resolve(adapters.requests(spark, sf_dir), _catalogue(_segments(spark, sf_dir)[2]))
 
 
 REQUEST_SQL = """req AS (SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS u, event_id % 9 AS k, event_id % 23 AS q FROM events),
@@ -389,10 +392,12 @@ def cache_policy(spark, sf_dir):
     return _resolved(spark, sf_dir).select("request_id", "cache_control", "content_type", "body")
 
 
-@query(SEG.rstrip() + f", {REQUEST_SQL} SELECT n AS archive, CASE WHEN n % 11 = 0 THEN 'missing source' WHEN n % 13 = 0 THEN 'length mismatch' ELSE 'ok' END AS state FROM cat")
+@query(SEG.rstrip() + f", {REQUEST_SQL} SELECT CAST(n AS VARCHAR) AS archive, CASE WHEN n % 11 = 0 OR n % 13 = 0 THEN 500 ELSE 200 END AS status FROM cat")
 def length_mismatch(spark, sf_dir):
-    n = F.col("archive_id").cast("long")
-    return _segments(spark, sf_dir)[2].select(n.alias("archive")).distinct().select("archive", F.when(F.col("archive") % 11 == 0, "missing source").when(F.col("archive") % 13 == 0, "length mismatch").otherwise("ok").alias("state"))
+    """A request for each archive of which some have lost their source, or have one of another length."""
+    catalogue = _catalogue(_segments(spark, sf_dir)[2])
+    requests = catalogue.select(F.col("id").alias("request_id"), F.concat(F.lit("/v/"), F.col("id"), F.lit("/init.mp4")).alias("path"))
+    return lookup.resolve(requests, catalogue).select(F.col("request_id").alias("archive"), "status")
 
 
 def _hosts(spark, sf_dir):
@@ -693,6 +698,102 @@ def segment_bytes_blob(spark, sf_dir):
     return build.media_segments(build.segments).select("archive_id", "segment_idx", F.length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"))
 
 
+@query(BYTES + f", {PARTS_SQL}, {HEX_SQL}, {REQUEST_SQL.replace('FROM seg GROUP', 'FROM tseg GROUP')} SELECT request_id, res.segment_idx, status, sha256(unhex(hex)) AS sha256 FROM res JOIN req USING (request_id) LEFT JOIN made ON status = 200 AND made.archive_id = u AND made.segment_idx = res.segment_idx WHERE kind = 'segment'")
+def segment_requests(spark, sf_dir):
+    """Requests for segments, with the bytes of those that are answered; each segment is made once."""
+    build = _build(spark, sf_dir)
+    found = staged(lookup.resolve(adapters.requests(spark, sf_dir), _catalogue(build.segments)).filter("kind = 'segment'"), "resolved")
+    fine = found.filter("status = 200").select(F.col("id").alias("archive_id"), "segment_idx")
+    made = build.media_segments(fine).select(F.col("archive_id").alias("id"), "segment_idx", F.sha2("bytes", 256).alias("sha256"), F.lit(200).alias("status"))
+    return found.join(made, ["id", "segment_idx", "status"], "left").select("request_id", "segment_idx", "status", "sha256")
+
+
+def _literal(text):
+    return "CAST(NULL AS VARCHAR)" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _cases(spark, sf_dir, cases):
+    """(archive_id, path): an archive of each case, by part."""
+    from .plans.staging import shared_folder
+    from .sources import files
+
+    folder, n = shared_folder(spark, "cases"), len(cases)
+
+    def make(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(str(p), files.write_part(folder, f"{p}.mp4", rules.broken(cases, p % n))) for p in frame["p_partkey"]]
+            files.put_in_place(folder, [part for _, part in rows])
+            yield pd.DataFrame([(p, f"{folder}/{p}.mp4") for p, _ in rows], columns=["archive_id", "path"])
+
+    return staged(adapters.read(spark, sf_dir, "part").select("p_partkey").mapInPandas(make, "archive_id string, path string"), "case-paths")
+
+
+@query(
+    f"SELECT CAST(p_partkey AS VARCHAR) AS archive_id, [{', '.join(_literal(v) for _, _, v in rules.GATES)}][p_partkey % {len(rules.GATES)} + 1] AS variant, CASE WHEN [{', '.join(_literal(v) for _, _, v in rules.GATES)}][p_partkey % {len(rules.GATES)} + 1] IS NULL"
+    f" THEN CASE p_partkey % {len(rules.GATES)} WHEN {[n for n, _, _ in rules.GATES].index('a later mdhd')} THEN 77 ELSE 30 END END AS timescale FROM part"
+)
+def container_gates(spark, sf_dir):
+    """The refusal of an archive for each broken rule, and the timescale (the last of several) of the accepted ones."""
+    return _archive_rows(_cases(spark, sf_dir, rules.GATES)).select("archive_id", "variant", "video.timescale")
+
+
+@query(
+    f"SELECT archive_id, 'SampleTableInconsistent' AS variant, detail FROM (SELECT CAST(p_partkey AS VARCHAR) AS archive_id, [{', '.join(_literal(v) for _, _, v in rules.TABLES)}][p_partkey % {len(rules.TABLES)} + 1] AS detail FROM part) WHERE detail IS NOT NULL"
+)
+def table_rules(spark, sf_dir):
+    """The first broken rule of each archive's sample tables."""
+    from .plans.build import table_errors
+
+    return table_errors(staged(_archive_rows(_cases(spark, sf_dir, rules.TABLES)), "case-archives"))
+
+
+@query(
+    """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS archive_id, c_custkey % 3 AS n_video, c_custkey % 5 AS n_audio, c_custkey % 7 <> 0 AS first_sync, (c_custkey % 11) * 1000 AS v, (c_custkey % 13) * 1000 AS a FROM customer)
+SELECT archive_id, CASE WHEN n_video = 0 THEN 'video track has no samples' WHEN n_audio = 0 THEN 'audio track has no samples' WHEN NOT first_sync THEN 'first video sample is not a sync sample' WHEN v = 0 OR a = 0 THEN 'timescale is zero' END AS detail FROM c"""
+)
+def segment_preconditions(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = adapters.read(spark, sf_dir, "customer").select(k.cast("string").alias("archive_id"), (k % 3).alias("n_video"), (k % 5).alias("n_audio"), (k % 7 != 0).alias("first_sync"), (k % 11 * 1000).alias("video_timescale"), (k % 13 * 1000).alias("audio_timescale"))
+    return segmenter.precondition_error(rows, 6.0)
+
+
+@query(
+    """SELECT event_id, printf('%08X', event_id * 2654435761 % 4294967296) AS written, event_id * 2654435761 % 4294967296 AS unsigned_, CAST(CASE WHEN event_id * 2654435761 % 4294967296 >= 2147483648 THEN event_id * 2654435761 % 4294967296 - 4294967296 ELSE event_id * 2654435761 % 4294967296 END AS INTEGER) AS signed_,
+ printf('%016X', event_id * 1000003) AS wide, printf('%08X', 4294967296 - 1 - event_id) AS negative, event_id * 1000 // 65536 AS decoded, least(event_id * 17 * 65536, 4294967295) AS encoded, event_id & 4 <> 0 AS flag, (8 - event_id % 8) % 8 AS pad,
+ 'ab' || chr(CAST(160 + event_id % 90 AS INTEGER)) || ' ' AS code FROM events"""
+)
+def byte_fields(spark, sf_dir):
+    """Fields written, read back and decoded."""
+    e = adapters.read(spark, sf_dir, "events").select("event_id")
+    n = F.col("event_id")
+    word = n * F.lit(2654435761) % F.lit(4294967296)
+    code = F.concat(F.unhex(F.lit("6162")), scalar.be_write(F.lit(160).cast("long") + n % 90, 1), F.unhex(F.lit("20")))
+    return e.select(
+        "event_id", F.hex(scalar.be_write(word, 4)).alias("written"), scalar.be_read(scalar.be_write(word, 4)).alias("unsigned_"), scalar.be_read_signed32(scalar.be_write(word, 4)).alias("signed_"), F.hex(scalar.be_write(n * 1000003, 8)).alias("wide"),
+        F.hex(scalar.be_write(-1 - n, 4)).alias("negative"), scalar.fixed16_decode(n * 1000).alias("decoded"), scalar.fixed16_encode(n * 17).alias("encoded"), scalar.flag_set(n, 2).alias("flag"), scalar.pad8(n).alias("pad"), scalar.fourcc(code).alias("code"),
+    )
+
+
+@query(
+    """SELECT event_type AS host, event_id AS seq, CAST(user_id % 3 AS VARCHAR) AS id, coalesce(lag(user_id % 3) OVER (PARTITION BY event_type ORDER BY event_id) = user_id % 3, false) AS hit FROM events"""
+)
+def lru_without_room(spark, sf_dir):
+    """A capacity of 0 counts as 1."""
+    trace = adapters.read(spark, sf_dir, "events").select(F.col("event_type").alias("host"), F.col("event_id").alias("seq"), (F.col("user_id") % 3).cast("string").alias("id"))
+    return capacity.replay_lru(trace, 0)
+
+
+@query(ORACLES["playlist_text"].replace("SELECT n.archive_id, '#EXTM3U'", "SELECT n.archive_id, CAST(n.archive_id AS BIGINT) % 2 = 0 AS stored, '#EXTM3U'").replace("AS playlist\n", "AS body\n"))
+def playlist_served(spark, sf_dir):
+    """The stored playlist with its padding to eight bytes taken off; every other archive has none, so it is computed."""
+    _, scales, sums = _sums(spark, sf_dir)
+    rows = layout.playlist_text(sums, scales).withColumn("stored", F.col("archive_id").cast("long") % 2 == 0)
+    kept = F.when(F.col("stored"), F.concat(F.col("playlist"), F.repeat(F.lit("\n"), scalar.pad8(F.octet_length("playlist")).cast("int"))))
+    return rows.select("archive_id", "stored", lookup.playlist_body(kept, F.when(~F.col("stored"), F.col("playlist"))).alias("body"))
+
+
 @query()
 def digest_blake3(spark, sf_dir):
     """The content hash of every page."""
