@@ -4,13 +4,13 @@ Metadata dimensions are quantised to equi-depth codes of ``bits`` bits that keep
 rows are sorted by the Hilbert index of the codes, and the order is cut into runs
 whose row counts differ by one at most (law ``rows``).
 
-Only metadata, sizes and checksums are shuffled, never the text.  Ranks come
-from a range-sorted table whose row numbers are written with it, plus prefix
-sums over its partitions.
+Only metadata, sizes and checksums are shuffled, never the text (but by ``sharded``, which gives whole rows).  Codes come
+from the ranks of whole values, as at most 2^bits bounds; ranks come from a range-sorted table whose row numbers are written with
+it, plus prefix sums over its partitions.
 
-Defined results: null metadata has the last code; a null text has size 1 and the checksum of no bytes;
-equal index values are ordered by id (null first), then checksum; repeated rows stay, each with its
-slot.  An empty table gives no rows.
+Defined results: null metadata has the last code; a null text has size 1 and the checksum of no bytes; very long texts only
+have a large size; equal index values are ordered by id (null first), then checksum; repeated rows stay, each with its
+slot; other columns, whatever their names, are not read by ``shard``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,54 +57,57 @@ def hilbert_index(codes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("index")), step)["index"]
 
 
-def _text_cells(name: str, prefix: int) -> Column:
-    """The two bytes after the prefix that all values share, as a number: order-preserving, 65,536 cells at most."""
-    b = F.substring(F.col(name).cast("binary"), prefix + 1, 2)
-    return F.conv(F.rpad(F.hex(b), 4, "0"), 16, 10).cast("int")
-
-
-def _size_cell(size: Column) -> Column:
-    """Sixteen steps to each doubling; 1,024 cells at most."""
-    return F.floor(F.log2(size.cast("double")) * 16).cast("int")
+def code_bounds(rows: DataFrame, dims: list[str], bits: int) -> dict[str, list[tuple]]:
+    """For each dimension the least value of each of its codes, ascending: its values' order cut to 2^bits - 1 equally filled codes.
+
+    Whole values are counted and ranked (a value is never split); only a row per code comes to the driver.
+    """
+    top, out = (1 << bits) - 1, {}
+    for d in dims:
+        counts = rows.filter(F.col(d).isNotNull()).groupBy(d).agg(F.count(F.lit(1)).alias("hb_c"))
+        placed = _placed(counts.orderBy(d), "hilbert-values")
+        before = Window.partitionBy("hb_part").orderBy("hb_row").rowsBetween(Window.unboundedPreceding, -1)
+        parts = placed.groupBy("hb_part").agg(F.sum("hb_c").alias("hb_n"))
+        ahead = Window.orderBy("hb_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per sort partition
+        parts = parts.select("hb_part", F.coalesce(F.sum("hb_n").over(ahead), F.lit(0)).alias("hb_base"), F.sum("hb_n").over(Window.partitionBy()).alias("hb_total"))
+        place = F.floor((F.col("hb_base") + F.coalesce(F.sum("hb_c").over(before), F.lit(0))) * top / F.col("hb_total")).cast("int")
+        found = placed.join(F.broadcast(parts), "hb_part").select(d, place.alias("hb_code")).groupBy("hb_code").agg(F.min(d).alias("hb_least")).collect()  # 2^bits rows at most
+        out[d] = sorted((r["hb_code"], r["hb_least"]) for r in found)
+    return out
 
 
-def _common_prefix(a: str | None, b: str | None) -> int:
-    x, y = (a or "").encode(), (b or "").encode()
-    return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+def code_of(value: Column, bounds: list[tuple], bits: int) -> Column:
+    """Code of a value by the bounds of its dimension; null has the last code."""
+    out = F.lit(0)
+    for code, least in bounds:
+        out = F.when(value >= F.lit(least), code).otherwise(out)
+    return F.when(value.isNull(), (1 << bits) - 1).otherwise(out)
 
 
-def quantise(rows: DataFrame, cells: str, code: str, bits: int) -> DataFrame:
-    """Adds code: cells' order cut to 2^bits - 1 equally filled codes; null cells get the last."""
-    top = (1 << bits) - 1
-    counts = rows.filter(F.col(cells).isNotNull()).groupBy(cells).agg(F.count(F.lit(1)).alias("hb_c"))
-    before, whole = Window.orderBy(cells).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    place = F.floor(F.coalesce(F.sum("hb_c").over(before), F.lit(0)) * top / F.sum("hb_c").over(whole)).cast("int")
-    codes = counts.select(cells, place.alias(code))
-    return rows.join(F.broadcast(codes), cells, "left").withColumn(code, F.coalesce(code, F.lit(top)))  # at most 65,536 rows by construction
+def _placed(ordered: DataFrame, label: str) -> DataFrame:
+    """ordered, written once with the partition (hb_part) and the place in it (hb_row) of each row."""
+    rows = stage(ordered.withColumn("hb_row", F.monotonically_increasing_id()), label)
+    return rows.withColumns({"hb_part": F.shiftright("hb_row", 33), "hb_row": F.col("hb_row").bitwiseAND(F.lit((1 << 33) - 1))})
 
 
-def curve_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_dims=("lang", "source"), bits: int = BITS) -> DataFrame:
-    """(hb_id, hb_size, hb_crc, codes, hb_curve, hb_rank, hb_total): the global order along the curve."""
+def curve_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_dims=("lang", "source"), bits: int = BITS, whole_rows: bool = False) -> DataFrame:
+    """(hb_id, hb_size, hb_crc, codes, hb_curve, hb_rank, hb_total): the global order along the curve.  whole_rows: with hb_doc, all of docs' columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = [f"hb_d{i}" for i in range(len(text_dims))]
-    rows = docs.select(
-        F.col(id_col).alias("hb_id"), (F.octet_length(text).cast("long") + 1).alias("hb_size"), F.crc32(text.cast("binary")).alias("hb_crc"), *[F.col(d).alias(n) for d, n in zip(text_dims, names, strict=True)]
-    )
-    rows = stage(rows, "hilbert")
-    ends = rows.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
-    cells = [_text_cells(n, _common_prefix(ends[f"min_{n}"], ends[f"max_{n}"])) for n in names] + [_size_cell(F.col("hb_size"))]
-    codes = [f"hb_code{i}" for i in range(len(cells))]
-    for i, c in enumerate(cells):
-        rows = quantise(rows.withColumn(f"hb_cell{i}", c), f"hb_cell{i}", codes[i], bits)
-    rows = rows.select("hb_id", "hb_size", "hb_crc", *codes, hilbert_index([F.col(c) for c in codes], bits).alias("hb_curve"))
-    ordered = rows.orderBy("hb_curve", "hb_id", "hb_crc").withColumn("hb_row", F.monotonically_increasing_id())
-    ordered = stage(ordered, "hilbert-order")
-    part, place = F.shiftright("hb_row", 33), F.col("hb_row").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ordered.groupBy(part.alias("hb_part")).agg(F.count(F.lit(1)).alias("hb_c"))
+    own = [F.col(id_col).alias("hb_id"), (F.octet_length(text).cast("long") + 1).alias("hb_size"), F.crc32(text.cast("binary")).alias("hb_crc"), *[F.col(d).alias(n) for d, n in zip(text_dims, names, strict=True)]]
+    small = stage(docs.select(*own), "hilbert")
+    dims = [*names, "hb_size"]
+    bounds = code_bounds(small, dims, bits)
+    rows = docs.select(*own, F.struct(*docs.columns).alias("hb_doc")) if whole_rows else small
+    codes = [f"hb_code{i}" for i in range(len(dims))]
+    rows = rows.withColumns({c: code_of(F.col(d), bounds[d], bits) for c, d in zip(codes, dims, strict=True)})
+    rows = rows.select("hb_id", "hb_size", "hb_crc", *codes, hilbert_index([F.col(c) for c in codes], bits).alias("hb_curve"), *(["hb_doc"] if whole_rows else []))
+    ordered = _placed(rows.orderBy("hb_curve", "hb_id", "hb_crc"), "hilbert-order")
+    counts = ordered.groupBy("hb_part").agg(F.count(F.lit(1)).alias("hb_c"))
     before, whole = Window.orderBy("hb_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     bases = counts.select("hb_part", F.coalesce(F.sum("hb_c").over(before), F.lit(0)).alias("hb_base"), F.sum("hb_c").over(whole).alias("hb_total"))
-    out = ordered.withColumn("hb_part", part).join(F.broadcast(bases), "hb_part")  # a row per sort partition
-    return out.withColumn("hb_rank", F.col("hb_base") + place).drop("hb_part", "hb_base", "hb_row")
+    out = ordered.join(F.broadcast(bases), "hb_part")  # a row per sort partition
+    return out.withColumn("hb_rank", F.col("hb_base") + F.col("hb_row")).drop("hb_part", "hb_base", "hb_row")
 
 
 def cut_rows(shards: int = SHARDS) -> tuple[Column, Column]:
@@ -125,3 +128,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_
         F.col("hb_id").alias(id_col), F.col("hb_size").alias("size"), F.col("hb_crc").alias("text_crc32"), F.lit("rows").alias("law"), at.alias("shard"), slot.alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), F.col("hb_curve").alias("hilbert"), *[F.col(c).alias(c.replace("hb_", "")) for c in codes],
     )
+
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_dims=("lang", "source"), shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+    """docs, all columns, each row with its shard and slot; a column of docs that has one of these names gives way."""
+    at, slot = cut_rows(shards)
+    rows = curve_order(docs, id_col, text_col, text_dims, bits, whole_rows=True)
+    kept = [F.col("hb_doc")[c].alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return rows.select(*kept, at.alias("shard"), slot.alias("slot"))

@@ -10,7 +10,8 @@ Whole texts are counted; prediction is one pass over the documents without a shu
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or if nothing could be learned;
 with one language learned every other text has it, with score 1; rows with null language are
-predicted but not learned from; repeated rows stay.
+predicted but not learned from; repeated rows stay, and are learned from once; very long texts are counted whole, in parts of a
+MB; other columns, whatever their names, are not read, and kept by ``keep_identified``; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ FEATURES = 4_096
 RIDGE = 0.05
 AMBIGUOUS = 0.2
 SEED = 20240501
+#: Hash parts in which the rows of a language are ranked first.
+PARTS = 32
 #: Bytes that count as letters: a-z and those of other scripts; the rest is one blank.
 FOLDED = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -104,33 +107,32 @@ class Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit to at most sample_rows rows that are not held out, alike many of each language where it has them, by least hash of the id.
+    """Fit to at most sample_rows different rows that are not held out, equally many of each language, by least hash of id and text.
 
-    Only (language, id) pairs are ranked, and each task keeps its own best rows first; the sample's texts become feature
-    counts on the executors.
+    Languages beyond sample_rows, those of fewest rows, are not learned.  Rows are ranked within hash parts of a language first, so
+    a hot one is split; the sample's texts become feature counts on the executors.
     """
-    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull())
-    langs = rows.select(lang_col).distinct().count()
+    rows = docs.select(F.col(id_col).alias("li_id"), F.coalesce(F.col(text_col), F.lit("")).alias("li_text"), F.col(lang_col).alias("li_lang")).filter(~held_out(F.col("li_id")) & F.col("li_lang").isNotNull())
+    langs = [r["li_lang"] for r in rows.groupBy("li_lang").count().orderBy(F.desc("count"), "li_lang").limit(sample_rows).collect()]  # at most sample_rows languages, by row count
     if not langs:
         return None
-    each = max(2, sample_rows // langs)
-    keys = rows.select(F.col(id_col).alias("li_id"), F.col(lang_col).alias("li_lang"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("li_h"))
-    top = keys.withColumn("li_n", F.row_number().over(Window.partitionBy("li_lang").orderBy("li_h", "li_id"))).filter(F.col("li_n") <= each).select("li_id").distinct()
-    texts = rows.join(F.broadcast(top), F.col(id_col).eqNullSafe(F.col("li_id")), "left_semi").select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))  # at most sample_rows ids
+    each = sample_rows // len(langs)
+    rows = rows.withColumn("li_h", F.xxhash64(F.lit(SEED), F.col("li_id"), F.md5(F.col("li_text").cast("binary"))))
+    keys = rows.filter(F.col("li_lang").isin(langs)).select("li_lang", "li_h").distinct().withColumn("li_part", F.pmod("li_h", F.lit(PARTS)))
+    for by in (["li_lang", "li_part"], ["li_lang"]):
+        keys = keys.withColumn("li_n", F.row_number().over(Window.partitionBy(*by).orderBy("li_h"))).filter(F.col("li_n") <= each)
+    texts = rows.join(F.broadcast(keys.select("li_lang", "li_h")), ["li_lang", "li_h"], "left_semi").dropDuplicates(["li_lang", "li_h"]).select(F.col("li_lang").alias("lang"), F.col("li_text").alias("text"))  # at most sample_rows rows
 
     def count(batches):
         for batch in batches:
             x = [features(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["lang", "x"])
 
-    got = texts.mapInArrow(count, "lang string, x binary").limit(2 * sample_rows).toPandas()
+    got = texts.mapInArrow(count, "lang string, x binary").toPandas()  # at most sample_rows rows of 16 kB
     got = got.sort_values(["lang", "x"], kind="stable")
     return Model(np.stack([scaled(np.frombuffer(b, "<u4")) for b in got["x"]]).astype(np.float64), list(got["lang"]))
 
 
-_models: dict = {}
-
-
 def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -161,15 +163,23 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """docs, all columns, whose language is found (not ``und``) with at least least_score."""
+    """docs, all columns, whose language is found (not ``und``) with at least least_score.
+
+    Where nothing could be learned no language tells against a text: those with a letter stay.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                langs, score, _ = _decoded(shared.value, part.column(place).to_pylist())
-                yield part.filter(pa.array([v != "und" and s >= least_score for v, s in zip(langs, score, strict=True)], pa.bool_()))
+                texts = part.column(place).to_pylist()
+                if shared.value is None:
+                    fine = [_has_letter(t) for t in texts]
+                else:
+                    langs, score, _ = _decoded(shared.value, texts)
+                    fine = [v != "und" and s >= least_score for v, s in zip(langs, score, strict=True)]
+                yield part.filter(pa.array(fine, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

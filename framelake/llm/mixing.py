@@ -9,7 +9,8 @@ of the quota is chosen evenly from a seeded start, so a document's words taken
 follow in closed form from its place.
 
 Defined results: a null text has size 0; null is a source of its own and comes last;
-a source without words has target 0; repeated rows each count.
+a source without words has target 0; repeated rows each count; very long texts are counted whole, and may be taken in part by
+``mix``, as whole rows by ``repeated``; other columns, whatever their names, are not read by ``mix`` and kept by ``repeated``.
 An empty table gives no rows.  Only a row per source (and shard) passes through one task.
 """
 
@@ -137,7 +138,7 @@ def repeated(
     """
     order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)))
     group = ["mx_key", "mx_size", "mx_bucket"]
-    rows = docs.withColumns({"mx_key": source_key(F.col(source_col)), "mx_size": words(F.col(text_col)), "mx_order": order, "mx_bucket": F.substring(order, 1, 2)}).filter("mx_size > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("mx_row"), source_key(F.col(source_col)).alias("mx_key"), words(F.col(text_col)).alias("mx_size"), order.alias("mx_order"), F.substring(order, 1, 2).alias("mx_bucket")).filter("mx_size > 0")
     groups = stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("mx_n")), "mix-groups")
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     by_size = groups.groupBy("mx_key", "mx_size").agg(F.sum("mx_n").alias("mx_n"))
@@ -145,8 +146,8 @@ def repeated(
     plan = plan.select("mx_key", (F.col("mx_target") / F.col("mx_source_size")).alias("mx_ratio"))
     bases = by_size.withColumn("mx_smaller", F.coalesce(F.sum("mx_n").over(before("mx_key", "mx_size")), F.lit(0))).drop("mx_n").join(plan, "mx_key")
     groups = groups.withColumn("mx_before", F.coalesce(F.sum("mx_n").over(before(*group)), F.lit(0))).drop("mx_n").join(bases, ["mx_key", "mx_size"])
-    inside = Window.partitionBy(*group).orderBy("mx_order", id_col, F.xxhash64(text_col))
+    inside = Window.partitionBy(*group).orderBy("mx_order", F.col("mx_row")[id_col], F.xxhash64(F.col("mx_row")[text_col]))
     rows = rows.join(groups, group).withColumn("mx_k", F.col("mx_smaller") + F.col("mx_before") + F.row_number().over(inside))
     upto = lambda k: F.floor(k * F.col("mx_ratio") + 0.5)
     rows = rows.withColumn("mx_copies", (upto(F.col("mx_k")) - upto(F.col("mx_k") - 1)).cast("int")).filter("mx_copies > 0")
-    return rows.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select(*docs.columns)
+    return rows.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select("mx_row.*")

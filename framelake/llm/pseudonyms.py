@@ -6,8 +6,8 @@ range is not a product), and written back in its own format.  The permutation de
 only, so equal values get equal pseudonyms in all documents, and the pseudonym of a card is a valid card again.
 
 Defined results: a null text stays null, with no spans; a text without a valid value stays as it is, byte for byte; of
-overlapping values the leftmost, then that of the kind listed first, counts; repeated rows get equal results;
-an empty table gives no rows.
+overlapping values the leftmost, then that of the kind listed first, counts; repeated rows get equal results; very long texts
+are scanned whole; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +20,28 @@ from math import isqrt
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting that holds the secret key; sessions without it (tests) get the key below, which hides nothing.
+SETTING = "spark.framelake.pseudonym.key"
 KEY = b"replace this key in production"
 ROUNDS = 8
 
 
+def session_key(spark: SparkSession) -> bytes:
+    given = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
+    return given.encode() if given else KEY
+
+
+def _stream(key: bytes, message: str, size: int) -> int:
+    """Keyed pseudo-random integer with 128 bits more than size has."""
+    out, k = b"", 0
+    while 8 * len(out) < size.bit_length() + 128:
+        out += hmac.digest(key, f"{message}:{k}".encode(), "sha256")
+        k += 1
+    return int.from_bytes(out, "big")
+
+
 @lru_cache(1 << 18)
 def permuted(n: int, size: int, key: bytes, tweak: str) -> int:
     """The place of n under a keyed permutation of range(size)."""
@@ -36,7 +52,7 @@ def permuted(n: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         a, b = divmod(n, right)  # a < left, b < right
         for r in range(ROUNDS):
-            f = int.from_bytes(hmac.digest(key, f"{tweak}:{size}:{r}:{b if r % 2 == 0 else a}".encode(), "sha256")[:16], "big")
+            f = _stream(key, f"{tweak}:{size}:{r}:{b if r % 2 == 0 else a}", left if r % 2 == 0 else right)
             if r % 2 == 0:
                 a = (a + f) % left
             else:

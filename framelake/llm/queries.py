@@ -21,7 +21,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key=pseudonyms.session_key(spark))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,5 +94,5 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
-    return hilbert.shard(docs)
+    """Every row with its shard and slot."""
+    return hilbert.sharded(docs)

@@ -8,7 +8,8 @@
 Spans come from the pieces between the matches and the matches, both in code points.
 
 Defined results: a null text is empty and has no spans; repeated rows stay, each with its own
-spans (rows of one id share candidacy, not results); an empty table gives no rows.
+spans (rows of one id share candidacy, not results); very long texts are indexed and verified whole; other columns, whatever their
+names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 A text is cut into pieces: runs without ASCII white space, of at most
 ``PIECE`` code points (so that text without spaces has positions too).  Each k
-consecutive pieces give a polynomial hash modulo a Mersenne prime; of each
+consecutive pieces give a polynomial hash modulo two primes, 60 bits in all; of each
 window of w hashes the least is kept, of equal ones the rightmost, with its
 position.  Two texts which share w + k - 1 consecutive pieces share a
 fingerprint entry.
@@ -10,7 +10,8 @@ fingerprint entry.
 Defined results: a null or blank text has an empty fingerprint; a text of fewer
 than k pieces has one entry made of all its pieces; two empty fingerprints are
 alike (1.0), an empty and another are not (0.0).  Repeated rows stay, each
-with its own result; equal ids are ordered by the text's hash.
+with its own result; equal ids are ordered by the text's hash.  Very long texts are
+fingerprinted whole; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, let, shuffle_partitions
 
 K, W, PIECE = 3, 6, 8
-PRIME = 2**31 - 1
-BASE = 1_000_003
+#: Primes of 31 and 29 bits, each with its base; a hash holds the residues of the first in its high bits.
+PRIMES, BASES, LOW_BITS = (2**31 - 1, 2**29 - 3), (1_000_003, 998_244), 29
 
 
 def pieces(text: Column, piece: int = PIECE) -> Column:
@@ -30,54 +31,69 @@ def pieces(text: Column, piece: int = PIECE) -> Column:
     return F.regexp_extract_all(low, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0))
 
 
-def _grams(h: Column, k: int) -> Column:
-    """Entries (hash << 31 | PRIME - position) of the k-grams of the piece hashes h."""
-    powers = [pow(BASE, k - 1 - j, PRIME) for j in range(k)]
+def _joined(high: Column, low: Column) -> Column:
+    return F.shiftleft(high, LOW_BITS).bitwiseOR(low)
+
+
+def _residue(h: Column, k: int) -> Column:
+    return F.shiftright(h, LOW_BITS) if k == 0 else h.bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+
+
+def piece_hash(piece: Column) -> Column:
+    """Both residues of a piece's hash."""
+    x = F.xxhash64(piece)
+    return _joined(F.pmod(x, F.lit(PRIMES[0])), F.pmod(F.shiftright(x, 32), F.lit(PRIMES[1])))
+
+
+def grams(h: Column, k: int = K) -> Column:
+    """array<long>: the hashes of the k-grams of the piece hashes h; fewer pieces make one hash of all."""
 
     def gram(i):
-        total = F.lit(0).cast("long")
-        for j, p in enumerate(powers):
-            total = total + F.get(h, i + j) * F.lit(p).cast("long") % F.lit(PRIME)
-        return F.shiftleft(total % F.lit(PRIME), 31) + (F.lit(PRIME) - i).cast("long")
+        out = []
+        for n, (p, base) in enumerate(zip(PRIMES, BASES, strict=True)):
+            total = F.lit(0).cast("long")
+            for j in range(k):
+                total = total + _residue(F.get(h, i + j), n) * F.lit(pow(base, k - 1 - j, p)).cast("long") % F.lit(p)
+            out.append(total % F.lit(p))
+        return _joined(*out)
+
+    def whole(n):
+        return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a * F.lit(BASES[n]) + _residue(x, n)) % F.lit(PRIMES[n]))
 
-    whole = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a * F.lit(BASE) + x) % F.lit(PRIME))
     return (
         F.when(F.size(h) == 0, F.array().cast("array<long>"))
-        .when(F.size(h) < k, F.array(F.shiftleft(whole, 31) + F.lit(PRIME).cast("long")))
+        .when(F.size(h) < k, F.array(_joined(whole(0), whole(1))))
         .otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - k), gram))
     )
 
 
-def _minima(v: Column, w: int) -> Column:
-    """The distinct least entries of the windows of w; position breaks ties to the right."""
-    return F.when(F.size(v) == 0, v).when(F.size(v) <= w, F.array(F.array_min(v))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(v) - w), lambda i: F.least(*[F.get(v, i + j) for j in range(w)])))
-    )
-
-
-def winnow(text: Column, k: int = K, w: int = W) -> Column:
-    """array<long> of kept entries, in text order."""
-    hashes = F.transform(pieces(text), lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
-    return let(hashes, lambda h: let(_grams(h, k), lambda v: _minima(v, w)))
+def least_positions(v: Column, w: int = W) -> Column:
+    """array<int>: the positions, ascending, of the least of each window of w hashes, the rightmost of equal ones.
 
-
-def entry_hash(x: Column) -> Column:
-    return F.shiftright(x, 31)
+    In a window a hash is compared with its place in it, 3 bits, behind it.
+    """
+    if w > 8:
+        raise ValueError("a window has at most 8 hashes")
+    ranked = lambda i, n: F.least(*[F.shiftleft(F.get(v, i + j), 3).bitwiseOR(F.lit(n - 1 - j)) for j in range(n)])
+    place = lambda i: (i + (w - 1) - ranked(i, w).bitwiseAND(F.lit(7))).cast("int")
+    last = F.size(v) - F.array_position(F.reverse(v), F.array_min(v)).cast("int")  # of a text of one window at most
+    return F.when(F.size(v) == 0, F.array().cast("array<int>")).when(F.size(v) <= w, F.array(last)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(v) - w), place)))
 
 
-def entry_position(x: Column) -> Column:
-    return F.lit(PRIME) - x.bitwiseAND(F.lit(PRIME))
+def winnow(text: Column, k: int = K, w: int = W) -> Column:
+    """struct(hashes array<long>, positions array<int>) of the kept grams, in text order."""
+    entries = lambda v, at: F.struct(F.transform(at, lambda p: F.get(v, p)).alias("hashes"), at.alias("positions"))
+    return let(F.transform(pieces(text), piece_hash), lambda h: let(grams(h, k), lambda v: let(least_positions(v, w), lambda at: entries(v, at))))
 
 
-def as_string(entries: Column) -> Column:
+def as_string(fingerprint: Column) -> Column:
     """hash:position, comma-joined."""
-    return F.lower(F.array_join(F.transform(entries, lambda x: F.concat(F.hex(entry_hash(x)), F.lit(":"), entry_position(x).cast("string"))), ","))
+    return F.lower(F.array_join(F.zip_with(fingerprint["hashes"], fingerprint["positions"], lambda h, p: F.concat(F.hex(h), F.lit(":"), p.cast("string"))), ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of the hashes of two fingerprints."""
-    ha, hb = F.transform(a, entry_hash), F.transform(b, entry_hash)
-    both, either = F.size(F.array_intersect(ha, hb)), F.size(F.array_union(ha, hb))
+    both, either = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(F.array_union(a["hashes"], b["hashes"]))
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either).cast("double")
 
 
@@ -111,13 +127,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, extra: dict[str, Colu
     cuts = ids.agg(F.percentile_approx("wn_n", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
     bounds = sorted(set(cuts))
     block = _block(F.col("wn_n"), bounds)
-    tops = sorted(ids.groupBy(block.alias("b")).agg(F.max("wn_n").alias("m")).collect(), key=lambda r: -r["b"])
+    tops = sorted(ids.groupBy(block.alias("b")).agg(F.max("wn_n").alias("m")).collect(), key=lambda r: -r["b"])  # a row per range
     guest = F.lit(None).cast("int")
     if tops:
         # the top of each range is guest of the range before it; the very first of the last one
-        keys, homes = [r["m"] for r in tops], [tops[j - 1]["b"] for j in range(len(tops))]
-        guest = F.get(F.array(*[F.lit(h) for h in homes]), F.array_position(F.array(*[F.lit(x).cast("long") for x in keys]), F.col("wn_n")).cast("int") - 1)
-        guest = F.when(F.array_contains(F.array(*[F.lit(x).cast("long") for x in keys]), F.col("wn_n")), guest)
+        homes = sorted((r["m"], tops[j - 1]["b"]) for j, r in enumerate(tops))
+        at = _block(F.col("wn_n"), [m for m, _ in homes]) - 1
+        guest = F.when(F.get(F.array(*[F.lit(m).cast("long") for m, _ in homes]), at) == F.col("wn_n"), F.get(F.array(*[F.lit(b) for _, b in homes]), at))
     places = F.array_compact(F.array(F.struct(block.alias("b"), F.lit(0).alias("g")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(1).alias("g")))))
     dealt = src.withColumn("wn_p", F.explode(places)).select("wn_id", "wn_n", "wn_text", F.col("wn_p.b").alias("wn_b"), F.col("wn_p.g").alias("wn_g")).repartition("wn_b")
     for name, value in (extra or {}).items():

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,53 @@ def test_values_before_other_groups_are_found(text, own, kind):
     assert spans == [(kind, at, at + len(own))] and own not in new and new[:at] == text[:at] and new[at + len(own) :] == text[at + len(own) :]
 
 
+def inverse(n, size, key, tweak):
+    """The permutation's inverse, round by round."""
+    if size < 2:
+        return n
+    left = isqrt(size - 1) + 1
+    right = -(-size // left)
+    while True:
+        a, b = divmod(n, right)
+        for r in reversed(range(pseudonyms.ROUNDS)):
+            f = pseudonyms._stream(key, f"{tweak}:{size}:{r}:{b if r % 2 == 0 else a}", left if r % 2 == 0 else right)
+            a, b = ((a - f) % left, b) if r % 2 == 0 else (a, (b - f) % right)
+        n = a * right + b
+        if n < size:
+            return n
+
+
+def test_pseudonyms_go_back_exactly(spark, monkeypatch):
+    """With the inverse permutation, every text comes back byte for byte, and every value in it has changed in its format."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = pseudonyms.pseudonymise(docs, key=KEY).collect()
+    assert sum(r["n_spans"] for r in rows) > 20
+    monkeypatch.setattr(pseudonyms, "permuted", inverse)
+    for r in rows:
+        assert (pseudonyms.pseudonymise_text(r["text"], KEY)[0] if r["text"] else r["text"]) == text[r["doc_id"]]
+        for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x):
+            old = text[r["doc_id"]][int(a) : int(b)]
+            assert pseudonyms.MAKE[kind](pseudonyms.MAKE[kind](old, KEY), KEY) is not None
+
+
+def test_wide_ranges_are_permuted_evenly():
+    """Halves wider than one digest: the first digits of the images spread."""
+    size = 26**120
+    images = [pseudonyms.permuted(i, size, KEY, "wide") for i in range(400)]
+    assert len(set(images)) == 400 and all(0 <= x < size for x in images)
+    tenths = [x * 10 // size for x in images]
+    assert all(15 <= tenths.count(k) <= 75 for k in range(10))
+    assert all(inverse(x, size, KEY, "wide") == i for i, x in enumerate(images))
+
+
+def test_the_key_comes_from_the_session(spark):
+    assert pseudonyms.session_key(spark) == pseudonyms.KEY
+    spark.conf.set(pseudonyms.SETTING, "other")
+    assert pseudonyms.session_key(spark) == b"other"
+    spark.conf.unset(pseudonyms.SETTING)
+
+
 def test_pseudonyms_of_odd_rows(spark):
     df = frame(spark)
     got = pseudonyms.pseudonymise(df).collect()
@@ -134,6 +182,45 @@ def test_language_of_odd_rows(spark):
     assert one.decode(np.eye(3))[0] == ["en"] * 3
 
 
+def plain_decision(model, text):
+    """(language, score) by counting, one n-gram after another, and by adding up each codeword's losses."""
+    if model is None or not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    fold = [b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in f" {text} ".encode()]
+    counts = [0] * language.FEATURES
+    for n in (1, 2, 3):
+        for i in range(len(fold) - n + 1):
+            h = 0
+            for b in fold[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ b + 97 * n
+            counts[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    x = np.sqrt(counts) / np.sqrt(sum(counts))
+    if len(model.langs) == 1:
+        return model.langs[0], 1.0
+    margins = [sum(float(w) * (float(v) - float(m)) for w, v, m in zip(model.weights[:, j], x, model.mean)) for j in range(model.codes.shape[1])]
+    loss = {v: sum(t * np.exp(-2 * m * c) for t, m, c in zip(model.trust, margins, code)) / sum(model.trust) for v, code in zip(model.langs, model.codes)}
+    best, second = sorted(loss, key=loss.get)[:2]
+    return best, min(1.0, max(0.0, 1 - loss[best] / loss[second]))
+
+
+def test_language_matches_a_plain_decoder(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.learn(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in language.identify(docs, model).collect():
+        want = plain_decision(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1], abs=1e-3)
+
+
+def test_the_sample_is_bounded_and_balanced(spark):
+    rows = [(i % 500, f"text {i % 500} {'abc' * (i % 7)}", ["aa", "bb", "cc"][(i % 500) % 10 // 4]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df, sample_rows=30)
+    assert model.langs == ["aa", "bb", "cc"]
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 50:02d}") for i in range(2000)], "doc_id long, text string, lang string")
+    assert len(language.learn(many, sample_rows=20).langs) == 20
+
+
 def test_codewords_correct_errors():
     for n in (2, 3, 4, 5, 12):
         c = language.codewords(n)
@@ -309,6 +396,27 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def brute_similar(keys, percent):
+    """Component (least key) of each (has id, id, text) by shared shingles, at percent; texts without words are alone."""
+    sets = {k: shingle_set(k[2]) for k in keys}
+    parent = {k: k for k in keys}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    index = defaultdict(list)
+    for k, s in sets.items():
+        for g in s:
+            index[g].append(k)
+    for a, b in {(a, b) for v in index.values() for a in v for b in v if a < b}:
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
 def brute_components(rows):
     sets = {i: shingle_set(t) for i, t in rows}
     parent = {i: i for i in sets}

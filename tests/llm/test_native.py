@@ -41,6 +41,25 @@ def kept_positions(values, w):
     return out
 
 
+def plain_fingerprint(text, k=3, w=6):
+    """Pieces, polynomial hashes modulo both primes and windows, in plain Python."""
+    import xxhash
+
+    xs = [x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64(p.encode(), seed=42).intdigest() for p in pieces(text))]
+    values = []
+    for i in range(max(1, len(xs) - k + 1) if xs else 0):
+        a = b = 0
+        for x in xs[i : i + k]:
+            a, b = (a * 1_000_003 + x % (2**31 - 1)) % (2**31 - 1), (b * 998_244 + (x >> 32) % (2**29 - 3)) % (2**29 - 3)
+        values.append(a << 29 | b)
+    return [(values[p], p) for p in kept_positions(values, w)]
+
+
+def plain_likeness(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 def test_fingerprint_digest(spark):
     rows = sorted(unique_rows(), key=lambda r: -r[0])
     got = {r["doc_id"]: r for r in winnowing.fingerprint_digest(frame(spark, rows)).collect()}
@@ -52,7 +71,10 @@ def test_fingerprint_digest(spark):
         g = got[r[0]]
         assert g["n_chars"] == len(text)
         assert g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1
+        own, other, next_ = plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(after)
+        listed = lambda f: ",".join(f"{h:x}:{p}" for h, p in f)
+        assert (g["fingerprint"], g["edited_fingerprint"]) == (listed(own), listed(other))
+        assert g["near_edited"] == pytest.approx(plain_likeness(own, other)) and g["near_next"] == pytest.approx(plain_likeness(own, next_))
         if edited == text:
             assert g["fingerprint"] == g["edited_fingerprint"] and g["near_edited"] == 1
     by_text = {}
@@ -63,12 +85,10 @@ def test_fingerprint_digest(spark):
 def test_winnowing_keeps_the_rightmost_least_of_each_window(spark):
     texts = [r[1] for r in odd_documents()] + ["same same same same same same same same same same same same"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    grams = df.select("doc_id", winnowing._grams(winnowing.F.transform(winnowing.pieces(winnowing.F.col("text")), lambda t: winnowing.F.pmod(winnowing.F.xxhash64(t), winnowing.F.lit(winnowing.PRIME))), winnowing.K).alias("v")).collect()
-    kept = {r[0]: r[1] for r in df.select("doc_id", winnowing.winnow(winnowing.F.col("text"))).collect()}
-    for r in grams:
-        values = [x >> 31 for x in r["v"]]
-        assert len(values) == max(min(1, len(pieces(texts[r[0]]))), len(pieces(texts[r[0]])) - winnowing.K + 1)
-        assert [winnowing.PRIME - (x & winnowing.PRIME) for x in kept[r[0]]] == kept_positions(values, winnowing.W)
+    got = {r["doc_id"]: r["fingerprint"] for r in winnowing.fingerprints(df).collect()}
+    assert got == {i: ",".join(f"{h:x}:{p}" for h, p in plain_fingerprint(t)) for i, t in enumerate(texts)}
+    ties = spark.createDataFrame([([3, 1, 1, 5, 1, 9, 9, 9, 9, 9, 9, 9, 2],), ([7, 7],), ([],), ([4],)], "v array<long>")
+    assert [r[0] for r in ties.select(winnowing.least_positions(winnowing.F.col("v"), 6)).collect()] == [kept_positions(v, 6) for v in ([3, 1, 1, 5, 1, 9, 9, 9, 9, 9, 9, 9, 2], [7, 7], [], [4])]
 
 
 def test_match_guarantee(spark):
@@ -178,6 +198,38 @@ def test_hilbert_curve_visits_neighbours():
     assert all(sum(abs(a - b) for a, b in zip(p[1:], q[1:])) == 1 for p, q in zip(cells, cells[1:]))
 
 
+def test_codes_rank_whole_values(spark):
+    """Equi-depth codes of whole values; a long common prefix or one odd value does not make them equal."""
+    rng = random.Random(8)
+    values = [rng.choice(["web_a", "web_b", "web_c" * 30, "code", "", "é", None, *[f"host-{i:04d}.example" for i in range(300)]]) for _ in range(2000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")
+    bits, top = 4, 15
+    bounds = hilbert.code_bounds(df, ["v"], bits)["v"]
+    got = dict(df.select("v", hilbert.code_of(hilbert.F.col("v"), bounds, bits)).distinct().collect())
+    counts = Counter(v for v in values if v is not None)
+    before, want = 0, {None: top}
+    for v in sorted(counts, key=lambda x: x.encode()):
+        want[v] = before * top // sum(counts.values())
+        before += counts[v]
+    assert got == want and len(bounds) <= top
+    assert len({got[v] for v in ("web_a", "code")}) == 2
+    assert hilbert.code_bounds(df.filter("v is null"), ["v"], bits) == {"v": []}
+
+
+def test_whole_rows_in_shards(spark):
+    df = frame(spark)
+    want = {(r["doc_id"], r["text_crc32"]): (r["shard"], r["slot"]) for r in hilbert.shard(df).collect()}
+    out = hilbert.sharded(df)
+    assert out.columns == [c for c in df.columns if c != "shard"] + ["shard", "slot"]
+    rows = out.collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == sorted((r["shard"], r["slot"]) for r in hilbert.shard(df).collect())
+    seen = Counter((r["doc_id"], r["text"]) for r in rows)
+    assert seen == Counter((r[0], r[1]) for r in odd_documents())
+    once = {k for k, n in seen.items() if n == 1}
+    assert all(want[r["doc_id"], zlib.crc32((r["text"] or "").encode())] == (r["shard"], r["slot"]) for r in rows if (r["doc_id"], r["text"]) in once)
+    assert hilbert.sharded(frame(spark, [])).count() == 0
+
+
 def test_shards(spark):
     df = frame(spark)
     out = hilbert.shard(df)
