@@ -38,8 +38,9 @@ def audio_samples(video: DataFrame) -> DataFrame:
 
 def media(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(samples, timescales) of the events table."""
-    video = video_samples(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    scales = video.filter("sample_idx = 0").select("archive_id", F.lit(TIMESCALE).cast("long").alias("video_timescale"), F.lit(AUDIO_TIMESCALE).cast("long").alias("audio_timescale"))
+    events = read(spark, sf_dir, "events")
+    video = video_samples(events.select("event_id", "ts", "user_id", "event_type", "value"))
+    scales = events.select(F.col("user_id").cast("string").alias("archive_id")).distinct().select("archive_id", F.lit(TIMESCALE).cast("long").alias("video_timescale"), F.lit(AUDIO_TIMESCALE).cast("long").alias("audio_timescale"))
     return video.unionByName(audio_samples(video)), scales
 
 

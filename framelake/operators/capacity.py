@@ -39,27 +39,34 @@ def audit_line(rows: DataFrame) -> DataFrame:
 def replay_lru(trace: DataFrame, capacity: int) -> DataFrame:
     """trace (host, seq, id) with hit: whether the id is among the last ``capacity`` distinct ids of the host.
 
-    One host's trace is one group, in order; hosts are spread.  A capacity below 1 counts as 1.
+    A host's trace streams in its order; hosts are spread.  A capacity below 1 counts as 1.
     """
     size = max(1, capacity)
 
-    def replay(table):
+    def replay(batches):
         from collections import OrderedDict
 
         import pyarrow as pa
 
-        table = table.sort_by("seq")
-        recent: OrderedDict = OrderedDict()
-        hits = []
-        for x in table.column("id").to_pylist():
-            hits.append(x in recent)
-            recent[x] = None
-            recent.move_to_end(x)
-            if len(recent) > size:
-                recent.popitem(last=False)
-        return table.append_column("hit", pa.array(hits, pa.bool_()))
+        host, recent = None, OrderedDict()
+        for batch in batches:
+            hits = []
+            for h, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if h != host:
+                    host, recent = h, OrderedDict()
+                hits.append(x in recent)
+                recent[x] = None
+                recent.move_to_end(x)
+                if len(recent) > size:
+                    recent.popitem(last=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], names=["host", "seq", "id", "hit"])
 
-    return trace.select("host", "seq", "id").groupBy("host").applyInArrow(replay, "host string, seq long, id string, hit boolean")
+    return _in_order(trace.select("host", "seq", "id"), "seq").mapInArrow(replay, "host string, seq long, id string, hit boolean")
+
+
+def _in_order(trace: DataFrame, *order: str) -> DataFrame:
+    """Each host's rows in order, in one partition: they stream through, so only the cache or the permits are held."""
+    return trace.repartition("host").sortWithinPartitions("host", *order)
 
 
 def replay_admission(trace: DataFrame, permits: int, timeout: float) -> DataFrame:
@@ -70,22 +77,25 @@ def replay_admission(trace: DataFrame, permits: int, timeout: float) -> DataFram
     if not (timeout >= 0 and timeout != float("inf")):
         raise ValueError("the permit timeout must be finite and not negative")
 
-    def replay(table):
+    def replay(batches):
         import heapq
 
         import pyarrow as pa
 
-        table = table.sort_by([("arrival", "ascending"), ("seq", "ascending")])
-        free = [float("-inf")] * permits
-        starts, waits, status = [], [], []
-        for arrival, service in zip(table.column("arrival").to_pylist(), table.column("service").to_pylist(), strict=True):
-            start = max(arrival, free[0]) if free else float("inf")
-            wait = start - arrival
-            if wait > timeout:
-                starts.append(None), waits.append(timeout), status.append(503)  # noqa: B018
-            else:
-                heapq.heapreplace(free, start + service)
-                starts.append(start), waits.append(wait), status.append(200)  # noqa: B018
-        return table.append_column("start", pa.array(starts, pa.float64())).append_column("wait", pa.array(waits, pa.float64())).append_column("status", pa.array(status, pa.int32()))
-
-    return trace.select("host", "seq", "arrival", "service").groupBy("host").applyInArrow(replay, "host string, seq long, arrival double, service double, start double, wait double, status int")
+        host, free = None, []
+        for batch in batches:
+            starts, waits, status = [], [], []
+            for h, arrival, service in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if h != host:
+                    host, free = h, [float("-inf")] * permits
+                start = max(arrival, free[0]) if free else float("inf")
+                late = start - arrival > timeout
+                if not late:
+                    heapq.heapreplace(free, start + service)
+                starts.append(None if late else start)
+                waits.append(timeout if late else start - arrival)
+                status.append(503 if late else 200)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.float64()), pa.array(waits, pa.float64()), pa.array(status, pa.int32())], names=["host", "seq", "arrival", "service", "start", "wait", "status"])
+
+    rows = _in_order(trace.select("host", "seq", F.col("arrival").cast("double"), F.col("service").cast("double")), "arrival", "seq")
+    return rows.mapInArrow(replay, "host string, seq long, arrival double, service double, start double, wait double, status int")

@@ -74,7 +74,7 @@ def precondition_error(totals: DataFrame, seconds: float) -> DataFrame:
     checks = (
         F.when(F.col("n_video") == 0, "video track has no samples")
         .when(F.col("n_audio") == 0, "audio track has no samples")
-        .when(~F.col("first_sync"), "first video sample is not a sync sample")
+        .when(~F.col("first_sync"), "the video does not open with a sync sample")
         .when((F.col("video_timescale") <= 0) | (F.col("audio_timescale") <= 0), "timescale is zero")
         .when(F.lit(bad_duration), "segment duration is not a positive number")
         .when((F.col("n_video") > U32_MAX) | (F.col("n_audio") > U32_MAX), "sample count exceeds 32 bits")

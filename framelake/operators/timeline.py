@@ -9,7 +9,9 @@ TRACK = ["archive_id", "track"]
 
 
 def with_dts(samples: DataFrame) -> DataFrame:
-    """dts: the sum of the deltas before each sample of its track (the first is 0).  Overflow raises (ANSI sums)."""
+    """dts: the sum of the deltas before each sample of its track (the first is 0); samples that have it are given back.  Overflow raises (ANSI sums)."""
+    if "dts" in samples.columns:
+        return samples
     before = Window.partitionBy(*TRACK).orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, -1)
     return samples.withColumn("dts", F.coalesce(F.sum("dts_delta").over(before), F.lit(0)).cast("long"))
 

@@ -69,8 +69,14 @@ def query(sql: str | None = None):
     return add
 
 
-def _segments(spark, sf_dir):
+def _media(spark, sf_dir):
+    """(samples with their decode times, written once for the branches that read them, time scales)."""
     samples, scales = adapters.media(spark, sf_dir)
+    return staged(timeline.with_dts(samples), "timed"), scales
+
+
+def _segments(spark, sf_dir):
+    samples, scales = _media(spark, sf_dir)
     return samples, scales, segmenter.segment_table(samples, scales, SECONDS)
 
 
@@ -122,14 +128,13 @@ def segment_table(spark, sf_dir):
 
 @query(SEG + "SELECT DISTINCT archive_id, 'SampleTableInconsistent' AS variant, 'segment has no samples of one track' AS detail FROM allseg WHERE video_sample_count = 0 OR audio_sample_count = 0")
 def segment_rejects(spark, sf_dir):
-    samples, scales = adapters.media(spark, sf_dir)
+    samples, scales = _media(spark, sf_dir)
     return segmenter.segment_rejects(samples, scales, SECONDS)
 
 
 @query(SEG + "SELECT archive_id, segment_idx, target, audio_sample_start, audio_sample_start * 1036800000 AS audio_base_dts FROM cursors")
 def audio_boundary(spark, sf_dir):
-    samples, scales = adapters.media(spark, sf_dir)
-    timed = timeline.with_dts(samples)
+    timed, scales = _media(spark, sf_dir)
     video = timed.filter("track = 'video'").withColumn("timescale", F.lit(adapters.TIMESCALE))
     cuts = segmenter.sync_cuts(video, SECONDS).join(scales, "archive_id").withColumn("target", scalar.scale_ceil(F.col("video_base_dts"), F.col("video_timescale"), F.col("audio_timescale")))
     return segmenter.audio_cursor(cuts, timed.filter("track = 'audio'"))
@@ -751,7 +756,7 @@ def table_rules(spark, sf_dir):
 
 @query(
     """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS archive_id, c_custkey % 3 AS n_video, c_custkey % 5 AS n_audio, c_custkey % 7 <> 0 AS first_sync, (c_custkey % 11) * 1000 AS v, (c_custkey % 13) * 1000 AS a FROM customer)
-SELECT archive_id, CASE WHEN n_video = 0 THEN 'video track has no samples' WHEN n_audio = 0 THEN 'audio track has no samples' WHEN NOT first_sync THEN 'first video sample is not a sync sample' WHEN v = 0 OR a = 0 THEN 'timescale is zero' END AS detail FROM c"""
+SELECT archive_id, CASE WHEN n_video = 0 THEN 'video track has no samples' WHEN n_audio = 0 THEN 'audio track has no samples' WHEN NOT first_sync THEN 'the video does not open with a sync sample' WHEN v = 0 OR a = 0 THEN 'timescale is zero' END AS detail FROM c"""
 )
 def segment_preconditions(spark, sf_dir):
     k = F.col("c_custkey")

@@ -57,7 +57,7 @@ def test_segment_vectors(spark, video, audio, vts, ats, seconds, want, method):
 @pytest.mark.parametrize(
     ("video", "audio", "vts", "ats", "seconds", "why"),
     [
-        (sync_at(4, 1), [1], 1, 1, 1.0, "not a sync"), ([], [1], 1, 1, 1.0, "video track has no"), (sync_at(4, 0), [], 1, 1, 1.0, "audio track has no"), (sync_at(4, 0), [1], 1, 1, 0.0, "duration"),
+        (sync_at(4, 1), [1], 1, 1, 1.0, "open with a sync"), ([], [1], 1, 1, 1.0, "video track has no"), (sync_at(4, 0), [], 1, 1, 1.0, "audio track has no"), (sync_at(4, 0), [1], 1, 1, 0.0, "duration"),
         (sync_at(4, 0), [1], 1, 1, -1.0, "duration"), (sync_at(4, 0), [1], 1, 1, math.nan, "duration"), (sync_at(4, 0), [1], 1, 1, math.inf, "duration"), (sync_at(4, 0), [1], 0, 1, 1.0, "timescale"),
         (sync_at(4, 0, 2), [1], 1, 1, 1.0, "no samples of one track"),
     ],
