@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import new_folder, open_shared, pieces, shuffle_partitions, stage
 
 END_ID = 2
-#: Distinct chunks remembered by a worker: some 150 MB.
-REMEMBERED = 800_000
+#: Distinct chunks remembered by a worker: some 220 MB.
+REMEMBERED = 1_200_000
 #: Bytes of text encoded at a time; one longer text goes alone.
 PIECE_BYTES = 4 << 20
 NULL_ID = -(2**63)
