@@ -9,17 +9,17 @@ bytes after it, its overlap with the next ones, so it holds every 50-byte string
 2. Suffixes of dictionary phrases, cut at 50 bytes, are compared only if they can have an equal one in another document:
    the least hash of the 26-byte grams of a string is the same in equal strings, so strings whose least
    gram occurs in one document alone are left out.
-3. The remaining suffixes go, with their bytes, to ranges of the lexicographic order, whose bounds come from a sample of them.  A
-   range is sorted: the dictionary's suffix array, with the common prefixes of neighbours.  Each interval of common prefixes of 50
-   bytes is one string; the least document of its phrases covers all others.
+3. The remaining suffixes go, as the stretches of text that share a least gram, to parts by that gram, so equal strings meet.  A part
+   expands its stretches and sorts all suffixes: its share of the dictionary's suffix array, with the common prefixes of
+   neighbours.  Each interval of common prefixes of 50 bytes is one string; the least document of its phrases covers all others.
 4. As phrases overlap by 49 bytes, no string leaves its phrase.  The suffix array of the parse orders equal dictionary suffixes by what
    follows them, so an interval and its least document do not depend on it; ``corpus_order`` combines both arrays into the order of
    all suffixes of the corpus.
 
-Documents are written once, in segments of a few MB, to the shared folder; after that only digests, suffixes and
-bits move between segments and ranges.  Each segment sends a string once, however many of its documents have it.  A string that
-fills ranges of its own (a passage at the edges of very many phrases) goes to no range: the segments' least documents for it are
-aggregated.  The number of ranges follows the data, so no task grows with it.
+Documents are written once, in segments of a few MB, to the shared folder; after that only digests, stretches and
+bits move between segments and parts.  Each segment sends a stretch once, however many of its documents have it.  A gram that is
+heavy in a sample (that of a passage at the edges of very many phrases) is split: its strings go to parts by their own hashes.  The
+number of parts follows the data, so no task grows with it.
 
 Defined results: a null text is empty, nothing is removed from it; rows of one id never cover one another; a null id
 is below all others; strings in one document alone stay however often they occur there; a text longer than a segment is one segment
@@ -43,12 +43,14 @@ from .hashing import U, powers, prefix_sums, span_hashes
 
 LENGTH, TRIGGER, PHRASE, GRAM = 50, 12, 96, 26
 SEGMENT_BYTES = 3 << 20
-#: Segments whose digests or grams make a hash range, bytes of strings in a lexicographic range, and the most ranges of each.
-RANGE_SEGMENTS, RANGE_BYTES, MOST_RANGES = 24, 24 << 20, 65_536
-#: One of so many strings of a segment is sampled; so many come to the driver at most.
-SAMPLE_STEP, SAMPLE_MOST = 2_048, 200_000
-#: A string is heavy if it is this share of a range or more.
-HEAVY = 0.5
+#: Segments whose digests or grams make a hash range, bytes of strings in a part, and the most of each.
+RANGE_SEGMENTS, PART_BYTES, MOST_PARTS = 24, 24 << 20, 65_536
+#: Most strings of a stretch, so equal stretches are of equal length more often.
+STRETCH = LENGTH - GRAM + 1
+#: One of so many stretches of a segment is sampled; so many come to the driver at most.
+SAMPLE_STEP, SAMPLE_MOST = 256, 500_000
+#: A gram is heavy if its strings are this share of a part or more.
+HEAVY = 0.25
 NULL_ID = -(2**63)
 STRING, DIGEST = np.dtype(f"S{LENGTH}"), np.dtype("S16")
 
@@ -152,22 +154,27 @@ def least_grams(seg: Segment, at: np.ndarray) -> np.ndarray:
     return x[at]
 
 
-def strings_at(seg: Segment, at: np.ndarray) -> np.ndarray:
-    """The bytes of each string, one fixed-width value each."""
-    if not len(at):
-        return np.zeros(0, STRING)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(seg.data, LENGTH)[at]).view(STRING).ravel()
+def spans_of(seg: Segment, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of spans of at most width bytes as fixed-width values: the length, then the bytes, then zeros."""
+    if not len(start):
+        return np.zeros(0, f"S{width + 1}")
+    data = np.concatenate([seg.data, np.zeros(width, np.uint8)])
+    out = np.empty((len(start), width + 1), np.uint8)
+    out[:, 0] = length
+    out[:, 1:] = np.lib.stride_tricks.sliding_window_view(data, width)[start]
+    out[:, 1:][np.arange(width) >= length[:, None]] = 0
+    return out.view(f"S{width + 1}").ravel()
 
 
-def distinct_strings(seg: Segment, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in at of the first of each distinct string, in text order; place of each string's first among them).
+def distinct_spans(seg: Segment, start: np.ndarray, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of each distinct span, in text order; place of each span's first among them).
 
     Equal hashes are grouped, then held to their bytes; should two differ, the bytes themselves are sorted.
     """
-    if not len(at):
-        return at, at
-    _, first, back = np.unique(span_hashes(prefix_sums(seg.data), at, at + LENGTH), return_index=True, return_inverse=True)
-    own = strings_at(seg, at)
+    if not len(start):
+        return start, start
+    _, first, back = np.unique(span_hashes(prefix_sums(seg.data), start, start + length), return_index=True, return_inverse=True)
+    own = spans_of(seg, start, length, width)
     if not (own == own[first][back]).all():
         _, first, back = np.unique(own, return_index=True, return_inverse=True)
     order = np.argsort(first)
@@ -233,14 +240,22 @@ def _sent(name: str, cut: np.ndarray, keys: np.ndarray, vals: np.ndarray) -> pa.
     )
 
 
-def _answer(sent: DataFrame, ranges: int, decide, key, val) -> DataFrame:
-    """For each segment the bits that decide(keys, values) gives for its keys, in the order sent; a range is one Arrow group."""
+def _bits_of(decide, key, val):
+    """decide(keys, values) over rows of packed keys and values."""
+
+    def bits(rows: list[dict]) -> list[np.ndarray]:
+        keys, vals = (np.concatenate([_unpacked(r[c], r["n"], kind) for r in rows]) for c, kind in (("keys", key), ("vals", val)))
+        return np.split(decide(keys, vals), np.cumsum([r["n"] for r in rows])[:-1])
+
+    return bits
+
+
+def _answer(sent: DataFrame, ranges: int, bits_of) -> DataFrame:
+    """For each segment the bits that bits_of(rows) gives for what it sent, in the order sent; a range is one Arrow group."""
 
     def one(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_pylist()
-        keys, vals = (np.concatenate([_unpacked(b, k, kind) for b, k in zip(table.column(c).to_pylist(), n, strict=True)]) for c, kind in (("keys", key), ("vals", val)))
-        bits, cut = decide(keys, vals), np.concatenate([[0], np.cumsum(n)])
-        return table.select(["seg", "bucket", "n"]).append_column("bits", pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()))
+        bits = [np.packbits(b).tobytes() for b in bits_of(table.to_pylist())]
+        return table.select(["seg", "bucket", "n"]).append_column("bits", pa.array(bits, pa.binary()))
 
     back = sent.repartition(max(ranges, shuffle_partitions(sent.sparkSession)), "bucket").groupBy("bucket").applyInArrow(one, BITS)
     return back.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "bits"))).alias("answer"))
@@ -255,55 +270,69 @@ def _hash_cut(top: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(top.astype(U) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=U))
 
 
-def _anchors(seg: Segment, phrases: Phrases, answer, ranges: int):
-    """(starts, heads, anchor of each head): the strings of uncovered phrases; a run of strings in one document with one least
-    gram has one head.  An anchor is 32 bits within its hash range."""
+def _anchors(seg: Segment, phrases: Phrases, answer):
+    """(starts, heads, least gram of each head): the strings of uncovered phrases; a run of strings in one document with one least
+    gram has one head."""
     at = phrases.strings(np.flatnonzero(~phrases.covered(seg, answer)))
     if not len(at):
         return at, at, np.zeros(0, U)
     x, doc = least_grams(seg, at), seg.docs_at(at)
     head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])]))
-    x = x[head]
-    return at, head, ((x >> U(32)) * U(ranges) >> U(32) << U(32)) | (x & U(0xFFFFFFFF))
+    return at, head, x[head]
 
 
-def _candidates(folder: str, name: str, seg: Segment) -> np.ndarray:
-    packed = _read(folder, f"{name}.candidates").column("bits")[0].as_buffer()
-    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), count=len(seg.data)))
+def _in_range(x: np.ndarray, ranges: int) -> np.ndarray:
+    """32 bits of a hash within its hash range."""
+    return ((x >> U(32)) * U(ranges) >> U(32) << U(32)) | (x & U(0xFFFFFFFF))
 
 
-@dataclass
-class Ranges:
-    """Lexicographic ranges: bounds in order, and heavy strings in order, which are in no range."""
-
-    bounds: np.ndarray
-    heavy: np.ndarray
-
-    def deal(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order of the strings that are dealt, by range, then as given; bounds of each range's slice; heavy string of each or -1)."""
-        weight = np.full(len(strings), -1)
-        if len(self.heavy):
-            at = np.minimum(np.searchsorted(self.heavy, strings), len(self.heavy) - 1)
-            weight = np.where(self.heavy[at] == strings, at, -1)
-        light = np.flatnonzero(weight < 0)
-        own = np.searchsorted(self.bounds, strings[light], side="right").astype(np.int32)
-        order = np.argsort(own, kind="stable")
-        return light[order], np.searchsorted(own[order], np.arange(len(self.bounds) + 2)), weight
-
-
-def choose_ranges(sample: np.ndarray, total: int, least: int, range_bytes: int = RANGE_BYTES) -> Ranges:
-    """Bounds at even steps of the sorted sample; strings that are HEAVY of a range's share of it are heavy."""
-    count = min(MOST_RANGES, max(least, -(-total * (LENGTH + 8) // range_bytes)))
-    sample = np.sort(sample)
-    head = np.flatnonzero(common_prefixes(sample) < LENGTH)
-    sizes = np.diff(np.append(head, len(sample)))
-    heavy = sample[head][(sizes >= 8) & (sizes * count >= HEAVY * len(sample))]
-    light = sample[~np.isin(sample, heavy)]
-    return Ranges(np.unique(light[np.arange(1, count) * len(light) // count]) if len(light) else light, heavy)
-
-
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, segment_bytes: int = SEGMENT_BYTES, sample_step: int = SAMPLE_STEP, range_bytes: int = RANGE_BYTES):
-    """(segments with their answers, folder, lexicographic ranges, least document of each heavy string), for removed_bytes."""
+def stretches(at: np.ndarray, head: np.ndarray, x: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, strings, least gram) of runs of following starts with one kept gram, of at most STRETCH strings each."""
+    sizes = np.diff(np.append(head, len(at)))
+    x, at = np.repeat(x[keep], sizes[keep]), at[np.repeat(keep, sizes)]
+    if not len(at):
+        return at, at, x
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (x[1:] != x[:-1])])
+    first = np.flatnonzero(new)
+    inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(inside % STRETCH == 0)
+    return at[first], np.diff(np.append(first, len(at))), x[first]
+
+
+def _stored(folder: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t = _read(folder, f"{name}.stretches")
+    return tuple(t.column(c).to_numpy() for c in ("start", "n", "gram"))
+
+
+class Pieces:
+    """What a segment sends: its distinct stretches, and the single strings of heavy grams, by part, then in text order."""
+
+    def __init__(self, seg: Segment, start: np.ndarray, n: np.ndarray, gram: np.ndarray, parts: int, heavy: np.ndarray):
+        single = np.isin(gram, heavy)
+        size = np.where(single, n, 1)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        single, start, n, gram = (np.repeat(v, size) for v in (single, start, n, gram))
+        start, n = np.where(single, start + inside, start), np.where(single, 1, n)
+        first, self.back = distinct_spans(seg, start, n + LENGTH - 1, LENGTH + STRETCH - 1)
+        key = np.where(single[first], span_hashes(prefix_sums(seg.data), start[first], start[first] + LENGTH), gram[first])
+        part = ((key >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        self.start, self.n, self.doc = start, n, seg.docs_at(start)  # of every stretch
+        self.sent, self.cut = first[order], np.searchsorted(part[order], np.arange(parts + 1))
+        self.place = np.empty_like(order)  # of a distinct stretch among the sent ones
+        self.place[order] = np.arange(len(order))
+
+
+def expanded(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """All strings of stretches of so many strings, whose bytes follow one another."""
+    size = lengths + LENGTH - 1
+    base = np.cumsum(size) - size
+    at = np.repeat(base - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]).view(STRING).ravel()
+
+
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, segment_bytes: int = SEGMENT_BYTES, sample_step: int = SAMPLE_STEP, part_bytes: int = PART_BYTES):
+    """(segments with their answers, folder, parts, heavy grams), for removed_bytes."""
     spark = docs.sparkSession
     folder = new_folder(spark, "segments")
     least = shuffle_partitions(spark)
@@ -336,7 +365,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parsed = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(parse, SENT), "phrases")
     segs = parsed.select("seg")
     n_segs = parsed.count()
-    buckets = buckets or min(MOST_RANGES, max(16, n_segs // RANGE_SEGMENTS))
+    buckets = buckets or min(MOST_PARTS, max(16, n_segs // RANGE_SEGMENTS))
     # rows are names and bits, so their size says nothing of the work: a few segments make a task
     tasks = max(least, min(100_000, n_segs // 4))
 
@@ -347,7 +376,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 top = np.frombuffer(row["keys"], ">u4").reshape(-1, 4)[:, 0]
                 yield _sent(row["seg"], _hash_cut(top, buckets), keys, vals)
 
-    answers = [stage(_answer(parsed.mapInArrow(deal, SENT), buckets, _smaller, DIGEST, np.int64), "phrase-answers")]
+    answers = [stage(_answer(parsed.mapInArrow(deal, SENT), buckets, _bits_of(_smaller, DIGEST, np.int64)), "phrase-answers")]
 
     def with_answers():
         out = segs
@@ -359,9 +388,10 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for row in batch.to_pylist():
                 seg = read_segment(folder, row["seg"])
-                at, head, own = _anchors(seg, read_phrases(folder, row["seg"], seg), row["a0"], buckets)
+                at, head, x = _anchors(seg, read_phrases(folder, row["seg"], seg), row["a0"])
                 if not len(at):
                     continue
+                own = _in_range(x, buckets)
                 order = np.argsort(own, kind="stable")
                 own, ids = own[order], seg.ids[seg.docs_at(at[head[order]])]
                 edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -369,87 +399,110 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 many = ids[edge] != ids[np.append(edge[1:], len(own)) - 1]
                 yield _sent(row["seg"], np.searchsorted(own[edge] >> U(32), np.arange(buckets + 1, dtype=U)), own[edge].astype(np.uint32), many.astype(np.uint8))
 
-    answers.append(stage(_answer(with_answers().mapInArrow(anchors, SENT), buckets, _several, np.uint32, np.uint8), "anchor-answers"))
+    answers.append(stage(_answer(with_answers().mapInArrow(anchors, SENT), buckets, _bits_of(_several, np.uint32, np.uint8)), "anchor-answers"))
 
     def candidates(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 seg = read_segment(folder, row["seg"])
-                at, head, own = _anchors(seg, read_phrases(folder, row["seg"], seg), row["a0"], buckets)
+                at, head, x = _anchors(seg, read_phrases(folder, row["seg"], seg), row["a0"])
+                keep = np.zeros(0, bool)
                 if len(at):
-                    _, back = np.unique(own, return_inverse=True)
-                    at = at[np.repeat(_bits(row["a1"])[back], np.diff(np.append(head, len(at))))]
-                chosen = np.zeros(len(seg.data), bool)
-                chosen[at] = True
-                _write(folder, f"{row['seg']}.candidates", {"bits": pa.array([np.packbits(chosen).tobytes()], pa.large_binary())})
-                first, _ = distinct_strings(seg, at)
-                some = strings_at(seg, at[first[zlib.crc32(row["seg"].encode()) % sample_step :: sample_step]])
-                yield pa.RecordBatch.from_arrays([pa.array([len(first)], pa.int64()), pa.array([some.tobytes()], pa.binary())], names=["n", "some"])
-
-    counts = stage(with_answers().mapInArrow(candidates, "n long, some binary"), "candidates")
-    total, sampled = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("some")), F.lit(0))).first()
-    stride = -(-int(sampled) // (LENGTH * SAMPLE_MOST)) or 1
+                    _, back = np.unique(_in_range(x, buckets), return_inverse=True)
+                    keep = _bits(row["a1"])[back]
+                start, n, gram = stretches(at, head, x, keep)
+                _write(folder, f"{row['seg']}.stretches", {"start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()), "gram": pa.array(gram, pa.uint64())})
+                first, _ = distinct_spans(seg, start, n + LENGTH - 1, LENGTH + STRETCH - 1)
+                some = first[zlib.crc32(row["seg"].encode()) % sample_step :: sample_step]
+                yield pa.RecordBatch.from_arrays([pa.array([int(n[first].sum())], pa.int64()), pa.array([gram[some].tobytes()], pa.binary()), pa.array([n[some].astype(np.uint8).tobytes()], pa.binary())], names=["n", "grams", "sizes"])
+
+    counts = stage(with_answers().mapInArrow(candidates, "n long, grams binary, sizes binary"), "candidates")
+    total, sampled = (int(x) for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("sizes")), F.lit(0))).first())
+    stride = -(-sampled // SAMPLE_MOST) or 1
+    parts = min(MOST_PARTS, max(least, -(-total * (LENGTH + 8) // part_bytes)))
 
     def thin(batches):
         for batch in batches:
-            rows = [np.frombuffer(b, STRING) for b in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[zlib.crc32(x.tobytes()) % stride :: stride].tobytes() for x in rows], pa.binary())], names=["some"])
+            for g, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = slice(zlib.crc32(g) % stride, None, stride)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64)[own]), pa.array(np.frombuffer(k, np.uint8)[own].astype(np.int64))], names=["gram", "n"])
 
-    sample = np.frombuffer(b"".join(bytes(r["some"]) for r in counts.filter(F.length("some") > 0).select("some").mapInArrow(thin, "some binary").collect()), STRING)  # SAMPLE_MOST strings or so
-    ranges = choose_ranges(sample, int(total), least, range_bytes)
+    # SAMPLE_MOST stretches or so are counted, of which a heavy gram has 8 at least: a bounded list
+    often = counts.select("grams", "sizes").mapInArrow(thin, "gram long, n long").groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    share = HEAVY * total / parts / sample_step / stride
+    heavy = np.array(sorted(r["gram"] for r in often.filter((F.col("k") >= 8) & (F.col("n") >= share)).collect()), np.int64).view(U)
 
     def suffixes(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 seg = read_segment(folder, row["seg"])
-                at = _candidates(folder, row["seg"], seg)
-                if not len(at):
-                    continue
-                first, _ = distinct_strings(seg, at)
-                strings, ids = strings_at(seg, at[first]), seg.ids[seg.docs_at(at[first])]
-                order, cut, weight = ranges.deal(strings)
-                yield _sent(row["seg"], cut, strings[order], ids[order])
-                if (own := np.flatnonzero(weight >= 0)).size:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["seg"]] * len(own)), pa.array(-1 - weight[own], pa.int32()), pa.array(ids[own]), pa.array([b""] * len(own), pa.binary()), pa.array([b""] * len(own), pa.binary())], names=["seg", "bucket", "n", "keys", "vals"])
-
-    sent = with_answers().mapInArrow(suffixes, SENT)
-    heavy: list[int] = []
-    if len(ranges.heavy):
-        sent = stage(sent, "suffixes")
-        found = {r["bucket"]: r["least"] for r in sent.filter("bucket < 0").groupBy("bucket").agg(F.min("n").alias("least")).collect()}  # a row for each heavy string
-        heavy = [found.get(-1 - i, 2**63 - 1) for i in range(len(ranges.heavy))]
-    answers.append(stage(_answer(sent.filter("bucket >= 0"), len(ranges.bounds) + 1, _smaller, STRING, np.int64), "suffix-answers"))
-    return with_answers(), folder, ranges, np.array(heavy, np.int64)
-
-
-def removed_bytes(seg: Segment, phrases: Phrases, at: np.ndarray, row, ranges: Ranges, heavy: np.ndarray) -> np.ndarray:
+                own = Pieces(seg, *_stored(folder, row["seg"]), parts, heavy)
+                if len(own.sent):
+                    yield _sent_pieces(row["seg"], seg, own)
+
+    answers.append(stage(_answer(with_answers().mapInArrow(suffixes, SENT), parts, _piece_bits), "suffix-answers"))
+    return with_answers(), folder, parts, heavy
+
+
+def _sent_pieces(name: str, seg: Segment, own: Pieces) -> pa.RecordBatch:
+    rows = [(k, own.sent[a:b]) for k, (a, b) in enumerate(zip(own.cut, own.cut[1:], strict=False)) if a < b]
+    out = {"seg": [], "bucket": [], "n": [], "keys": [], "vals": []}
+    for k, sent in rows:
+        n, start = own.n[sent], own.start[sent]
+        size = n + LENGTH - 1
+        data = seg.data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        lengths = n.astype(np.uint8).tobytes()
+        out["seg"].append(name)
+        out["bucket"].append(k)
+        out["n"].append(int(n.sum()))
+        out["keys"].append(len(n).to_bytes(8, "little") + len(data).to_bytes(8, "little") + pa.compress(lengths + data.tobytes(), codec="zstd", asbytes=True))
+        out["vals"].append(_packed(seg.ids[own.doc[sent]]))
+    return pa.RecordBatch.from_pydict(out, schema=pa.schema([("seg", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())]))
+
+
+def _piece_bits(rows: list[dict]) -> list[np.ndarray]:
+    """For the strings of each row's stretches, whether a smaller document has them."""
+    strings, docs = [], []
+    for r in rows:
+        m, size = (int.from_bytes(r["keys"][k : k + 8], "little") for k in (0, 8))
+        raw = np.frombuffer(pa.decompress(r["keys"][16:], decompressed_size=m + size, codec="zstd", asbytes=True), np.uint8)
+        lengths = raw[:m].astype(np.int64)
+        strings.append(expanded(lengths, raw[m:]))
+        docs.append(np.repeat(_unpacked(r["vals"], m, np.int64), lengths))
+    bits = _smaller(np.concatenate(strings), np.concatenate(docs))
+    return np.split(bits, np.cumsum([len(x) for x in strings])[:-1])
+
+
+def removed_bytes(seg: Segment, phrases: Phrases, stored, row, parts: int, heavy: np.ndarray) -> np.ndarray:
     """Whether each byte of the segment is to be removed."""
     covered = phrases.covered(seg, row["a0"])
-    first, back = distinct_strings(seg, at)
-    order, _, weight = ranges.deal(strings_at(seg, at[first]))
-    ids = seg.ids[seg.docs_at(at)]
-    repeat = np.zeros(len(first), bool)
-    repeat[order] = _bits(row["a2"])
-    if len(heavy):
-        repeat[weight >= 0] = heavy[weight[weight >= 0]] < ids[first][weight >= 0]
-    own = at[repeat[back] | (ids[first][back] < ids)] if len(at) else at
     steps = np.zeros(len(seg.data) + LENGTH + 1, np.int32)
     np.add.at(steps, phrases.start[covered], 1)
     np.add.at(steps, phrases.stop[covered] + LENGTH - 1, -1)
-    steps[own] += 1
-    steps[own + LENGTH] -= 1
+    own = Pieces(seg, *stored, parts, heavy)
+    if len(own.sent):
+        bits, size = _bits(row["a2"]), own.n[own.sent]
+        base = np.cumsum(size) - size  # of each sent stretch's strings in the answer
+        mine = own.place[own.back]
+        inside = np.arange(own.n.sum()) - np.repeat(np.cumsum(own.n) - own.n, own.n)
+        ids = seg.ids[own.doc]
+        earlier = seg.ids[own.doc[own.sent[mine]]] < ids  # the first of equal stretches is in a smaller document
+        gone = bits[np.repeat(base[mine], own.n) + inside] | np.repeat(earlier, own.n)
+        at = (np.repeat(own.start, own.n) + inside)[gone]
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + LENGTH, -1)
     return np.cumsum(steps)[: len(seg.data)] > 0
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the kept bytes.  Options: see mark_repeats."""
-    marked, folder, ranges, heavy = mark_repeats(docs, id_col, text_col, **options)
+    marked, folder, parts, heavy = mark_repeats(docs, id_col, text_col, **options)
 
     def apply(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 seg = read_segment(folder, row["seg"])
-                gone = removed_bytes(seg, read_phrases(folder, row["seg"], seg), _candidates(folder, row["seg"], seg), row, ranges, heavy)
+                gone = removed_bytes(seg, read_phrases(folder, row["seg"], seg), _stored(folder, row["seg"]), row, parts, heavy)
                 out = {"id": [], "n": [], "removed": [], "spans": [], "sha": [], "kept": []}
                 for i, a, b in zip(seg.ids.tolist(), seg.starts, seg.ends, strict=True):
                     g = gone[a:b]

@@ -252,33 +252,43 @@ def test_substrings_of_random_copies(spark):
     rows = [(i, "".join(rng.choice(pool)[rng.randrange(20) :] for _ in range(rng.randrange(1, 6)))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = substrings.deduplicate_plainly(rows)
-    for r in substrings.deduplicate(df, segment_bytes=3000, buckets=5, sample_step=3, range_bytes=2000).collect():
+    for r in substrings.deduplicate(df, segment_bytes=3000, buckets=5, sample_step=3, part_bytes=2000).collect():
         assert r["n_removed"] == want[r["doc_id"]].sum()
 
 
-def test_heavy_strings_leave_the_ranges(spark):
-    """A passage at the edges of all phrases, in every segment; the sample makes its strings heavy."""
+def test_heavy_grams_are_split(spark):
+    """A passage at the edges of all phrases, in every segment; the sample makes its grams heavy, so its strings are dealt one by one."""
     rng = random.Random(9)
     passage = "the same passage of more than fifty bytes in every text of all " * 2
     rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(40)) + passage + "".join(rng.choice("abcdefgh ") for _ in range(40))) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    marked, _, ranges, heavy = substrings.mark_repeats(df, segment_bytes=400, sample_step=1, range_bytes=1500)
-    assert len(ranges.heavy) and len(heavy) == len(ranges.heavy) and len(ranges.bounds) > 3
+    options = {"segment_bytes": 400, "sample_step": 1, "part_bytes": 20_000}
+    _, _, parts, heavy = substrings.mark_repeats(df, **options)
+    assert len(heavy) and parts > 3
     want = substrings.deduplicate_plainly(rows)
-    got = substrings.deduplicate(df, segment_bytes=400, sample_step=1, range_bytes=1500).collect()
-    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: want[i].sum() for i, _ in rows}
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(df, **options).collect()} == {i: want[i].sum() for i, _ in rows}
 
 
-def test_ranges_deal_every_string():
+def test_stretches_hold_every_kept_string():
     rng = np.random.default_rng(2)
-    strings = np.ascontiguousarray(rng.integers(0, 3, (500, 50), np.uint8)).view("S50").ravel()
-    sample = np.concatenate([strings[:60], np.repeat(strings[:1], 40)])
-    ranges = substrings.choose_ranges(sample, 500, 7)
-    order, cut, weight = ranges.deal(strings)
-    assert ranges.heavy.tolist() == [strings[0]] and (weight >= 0).sum() == 1
-    assert sorted(order.tolist() + np.flatnonzero(weight >= 0).tolist()) == list(range(500)) and cut[-1] == len(order)
-    parts = [sorted(strings[order[a:b]].tolist()) for a, b in zip(cut, cut[1:])]
-    assert [x for p in parts for x in p] == sorted(strings[order].tolist())
+    seg = substrings._segment([1, 2], [bytes(rng.integers(97, 100, 900, np.uint8)), b"a" * 400])
+    at = np.concatenate([np.arange(0, 851), np.arange(900, 1251)])
+    x = substrings.least_grams(seg, at)
+    head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (seg.docs_at(at)[1:] != seg.docs_at(at)[:-1])]))
+    keep = rng.random(len(head)) < 0.7
+    start, n, gram = substrings.stretches(at, head, x[head], keep)
+    assert n.max() <= substrings.STRETCH and n.min() >= 1
+    got = [a + k for a, m in zip(start, n) for k in range(m)]
+    assert got == at[np.repeat(keep, np.diff(np.append(head, len(at))))].tolist()
+    assert (np.repeat(gram, n) == substrings.least_grams(seg, np.array(got))).all()
+    for heavy in (gram[:0], np.unique(gram)[::2]):
+        own = substrings.Pieces(seg, start, n, gram, 5, heavy)
+        assert sorted(a + k for a, m in zip(own.start, own.n) for k in range(m)) == sorted(got)
+        text = seg.data.tobytes()
+        spans = [text[a : a + m + 49] for a, m in zip(own.start, own.n)]
+        assert [spans[own.sent[own.place[b]]] for b in own.back] == spans and len({spans[i] for i in own.sent}) == len(own.sent) == own.cut[-1]
+        data = np.frombuffer(b"".join(spans), np.uint8)
+        assert substrings.expanded(own.n, data).tolist() == [text[a + k : a + k + 50] for a, m in zip(own.start, own.n) for k in range(m)]
 
 
 def test_suffix_array_and_common_prefixes():
@@ -292,10 +302,10 @@ def test_suffix_array_and_common_prefixes():
     assert substrings.common_prefixes(strings[order]).tolist() == brute
 
 
-def test_equal_hashes_of_different_strings_are_told_apart(monkeypatch):
+def test_equal_hashes_of_different_spans_are_told_apart(monkeypatch):
     seg = substrings._segment([1], [bytes(range(120))])
     monkeypatch.setattr(substrings, "span_hashes", lambda sums, a, b: np.zeros(len(a), np.uint64))
-    first, back = substrings.distinct_strings(seg, np.arange(70))
+    first, back = substrings.distinct_spans(seg, np.arange(70), np.full(70, 50), 74)
     assert first.tolist() == list(range(70)) and back.tolist() == list(range(70))
 
 
