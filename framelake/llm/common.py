@@ -53,7 +53,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "staged_at", None):
+            jvm, sc = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext
+            own = jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(sc._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs, which it finds when the driver's memory is collected."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def folder_bytes(spark: SparkSession, df: DataFrame) -> int:
