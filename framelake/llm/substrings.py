@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, open_shared, shuffle_partitions, stage
-from .hashing import U, powers, prefix_sums, span_hashes
+from .hashing import U, mixed, powers, prefix_sums, span_hashes
 
 LENGTH, TRIGGER, PHRASE, GRAM = 50, 12, 96, 26
-SEGMENT_BYTES = 3 << 20
+SEGMENT_BYTES = 3 << 19
 #: Segments whose digests or grams make a hash range, bytes of strings in a part, and the most of each.
-RANGE_SEGMENTS, PART_BYTES, MOST_PARTS = 24, 24 << 20, 65_536
+RANGE_SEGMENTS, PART_BYTES, MOST_PARTS = 48, 24 << 20, 65_536
 #: Most strings of a stretch, so equal stretches are of equal length more often.
 STRETCH = LENGTH - GRAM + 1
 #: One of so many stretches of a segment is sampled; so many come to the driver at most.
@@ -145,7 +145,7 @@ def least_grams(seg: Segment, at: np.ndarray) -> np.ndarray:
     """Least hash of the grams of each string."""
     sums = prefix_sums(seg.data)
     n = len(sums) - GRAM
-    x = span_hashes(sums, np.arange(n), np.arange(GRAM, n + GRAM))
+    x = mixed((sums[GRAM:] - sums[:-GRAM]) * powers(len(sums))[1][:n] + U(GRAM))
     width, have = LENGTH - GRAM + 1, 1
     while have < width:
         step = min(have, width - have)
