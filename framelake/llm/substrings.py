@@ -45,6 +45,8 @@ LENGTH, TRIGGER, PHRASE, GRAM = 50, 12, 96, 26
 SEGMENT_BYTES = 3 << 19
 #: Segments whose digests or grams make a hash range, bytes of strings in a part, and the most of each.
 RANGE_SEGMENTS, PART_BYTES, MOST_PARTS = 48, 24 << 20, 65_536
+#: Strings of a part that are sorted at a time.
+PASS_STRINGS = 300_000
 #: Most strings of a stretch, so equal stretches are of equal length more often.
 STRETCH = LENGTH - GRAM + 1
 #: One of so many stretches of a segment is sampled; so many come to the driver at most.
@@ -323,11 +325,11 @@ class Pieces:
         self.place[order] = np.arange(len(order))
 
 
-def expanded(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """All strings of stretches of so many strings, whose bytes follow one another."""
+def expanded(lengths: np.ndarray, data: np.ndarray, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The chosen ones of all strings of stretches of so many strings, whose bytes follow one another."""
     size = lengths + LENGTH - 1
     base = np.cumsum(size) - size
-    at = np.repeat(base - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    at = (np.repeat(base - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum()))[chosen]
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]).view(STRING).ravel()
 
 
@@ -460,17 +462,32 @@ def _sent_pieces(name: str, seg: Segment, own: Pieces) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out, schema=pa.schema([("seg", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())]))
 
 
-def _piece_bits(rows: list[dict]) -> list[np.ndarray]:
-    """For the strings of each row's stretches, whether a smaller document has them."""
-    strings, docs = [], []
+def _piece_bits(rows: list[dict], most: int = PASS_STRINGS) -> list[np.ndarray]:
+    """For the strings of each row's stretches, whether a smaller document has them.
+
+    A part of more than some ``most`` strings is sorted in lexicographic ranges, one after another, so its memory is bounded however
+    many strings a part has.
+    """
+    sent = []
     for r in rows:
         m, size = (int.from_bytes(r["keys"][k : k + 8], "little") for k in (0, 8))
         raw = np.frombuffer(pa.decompress(r["keys"][16:], decompressed_size=m + size, codec="zstd", asbytes=True), np.uint8)
-        lengths = raw[:m].astype(np.int64)
-        strings.append(expanded(lengths, raw[m:]))
-        docs.append(np.repeat(_unpacked(r["vals"], m, np.int64), lengths))
-    bits = _smaller(np.concatenate(strings), np.concatenate(docs))
-    return np.split(bits, np.cumsum([len(x) for x in strings])[:-1])
+        sent.append((raw[:m].astype(np.int64), raw[m:], _unpacked(r["vals"], m, np.int64)))
+    total = sum(r["n"] for r in rows)
+    step = max(1, total // 20_000)
+    sample = np.sort(np.concatenate([expanded(n, data, slice(None, None, step)) for n, data, _ in sent]))
+    count = -(-total // most)
+    bounds = np.unique(sample[np.arange(1, count) * len(sample) // count])
+    ranges = [np.searchsorted(bounds, expanded(n, data), side="right").astype(np.uint16) for n, data, _ in sent]
+    out = [np.zeros(len(x), bool) for x in ranges]
+    for k in range(len(bounds) + 1):
+        own = [np.flatnonzero(x == k) for x in ranges]
+        strings = np.concatenate([expanded(n, data, at) for (n, data, _), at in zip(sent, own, strict=True)])
+        docs = np.concatenate([np.repeat(d, n)[at] for (n, _, d), at in zip(sent, own, strict=True)])
+        bits, ends = _smaller(strings, docs), np.cumsum([len(at) for at in own])
+        for x, at, b in zip(out, own, np.split(bits, ends[:-1]), strict=True):
+            x[at] = b
+    return out
 
 
 def removed_bytes(seg: Segment, phrases: Phrases, stored, row, parts: int, heavy: np.ndarray) -> np.ndarray:

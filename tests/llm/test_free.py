@@ -291,6 +291,22 @@ def test_stretches_hold_every_kept_string():
         assert substrings.expanded(own.n, data).tolist() == [text[a + k : a + k + 50] for a, m in zip(own.start, own.n) for k in range(m)]
 
 
+def test_a_part_is_sorted_range_by_range():
+    """However few strings are sorted at a time, the same bits."""
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("ab") for _ in range(rng.randrange(50, 75))).encode() for _ in range(40)]
+    rows = []
+    for _ in range(6):
+        own = [rng.choice(pool) for _ in range(30)]
+        lengths, data = bytes(len(x) - 49 for x in own), b"".join(own)
+        packed = len(own).to_bytes(8, "little") + len(data).to_bytes(8, "little") + pa.compress(lengths + data, codec="zstd", asbytes=True)
+        rows.append({"n": sum(lengths), "keys": packed, "vals": substrings._packed(np.array([rng.randrange(9) for _ in own], np.int64))})
+    whole = substrings._piece_bits(rows)
+    assert 0 < sum(x.sum() for x in whole) < sum(len(x) for x in whole) == sum(r["n"] for r in rows)
+    for most in (1, 50, 700):
+        assert all((a == b).all() for a, b in zip(whole, substrings._piece_bits(rows, most), strict=True))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(5)
     strings = np.ascontiguousarray(rng.integers(97, 99, (400, 50), np.uint8)).view("S50").ravel()
