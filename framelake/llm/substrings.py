@@ -44,9 +44,9 @@ from .hashing import U, mixed, powers, prefix_sums, span_hashes
 LENGTH, TRIGGER, PHRASE, GRAM = 50, 12, 96, 26
 SEGMENT_BYTES = 3 << 19
 #: Segments whose digests or grams make a hash range, bytes of strings in a part, and the most of each.
-RANGE_SEGMENTS, PART_BYTES, MOST_PARTS = 48, 24 << 20, 65_536
+RANGE_SEGMENTS, PART_BYTES, MOST_PARTS = 16, 24 << 20, 65_536
 #: Strings of a part that are sorted at a time.
-PASS_STRINGS = 300_000
+PASS_STRINGS = 150_000
 #: Most strings of a stretch, so equal stretches are of equal length more often.
 STRETCH = LENGTH - GRAM + 1
 #: One of so many stretches of a segment is sampled; so many come to the driver at most.
