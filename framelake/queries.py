@@ -12,7 +12,7 @@ from . import adapters, rules
 from .adapters import NOMINAL_SECONDS as SECONDS
 from .functions import scalar
 from .operators import capacity, gates, layout, lookup, sample_tables, segmenter, timeline
-from .plans.staging import staged
+from .plans.staging import dealt, staged
 from .schema import U32_MAX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -529,6 +529,10 @@ made AS (SELECT l.archive_id, l.segment_idx,
   FROM tlay l JOIN hexed USING (archive_id, segment_idx) JOIN tseg s ON s.archive_id = l.archive_id AND s.segment_idx = l.segment_idx)"""
 
 
+#: Divisors of the rows' microseconds, the largest first.
+SCALES = [t for t in range(adapters.TIMESCALE, 0, -1) if adapters.TIMESCALE % t == 0]
+
+
 def _ticks(us):
     """(timescale, deltas) of an archive's video out of its deltas in microseconds.
 
@@ -536,37 +540,41 @@ def _ticks(us):
     times are rounded down to its ticks, so they do not drift.
     """
     most = int(us.max(initial=0))
-    scales = [t for t in range(adapters.TIMESCALE, 0, -1) if adapters.TIMESCALE % t == 0]
-    timescale = next((t for t in scales if most * t // adapters.TIMESCALE < U32_MAX), 1)
+    timescale = next((t for t in SCALES if most * t // adapters.TIMESCALE < U32_MAX), 1)
     at = [x * timescale // adapters.TIMESCALE for x in itertools.accumulate(us.tolist(), initial=0)]
     return timescale, [b - a for a, b in itertools.pairwise(at)]
 
 
 def _containers(spark, sf_dir):
-    """(archive_id, path): each user's archive, written to the shared folder by the task that has the user's samples."""
+    """(archive_id, path): each user's archive, packed in the shared folder by the task that has the user's samples.
+
+    Payloads are runs of one byte, so an archive is kept as its head and its runs: on the disk it takes some bytes a sample, whatever their sizes.
+    """
     from .functions import synthetic
-    from .plans.staging import shared_folder
+    from .plans.staging import runs_of, shared_folder
     from .sources import files
 
     samples, _ = adapters.media(spark, sf_dir)
     folder = shared_folder(spark, "containers")
 
-    def make(table):
+    def make(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        name = table.column("archive_id")[0].as_py()
-        video, audio = (table.filter(pc.equal(table.column("track"), t)).sort_by("sample_idx") for t in ("video", "audio"))
-        timescale, deltas = _ticks(video.column("dts_delta").to_numpy())
-        sync = pc.indices_nonzero(video.column("is_sync")).to_pylist()
-        data = synthetic.archive(
-            {"timescale": timescale, "deltas": deltas, "sizes": video.column("size").to_pylist(), "sync": sync, "cts": video.column("cts_offset").to_pylist()},
-            {"timescale": adapters.AUDIO_TIMESCALE, "deltas": audio.column("dts_delta").to_pylist(), "sizes": audio.column("size").to_pylist()},
-        )
-        files.put_in_place(folder, [files.write_part(folder, f"{name}.mp4", data)])
-        return pa.table({"archive_id": [name], "path": [f"{folder}/{name}.mp4"]})
-
-    return staged(samples.groupBy("archive_id").applyInArrow(make, "archive_id string, path string"), "container-paths")
+        with files.pack_writer(folder) as add:
+            for table in runs_of(batches, "archive_id"):
+                name = table.column("archive_id")[0].as_py()
+                video, audio = (table.filter(pc.equal(table.column("track"), t)) for t in ("video", "audio"))
+                timescale, deltas = _ticks(video.column("dts_delta").to_numpy())
+                sync = pc.indices_nonzero(video.column("is_sync")).to_pylist()
+                record = files.packed(*synthetic.parts(
+                    {"timescale": timescale, "deltas": deltas, "sizes": video.column("size").to_pylist(), "sync": sync, "cts": video.column("cts_offset").to_pylist()},
+                    {"timescale": adapters.AUDIO_TIMESCALE, "deltas": audio.column("dts_delta").to_pylist(), "sizes": audio.column("size").to_pylist()},
+                ))
+                yield pa.RecordBatch.from_pydict({"archive_id": [name], "path": [add(f"{name}.mp4", record)]})
+
+    stream = dealt(samples, "archive_id").sortWithinPartitions("archive_id", "track", "sample_idx")
+    return staged(stream.mapInArrow(make, "archive_id string, path string"), "container-paths")
 
 
 def _archive_rows(containers):

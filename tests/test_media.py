@@ -474,3 +474,21 @@ def test_a_keys_rows_stay_together_when_the_sides_of_a_union_are_coalesced_apart
             spark.conf.set(k, v)
     assert got == [2] * 8000
     assert plain == [1] * 16000  # what Spark does by itself; should that change, dealt() may go
+
+
+def test_packed_archives_read_like_files(tmp_path):
+    from framelake.sources import files
+
+    video = {"timescale": 10, "deltas": [10] * 5, "sizes": [7, 0, 3000, 1, 20], "sync": [0], "cts": [0] * 5}
+    audio = {"timescale": 10, "deltas": [10] * 2, "sizes": [5, 0]}
+    want = synthetic.archive(video, audio)
+    with files.pack_writer(str(tmp_path)) as add:
+        paths = [add("first.mp4", files.packed(b"head only", b"", [])), add("x#1/y.mp4".replace("/", "_"), files.packed(*synthetic.parts(video, audio)))]
+    with files.opened(paths[0]) as (read, length):
+        assert (read(0, 99), length) == (b"head only", 9)
+    assert [files.stem(p) for p in paths] == ["first", "x#1_y"]
+    with files.opened(paths[1].replace("x#1_y", "y")) as (read, length):
+        assert length == len(want) and os.path.getsize(paths[1].removeprefix(files.PACKED).split("#")[0]) < 600
+        places = [0, 1, len(want) - 3033, len(want) - 3030, len(want) - 3026, len(want) - 20, len(want) - 1, len(want)]
+        assert all(read(a, n) == want[a : a + n] for a in places for n in (0, 1, 4, 30, 5000))
+        assert blake3_bytes(want) == blake3_bytes(read(0, length))
