@@ -7,8 +7,8 @@
 3. Of buckets with the same members one is kept.  In a bucket with several components, members are compared with a few centres, never
    with all others.  Centres are members outside the bucket's largest component which were none before; once there are no
    more of them, every two members of different components have been compared: so buckets of at most ``SMALL`` members end.
-   Larger ones are dealt again with the following band, and again, while that gives smaller sets: those who share a common passage
-   only part, near copies share bands of their own as well.  So each round makes rows in proportion to the buckets, whatever their sizes.
+   The members of larger ones are dealt again by the rarest shingles of their full sets, as many as any two of the least similarity must
+   share one of: those who share a common passage only part.  These buckets take centres until none has any more to take, so no pair is left out.
 4. A pair's signatures are compared 25 minima at a time; it is dropped once the posterior probability (uniform
    prior) of the least similarity (``percent``) is below ``MISS``.  Survivors are verified on their full sets.
 5. Links become components by alternating large-star and small-star steps.
@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, stage
@@ -38,11 +38,11 @@ STEP = 25
 PERCENT = 85
 MISS, MISS_BANDS = 1e-7, 1e-6
 #: Centres of a bucket in its first rounds: one, with which most near copies find their component, then up to two.
-FIRST_ROUNDS, LATER_ROUNDS = (1, 2), (1,)
+FIRST_ROUNDS = (1, 2)
 #: Members of a bucket of which all may be centres in one round.
 SMALL = 12
-#: Bands after a bucket's last one by which it is dealt again: one, so rows shrink from level to level.
-SHIFTS = (1,)
+#: Centres of a larger bucket of a shingle in its first round, and how many times as many in each later one.
+MORE = 8
 SALTS = 16
 NULL_ID = -(2**63)
 _rng = np.random.default_rng(104729)
@@ -211,23 +211,28 @@ def _open(own: DataFrame, used: DataFrame | None) -> DataFrame:
     return rows if used is None else rows.join(used, ["nd_k", "node"], "left_anti")
 
 
-def _dealt_again(members: DataFrame, lists: DataFrame, bands: int) -> DataFrame:
-    """Members by their bucket and each of the SHIFTS next bands, the first following the last."""
-    later = F.filter("nd_list", lambda x: F.pmod(x["nd_j"] - F.col("nd_j"), F.lit(bands)).isin(*SHIFTS))
-    rows = members.join(lists, "node").withColumn("x", F.explode(later))
-    return rows.select(F.xxhash64("nd_k", "x.nd_k").alias("nd_k"), F.col("x.nd_j").alias("nd_j"), "node", "nd_n", "nd_id")
+def _prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(nd_k, node, nd_n, nd_id): nodes of left by each shingle of their prefixes; nodes of similarity percent / 100 or more share one.
+
+    Shingles are put in order by the number of left's nodes that have them, rare ones first.  Two sets with an intersection of c at least share one of
+    their first n - c + 1, and c is no less than percent of either size.  Shingles of one node come first and are only counted.
+    """
+    rows = sets.join(left, "node").select("node", "nd_n", "nd_id", F.explode("nd_set").alias("nd_k"))
+    several = rows.groupBy("nd_k").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    rows = rows.join(several, "nd_k")
+    order = Window.partitionBy("node").orderBy("f", "nd_k")
+    rows = rows.withColumns({"at": F.row_number().over(order), "shared": F.count(F.lit(1)).over(Window.partitionBy("node"))})
+    length = F.expr(f"nd_n - ({percent} * nd_n + 99) div 100 + 1")
+    return rows.filter(F.col("at") <= length - (F.col("nd_n") - F.col("shared"))).select("nd_k", "node", "nd_n", "nd_id")
 
 
-def _distinct_sets(members: DataFrame, stars: DataFrame | None, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(members of one bucket for each set of nodes that has several components and was not seen, what tells those sets)."""
+def _distinct_sets(members: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """Members of one bucket for each set of nodes that has several components."""
     h = F.xxhash64("node")
     marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("y")]
     sets = _labelled(members, stars).groupBy("nd_k").agg(*marks, F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
     sets = sets.groupBy("n", "x", "y").agg(F.min("nd_k").alias("nd_k"))
-    sets = stage(sets if seen is None else sets.join(seen, ["n", "x", "y"], "left_anti"), "sets-of-buckets")
-    own = stage(members.join(sets.select("nd_k", F.col("n").alias("nd_size")), "nd_k"), "members")
-    now = sets.drop("nd_k")
-    return own, now if seen is None else stage(seen.union(now), "seen")
+    return stage(members.join(sets.select("nd_k", F.col("n").alias("nd_size")), "nd_k"), "members")
 
 
 def _centres(rows: DataFrame, most: int, turn: Column) -> DataFrame:
@@ -237,9 +242,8 @@ def _centres(rows: DataFrame, most: int, turn: Column) -> DataFrame:
     return rows.groupBy("nd_k", "part").agg(pick("node").alias("m_node"), pick("nd_n").alias("m_n"), pick("c").alias("m_c")).drop("part")
 
 
-def _small_centres(rows: DataFrame) -> DataFrame:
-    """All that may be centres of each bucket of at most SMALL members."""
-    return rows.filter(F.col("nd_size") <= SMALL).select("nd_k", F.col("node").alias("m_node"), F.col("nd_n").alias("m_n"), F.col("c").alias("m_c"))
+def _all_centres(rows: DataFrame) -> DataFrame:
+    return rows.select("nd_k", F.col("node").alias("m_node"), F.col("nd_n").alias("m_n"), F.col("c").alias("m_c"))
 
 
 class Links:
@@ -267,10 +271,41 @@ class Links:
             discard(before, pairs)
 
 
+def _settled(members: DataFrame, links: Links, rounds: tuple[int, ...] | None, first: Column | None) -> DataFrame:
+    """Compare the members of each bucket with its centres, as many in each round as rounds tell, and all that small buckets have; (node, nd_n, nd_id)
+    of the buckets that still have open members.  Without rounds they go on, with more centres each, until no bucket has."""
+    spark, used, r = members.sparkSession, None, 0
+    while True:
+        own = stage(_labelled(members, links.stars), "labelled")
+        discard(members)
+        waiting = stage(_open(own, used), "open")
+        members = own.join(waiting.select("nd_k").distinct(), "nd_k", "left_semi").drop("c")
+        if waiting.isEmpty() or rounds and r > len(rounds):
+            left = stage(members.select("node", "nd_n", "nd_id").distinct(), "left")
+            discard(own, waiting)
+            return left
+        most = rounds[r] if rounds and r < len(rounds) else None if rounds else MORE ** (r + 1)
+        turn = first if first is not None and r == 0 else F.xxhash64(F.lit(r), "node")
+        small = F.col("nd_size") <= SMALL
+        centres = _all_centres(waiting.filter(small))
+        if rounds and r < len(rounds):  # in the first rounds one or two settle most of the small buckets too
+            centres = _centres(waiting, most, turn)
+        elif most:
+            centres = centres.union(_centres(waiting.filter(~small), most, turn))
+        centres = stage(centres, "centres")
+        links.compare(own, centres)
+        now = centres.select("nd_k", F.col("m_node").alias("node"))
+        used = now if used is None else stage(used.union(now), "used")
+        members = stage(members, "members")
+        discard(own, waiting)
+        release(spark)
+        r += 1
+
+
 def links_and_components(docs: DataFrame, id_col: str, text_col: str, base: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """(nd_digest, component): the least id of the component of each class that shares a bucket; None if none does."""
     classes = base.filter("nd_n > 0")
-    bands = classes.select("nd_digest", "nd_n", F.posexplode("nd_bands").alias("nd_j", "nd_k"))
+    bands = classes.select("nd_digest", "nd_n", F.explode("nd_bands").alias("nd_k"))
     short = F.xxhash64("nd_digest")
     shared = bands.groupBy("nd_k").agg(F.min(short).alias("lo"), F.max(short).alias("hi")).filter("lo < hi").select("nd_k")
     members = stage(bands.join(shared, "nd_k", "left_semi").dropDuplicates(["nd_k", "nd_digest"]), "buckets")
@@ -278,34 +313,15 @@ def links_and_components(docs: DataFrame, id_col: str, text_col: str, base: Data
     nodes = stage(least.join(members.select("nd_digest").distinct(), "nd_digest", "left_semi").withColumn("node", F.monotonically_increasing_id()), "nodes")
     if nodes.isEmpty():
         return None
-    members = members.join(nodes, "nd_digest").select("nd_k", "nd_j", "node", "nd_n", "nd_id")
+    members = members.join(nodes, "nd_digest").select("nd_k", "node", "nd_n", "nd_id")
     sets = stage(full_sets(docs, nodes, id_col, text_col), "sets")
     sigs = stage(classes.select("nd_digest", "nd_n", "nd_sig").join(nodes.select("nd_digest", "node"), "nd_digest").drop("nd_digest").dropDuplicates(["node"]), "node-signatures")
-    links, lists, seen, level = Links(sigs, sets, percent), None, None, 0
-    while True:
-        members, seen = _distinct_sets(members, links.stars, seen)
-        if members.isEmpty():
-            break
-        used, rounds = None, LATER_ROUNDS if level else FIRST_ROUNDS
-        for r in range(len(rounds) + 1):
-            own = stage(_labelled(members, links.stars), "labelled")
-            turn = F.col("nd_id") if level == r == 0 else F.xxhash64(F.lit(10 * level + r), "node")
-            waiting = _open(own, used)
-            centres = stage(_centres(waiting, rounds[r], turn) if r < len(rounds) else _small_centres(waiting), "centres")
-            if centres.isEmpty():
-                break
-            links.compare(own, centres)
-            discard(own)
-            release(docs.sparkSession)
-            now = centres.select("nd_k", F.col("m_node").alias("node"))
-            used = now if used is None else used.union(now)
-        own = _labelled(members, links.stars)
-        large = _open(own, used).filter(F.col("nd_size") > SMALL).select("nd_k").distinct()
-        left = stage(members.join(large, "nd_k", "left_semi").drop("nd_size"), "left")
-        if lists is None:
-            lists = stage(left.groupBy("node").agg(F.collect_list(F.struct("nd_j", "nd_k")).alias("nd_list")), "band-lists")
+    links = Links(sigs, sets, percent)
+    left = _settled(_distinct_sets(members, None), links, FIRST_ROUNDS, F.col("nd_id"))
+    if not left.isEmpty():
+        members = stage(_prefixes(left, sets, percent), "prefixes")
+        _settled(_distinct_sets(members, links.stars), links, None, None)
         discard(members)
-        members, level = stage(_dealt_again(left, lists, banding(percent)[0]), "dealt-again"), level + 1
     stars = links.stars
     owned = nodes if stars is None else nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left")
     owned = owned.withColumn("c", F.col("node") if stars is None else F.coalesce("star", "node"))

@@ -529,6 +529,36 @@ def test_crowded_buckets_are_dealt_again(spark):
     assert found == {2 * j: 2 for j in range(30)}
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """All documents in one bucket, each pair of near copies in no other one together."""
+    rng = random.Random(29)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for j in range(30):
+        own = [f"p{j}-{rng.random()}" for _ in range(60)]
+        rows += [(2 * j, " ".join(common + own)), (2 * j + 1, " ".join([*common, *own[:-1], f"x{j}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base = minhash.signatures(df, "doc_id", "text").withColumn("nd_bands", F.array(F.lit(7).cast("long"), 1000 + F.col("nd_id"), 2000 + F.col("nd_id")))
+    found = {r["component"]: r["n"] for r in minhash.links_and_components(df, "doc_id", "text", base).groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert found == {2 * j: 2 for j in range(30)}
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    rng = random.Random(31)
+    sets = []
+    for _ in range(25):
+        a = rng.sample(range(400), rng.randrange(1, 60))
+        sets += [a, [*a[: len(a) - len(a) // 9], *(1000 + rng.randrange(10**6) for _ in range(len(a) // 20))]]
+    rows = [(k, sorted(set(x))) for k, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, nd_set array<long>")
+    got = defaultdict(set)
+    for r in minhash._prefixes(table.select("node", F.size("nd_set").cast("long").alias("nd_n"), F.col("node").alias("nd_id")), table, 85).collect():
+        got[r["node"]].add(r["nd_k"])
+    similar = [(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(set(x) & set(y)) >= 85 * len(set(x) | set(y))]
+    assert len(similar) > 10 and all(got[a] & got[b] for a, b in similar)
+    assert sum(map(len, got.values())) < sum(len(x) for _, x in rows) / 4
+
+
 def test_words_of_any_length_are_told_apart(spark):
     """Thue-Morse words and their complements, equal under polynomials modulo 2^64."""
     tm = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
