@@ -265,7 +265,7 @@ def stsc_expand(spark, sf_dir):
 
 @query(f'WITH {STSC_SQL} SELECT archive_id, sample_idx, chunk_idx, size, "offset" FROM offs')
 def sample_offsets(spark, sf_dir):
-    return sample_tables.expand_tables(_tables(spark, sf_dir, "r.run_idx * r.count")).select("archive_id", "sample_idx", "chunk_idx", "size", "offset")
+    return sample_tables.expand_tables(_tables(spark, sf_dir, "r.run_idx * r.count"), fields=()).select("archive_id", "sample_idx", "chunk_idx", "size", "offset")
 
 
 def _sync_tables(spark, sf_dir):

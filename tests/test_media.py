@@ -492,3 +492,21 @@ def test_packed_archives_read_like_files(tmp_path):
         places = [0, 1, len(want) - 3033, len(want) - 3030, len(want) - 3026, len(want) - 20, len(want) - 1, len(want)]
         assert all(read(a, n) == want[a : a + n] for a in places for n in (0, 1, 4, 30, 5000))
         assert blake3_bytes(want) == blake3_bytes(read(0, length))
+
+
+def test_offsets_are_summed_without_a_sort_and_across_batches(spark):
+    t = tables(spark, [3, 5, 7, 11, 13, 17], [(6, 1)], [(1, 2, 1), (3, 0, 1), (4, 2, 1)], [100, 1000, 50, 2000], None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = sample_tables.expand_tables(sample_tables.gather(t["flag"], *(t[k] for k in ("sizes", "stts", "ctts", "stsc", "chunks", "stss"))), fields=())
+        got = [(r["sample_idx"], r["chunk_idx"], r["offset"]) for r in rows.orderBy("sample_idx").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [(0, 0, 100), (1, 0, 103), (2, 1, 1000), (3, 1, 1007), (4, 3, 2000), (5, 3, 2013)]
+    one = spark.range(1).select(
+        F.lit("a").alias("archive_id"), F.lit("video").alias("track"), F.expr("transform(sequence(1L, 6L), x -> x)").alias("sizes"), F.expr("array(named_struct('count', 6L, 'value', 1L))").alias("stts"), F.lit(None).cast("array<struct<count:bigint,value:bigint>>").alias("ctts"),
+        F.expr("array(named_struct('first_chunk', 1L, 'samples_per_chunk', 3L))").alias("stsc"), F.expr("array(0L, 1000L)").alias("chunks"), F.lit(None).cast("array<bigint>").alias("stss"),
+    )
+    plan = sample_tables.expand_tables(one)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in plan and "Window" not in plan and "Exchange" not in plan
