@@ -8,7 +8,9 @@
    with all others.  Centres are members outside the bucket's largest component which were none before; once there are no
    more of them, every two members of different components have been compared: so buckets of at most ``SMALL`` members end.
    The members of larger ones are dealt again by the rarest shingles of their full sets, as many as any two of the least similarity must
-   share one of: those who share a common passage only part.  These buckets take centres until none has any more to take, so no pair is left out.
+   share one of: those who share a common passage only part.  The place of a shingle in the order of its set bounds what two sets that meet there first can
+   share, so each row tells the largest set that it can be linked with there, and only members within each other's bounds are compared.  A member is a
+   centre only if another component has one within its bounds.  These buckets take centres until none has any more to take, so no pair is left out.
 4. A pair's signatures are compared 25 minima at a time; it is dropped once the posterior probability (uniform
    prior) of the least similarity (``percent``) is below ``MISS``.  Survivors are verified on their full sets.
 5. Links become components by alternating large-star and small-star steps.
@@ -22,7 +24,7 @@ whatever their names, are not read, and kept by ``drop_near_duplicates``.  Empty
 from __future__ import annotations
 
 import hashlib
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,10 @@ FIRST_ROUNDS = (1, 2)
 SMALL = 12
 #: Centres of a larger bucket of a shingle in its first round, and how many times as many in each later one.
 MORE = 8
+#: Sizes of sets are put in classes, each this much wider than the last, to find the members within each other's bounds.
+WIDER = 1.01
+#: Which members of a bucket are compared: those of two components that are within each other's bounds.
+COMPARED = "c <> m_c and m_n <= nd_most and nd_n <= m_most"
 SALTS = 16
 NULL_ID = -(2**63)
 _rng = np.random.default_rng(104729)
@@ -211,8 +217,30 @@ def _open(own: DataFrame, used: DataFrame | None) -> DataFrame:
     return rows if used is None else rows.join(used, ["nd_k", "node"], "left_anti")
 
 
+def _largest(percent: int, before: str = "0") -> Column:
+    """nd_most: size of the largest set of similarity percent / 100 with one of nd_n shingles, of which it has none of the first before."""
+    return F.expr(f"({100 + percent} * (nd_n - ({before})) - {percent} * nd_n) div {percent}")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(log(WIDER))).cast("int")
+
+
+def _within(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Rows of own for which another component has a member in the bucket, neither larger than the other's nd_most.
+
+    Members are met by classes of their size, as far as a row's bounds go.
+    """
+    others = own.groupBy(F.col("nd_k").alias("m_k"), _size_class(F.col("nd_n")).alias("m_size"), F.col("nd_n").alias("m_n"), F.col("c").alias("m_c")).agg(F.max("nd_most").alias("m_most"))
+    least = F.greatest(F.lit(1), F.floor(percent * F.col("nd_n") / 100))
+    rows_by_size = rows.withColumn("size", F.explode(F.sequence(_size_class(least), _size_class(F.col("nd_most")))))
+    met = rows_by_size.join(others, (F.col("nd_k") == F.col("m_k")) & (F.col("size") == F.col("m_size")) & F.expr(COMPARED), "left_semi")
+    return met.drop("size").distinct()
+
+
 def _prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(nd_k, node, nd_n, nd_id): nodes of left by each shingle of their prefixes; nodes of similarity percent / 100 or more share one.
+    """(nd_k, node, nd_n, nd_id, nd_most): nodes of left by each shingle of their prefixes; nodes of similarity percent / 100 or more share one, and
+    are no larger than each other's nd_most at the first that they share.
 
     Shingles are put in order by the number of left's nodes that have them, rare ones first.  Two sets with an intersection of c at least share one of
     their first n - c + 1, and c is no less than percent of either size.  Shingles of one node come first and are only counted.
@@ -223,15 +251,16 @@ def _prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("node").orderBy("f", "nd_k")
     rows = rows.withColumns({"at": F.row_number().over(order), "shared": F.count(F.lit(1)).over(Window.partitionBy("node"))})
     length = F.expr(f"nd_n - ({percent} * nd_n + 99) div 100 + 1")
-    return rows.filter(F.col("at") <= length - (F.col("nd_n") - F.col("shared"))).select("nd_k", "node", "nd_n", "nd_id")
+    rows = rows.filter(F.col("at") <= length - (F.col("nd_n") - F.col("shared"))).withColumn("nd_most", _largest(percent, "nd_n - shared + at - 1"))
+    return rows.select("nd_k", "node", "nd_n", "nd_id", "nd_most")
 
 
 def _distinct_sets(members: DataFrame, stars: DataFrame | None) -> DataFrame:
-    """Members of one bucket for each set of nodes that has several components."""
+    """Members of one bucket for each set of nodes that has several components: of shingles the first in order, with the widest bounds."""
     h = F.xxhash64("node")
     marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("y")]
-    sets = _labelled(members, stars).groupBy("nd_k").agg(*marks, F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    sets = sets.groupBy("n", "x", "y").agg(F.min("nd_k").alias("nd_k"))
+    sets = _labelled(members, stars).groupBy("nd_k").agg(*marks, F.sum("nd_most").alias("bounds"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    sets = sets.groupBy("n", "x", "y").agg(F.max(F.struct("bounds", "nd_k"))["nd_k"].alias("nd_k"))
     return stage(members.join(sets.select("nd_k", F.col("n").alias("nd_size")), "nd_k"), "members")
 
 
@@ -239,11 +268,11 @@ def _centres(rows: DataFrame, most: int, turn: Column) -> DataFrame:
     """Up to most centres of each bucket out of rows, by hash parts, so a large bucket is not put in order."""
     pick = lambda c: F.min_by(c, "turn")
     rows = rows.withColumns({"turn": turn, "part": F.pmod(F.xxhash64(F.lit(-1), "node"), F.lit(most))})
-    return rows.groupBy("nd_k", "part").agg(pick("node").alias("m_node"), pick("nd_n").alias("m_n"), pick("c").alias("m_c")).drop("part")
+    return rows.groupBy("nd_k", "part").agg(pick("node").alias("m_node"), pick("nd_n").alias("m_n"), pick("c").alias("m_c"), pick("nd_most").alias("m_most")).drop("part")
 
 
 def _all_centres(rows: DataFrame) -> DataFrame:
-    return rows.select("nd_k", F.col("node").alias("m_node"), F.col("nd_n").alias("m_n"), F.col("c").alias("m_c"))
+    return rows.select("nd_k", F.col("node").alias("m_node"), F.col("nd_n").alias("m_n"), F.col("c").alias("m_c"), F.col("nd_most").alias("m_most"))
 
 
 class Links:
@@ -255,9 +284,8 @@ class Links:
         self.tested: DataFrame | None = None
 
     def compare(self, own: DataFrame, centres: DataFrame) -> None:
-        """Compare the members of own with their buckets' centres, but for those of their component."""
-        near = 100 * F.least("nd_n", "m_n") >= self.percent * F.greatest("nd_n", "m_n")
-        pairs = own.join(centres, "nd_k").filter((F.col("c") != F.col("m_c")) & near).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b")).distinct()
+        """Compare the members of own with their buckets' centres within bounds, but for those of their component."""
+        pairs = own.join(centres, "nd_k").filter(COMPARED).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b")).distinct()
         pairs = stage(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             found = stage(verified(likely(pairs, self.sigs, self.percent), self.sets, self.percent), "links")
@@ -278,7 +306,7 @@ def _settled(members: DataFrame, links: Links, rounds: tuple[int, ...] | None, f
     while True:
         own = stage(_labelled(members, links.stars), "labelled")
         discard(members)
-        waiting = stage(_open(own, used), "open")
+        waiting = stage(_open(own, used) if rounds else _within(_open(own, used), own, links.percent), "open")
         members = own.join(waiting.select("nd_k").distinct(), "nd_k", "left_semi").drop("c")
         if waiting.isEmpty() or rounds and r > len(rounds):
             left = stage(members.select("node", "nd_n", "nd_id").distinct(), "left")
@@ -313,7 +341,7 @@ def links_and_components(docs: DataFrame, id_col: str, text_col: str, base: Data
     nodes = stage(least.join(members.select("nd_digest").distinct(), "nd_digest", "left_semi").withColumn("node", F.monotonically_increasing_id()), "nodes")
     if nodes.isEmpty():
         return None
-    members = members.join(nodes, "nd_digest").select("nd_k", "node", "nd_n", "nd_id")
+    members = members.join(nodes, "nd_digest").select("nd_k", "node", "nd_n", "nd_id", _largest(percent).alias("nd_most"))
     sets = stage(full_sets(docs, nodes, id_col, text_col), "sets")
     sigs = stage(classes.select("nd_digest", "nd_n", "nd_sig").join(nodes.select("nd_digest", "node"), "nd_digest").drop("nd_digest").dropDuplicates(["node"]), "node-signatures")
     links = Links(sigs, sets, percent)

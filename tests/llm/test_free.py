@@ -559,6 +559,51 @@ def test_prefixes_of_similar_sets_meet(spark):
     assert sum(map(len, got.values())) < sum(len(x) for _, x in rows) / 4
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bounds_of_similar_sets_hold(spark, percent):
+    """Any two similar sets are within each other's bounds in a bucket, also where only one of the buckets with equal members is kept."""
+    rng = random.Random(37)
+    sets = [rng.sample(range(400), rng.randrange(1, 60)) for _ in range(25)]
+    sets += [[*a[: len(a) - rng.randrange(1 + len(a) // 9)], *(1000 + rng.randrange(10**6) for _ in range(rng.randrange(1 + len(a) // 9)))] for a in sets * 2]
+    rows = [(k, x) for k, x in enumerate(sorted({tuple(sorted(set(x))) for x in sets if x}))]
+    table = spark.createDataFrame([(k, list(x)) for k, x in rows], "node long, nd_set array<long>")
+    prefixes = minhash._prefixes(table.select("node", F.size("nd_set").cast("long").alias("nd_n"), F.col("node").alias("nd_id")), table, percent)
+    buckets = defaultdict(list)
+    for r in minhash._distinct_sets(prefixes, None).collect():
+        buckets[r["nd_k"]].append(r)
+    met = {(a["node"], b["node"]) for v in buckets.values() for a in v for b in v if a["nd_n"] <= b["nd_most"] and b["nd_n"] <= a["nd_most"]}
+    similar = {(a, b) for a, x in rows for b, y in rows if a != b and 100 * len(set(x) & set(y)) >= percent * len(set(x) | set(y))}
+    assert len(similar) > 40 and similar <= met
+
+
+def test_members_out_of_bounds_are_not_compared(spark, monkeypatch):
+    """One bucket of a text's copies with one word changed (linked) and with four (linked with none): rows compared grow with the members, not their square."""
+    rng = random.Random(41)
+    text = [f"c{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        own = list(text)
+        for k in rng.sample(range(150), 1 if i < 120 else 1 + 3) if i else []:
+            own[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    made, write = [], common.stage
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stage", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base = minhash.signatures(df, "doc_id", "text").withColumn("nd_bands", F.array(F.lit(7).cast("long")))
+    got = {r["nd_digest"]: r["component"] for r in minhash.links_and_components(df, "doc_id", "text", base).collect()}
+    ids = {r["nd_digest"]: r["nd_id"] for r in base.collect()}
+    want = brute_components(rows)
+    assert {ids[d]: c for d, c in got.items()} == {i: c for i, (_, c) in want.items()}
+    assert len(set(got.values())) > 60 and sum(made) < 10 * len(rows)
+
+
 def test_words_of_any_length_are_told_apart(spark):
     """Thue-Morse words and their complements, equal under polynomials modulo 2^64."""
     tm = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
