@@ -16,6 +16,7 @@ MB; other columns, whatever their names, are not read, and kept by ``keep_identi
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -88,9 +89,11 @@ class Model:
         share = {v: langs.count(v) for v in self.langs}
         w = np.sqrt(np.array([len(langs) / len(share) / share[v] for v in langs]))[:, None]  # languages weigh alike
         self.mean = x.mean(0)
-        z = (x - self.mean) * w
+        z = x - self.mean
+        z *= w
         dual = np.linalg.solve(z @ z.T + RIDGE * np.eye(len(z)), y * w)
         self.weights = (z.T @ dual).astype(np.float32)
+        del z
         right = (np.sign((x - self.mean) @ self.weights) == y).mean(0)
         self.trust = np.clip(right, 0.5, 1.0) - 0.4
 
@@ -110,7 +113,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit to at most sample_rows different rows that are not held out, equally many of each language, by least hash of id and text.
 
     Languages beyond sample_rows, those of fewest rows, are not learned.  Rows are ranked within hash parts of a language first, so
-    a hot one is split; the sample's texts become feature counts on the executors.
+    a hot one is split; the sample's texts become feature counts on the executors, and one of them fits the model, so only its weights
+    come to the driver.
     """
     rows = docs.select(F.col(id_col).alias("li_id"), F.coalesce(F.col(text_col), F.lit("")).alias("li_text"), F.col(lang_col).alias("li_lang")).filter(~held_out(F.col("li_id")) & F.col("li_lang").isNotNull())
     langs = [r["li_lang"] for r in rows.groupBy("li_lang").count().orderBy(F.desc("count"), "li_lang").limit(sample_rows).collect()]  # at most sample_rows languages, by row count
@@ -128,9 +132,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             x = [features(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["lang", "x"])
 
-    got = texts.mapInArrow(count, "lang string, x binary").toPandas()  # at most sample_rows rows of 16 kB
-    got = got.sort_values(["lang", "x"], kind="stable")
-    return Model(np.stack([scaled(np.frombuffer(b, "<u4")) for b in got["x"]]).astype(np.float64), list(got["lang"]))
+    def fit(batches):
+        got = sorted((r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), reverse=True)
+        if not got:
+            return
+        x, names = np.empty((len(got), FEATURES)), [v for v, _ in reversed(got)]
+        for row in x:
+            row[:] = scaled(np.frombuffer(got.pop()[1], "<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(x, names))], pa.binary())], names=["model"])
+
+    counted = texts.mapInArrow(count, "lang string, x binary").repartition(1)  # at most sample_rows rows of 16 kB
+    return pickle.loads(counted.mapInArrow(fit, "model binary").first()["model"])
 
 
 def _has_letter(text: str | None) -> bool:

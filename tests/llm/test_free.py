@@ -3,8 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from math import isqrt
 
 import numpy as np
@@ -212,6 +213,20 @@ def test_language_matches_a_plain_decoder(spark):
         assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1], abs=1e-3)
 
 
+def test_the_sample_stays_on_the_executors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id % 10 > 0")
+    tracemalloc.start()
+    try:
+        model = language.learn(docs)
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    finally:
+        tracemalloc.stop()
+    rows = sorted((r["lang"], language.features(r["text"] or "").astype("<u4").tobytes()) for r in docs.dropDuplicates(["doc_id", "text"]).collect() if r["lang"] is not None and not language.in_hold_out(r["doc_id"]))
+    assert max(Counter(v for v, _ in rows).values()) <= language.SAMPLE_ROWS // len(model.langs)  # so all of them are the sample
+    plain = language.Model(np.stack([language.scaled(np.frombuffer(x, "<u4")) for _, x in rows]).astype(np.float64), [v for v, _ in rows])
+    assert model.langs == plain.langs and np.allclose(model.weights, plain.weights) and np.allclose(model.mean, plain.mean) and np.allclose(model.trust, plain.trust)
+
+
 def test_the_sample_is_bounded_and_balanced(spark):
     rows = [(i % 500, f"text {i % 500} {'abc' * (i % 7)}", ["aa", "bb", "cc"][(i % 500) % 10 // 4]) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
